@@ -124,12 +124,16 @@ class Graph:
             )
         return reduce(DataFrame.unionByName, counts)
 
-    def write_snapshot(self, path: str) -> None:
-        """Nodes and edges as Parquet, one folder each; replaces an older snapshot."""
+    def write_snapshot(self, folder: str) -> None:
+        """Nodes and edges as Parquet, one folder each, below a new ``folder``.
+
+        Every refresh writes a folder of its own, so readers of the one before are
+        not disturbed and a failed refresh replaces nothing.
+        """
         for label in self.spec.nodes:
-            self.nodes(label).write.mode("overwrite").parquet(f"{path}/nodes/{label}")
+            self.nodes(label).write.parquet(f"{folder}/nodes/{label}")
         for name in self.spec.edges:
-            self.edges(name).write.mode("overwrite").parquet(f"{path}/edges/{name}")
+            self.edges(name).write.parquet(f"{folder}/edges/{name}")
 
     def write_bucketed(self, database: str, buckets: int) -> None:
         """Nodes and edges as tables bucketed by key, so that hops along an edge's
@@ -169,7 +173,8 @@ def snapshot(spark: SparkSession, spec: GraphSpec, path: str) -> Graph:
 
 def inverse(edges: DataFrame) -> DataFrame:
     """The same pairs the other way round."""
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
 def distinct_pairs(edges: DataFrame) -> DataFrame:

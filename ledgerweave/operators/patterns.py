@@ -39,8 +39,6 @@ def _rows_with_ends(
     table = graph.tables[home.table]
     far = []
     for end, name in ends.items():
-        if not graph.spec.in_source_row(name):
-            raise ValueError(f"{name} is no reference column of {label}; use expand")
         columns = graph.spec.edges[name].target_key
         table = table.where(all_set(columns))
         far.append(key_of(columns).alias(f"__{end}"))
@@ -71,17 +69,24 @@ def match(
     where: Column | None = None,
     follow: Mapping[str, To] | None = None,
 ) -> DataFrame:
-    """Nodes of one label, and edges that are reference columns of their own table.
+    """Nodes of one label, and the edges in ``follow`` (variable -> hop) out of them.
 
-    ``follow`` maps further variables to such edges. They are read off the same
-    row, so several edges out of one node cost one scan and no self-join. A node
-    without one of the references yields no row.
+    Edges that are reference columns of the node's own table are read off the same
+    row, so several of them cost one scan and no self-join. A node without one of
+    the edges yields no row.
     """
     follow = follow or {}
-    rows = _rows_with_ends(graph, label, {end: to.edge for end, to in follow.items()}, where)
-    rows = rows.select(*_bound(var, props), *[F.col(f"__{end}").alias(end) for end in follow])
+    for to in follow.values():
+        if graph.spec.edges[to.edge].source != label:
+            raise ValueError(f"{to.edge} does not start at {label}")
+    near = {end: to for end, to in follow.items() if graph.spec.in_source_row(to.edge)}
+    rows = _rows_with_ends(graph, label, {end: to.edge for end, to in near.items()}, where)
+    rows = rows.select(*_bound(var, props), *[F.col(f"__{end}").alias(end) for end in near])
     for end, to in follow.items():
-        rows = _arrive(graph, rows, to.edge, graph.spec.edges[to.edge].target, end, to)
+        if end in near:
+            rows = _arrive(graph, rows, to.edge, graph.spec.edges[to.edge].target, end, to)
+        else:
+            rows = expand(graph, rows, var, end, to)
     return rows
 
 

@@ -26,7 +26,7 @@ def _plain(value):
     if isinstance(value, bool):
         return ("b", value)
     if isinstance(value, float):
-        return ("f", "nan" if math.isnan(value) else repr(round(value, 9)))
+        return ("f", "nan" if math.isnan(value) else repr(value))
     if isinstance(value, datetime.datetime):
         return ("t", value.replace(tzinfo=None).isoformat())
     return (type(value).__name__, value)
