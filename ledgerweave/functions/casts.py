@@ -6,29 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# (?U): every Unicode blank; the four separators U+001C..U+001F are blanks too.
-BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
+from ledgerweave.functions.text import stripped
 
 def trimmed(raw: Column) -> Column:
     """The text without blanks around it; blank text is NULL."""
-    return F.nullif(F.regexp_replace(raw, BLANK_ENDS, ""), F.lit(""))
+    return F.nullif(stripped(raw), F.lit(""))
 
 
-def typed(raw: Column, to: T.DataType) -> Column:
-    """``raw`` as a value of type ``to``; NULL where it is blank or does not fit.
+def typed(text: Column, to: T.DataType) -> Column:
+    """A trimmed text as a value of type ``to``; NULL where it does not fit.
 
-    ``try_cast`` keeps one bad field from stopping the load of a whole table;
-    ``misfit`` finds those fields.
+    ``try_cast`` keeps one bad field from stopping the load of a whole table.
     """
-    text = trimmed(raw)
     if isinstance(to, T.StringType):
         return text
     if isinstance(to, T.BooleanType):
         text = F.lower(text)
     return text.try_cast(to)
-
-
-def misfit(raw: Column, to: T.DataType) -> Column:
-    """True where a non-blank text has no value of type ``to``."""
-    return trimmed(raw).isNotNull() & typed(raw, to).isNull()

@@ -37,15 +37,46 @@ POSITIVE_VERDICTS = ("yes", "true", "1")
 NEGATIVE_VERDICTS = ("no", "false", "0")
 EMPTY_ANSWER = "<empty>"
 
-SEPARATORS = r"[_\-/]+"
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# Every blank there is, spelled out: the shorthand with the Unicode flag is slow. The
+# range around the rare ones lets a letter be told from a blank in one comparison.
+RARE_BLANKS = (
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+)
+OTHER_BLANKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + RARE_BLANKS
+BLANK = f"[ {OTHER_BLANKS}]"
+# A run of separators and blanks, unless it is a single space already.
+SEPARATORS = r"_\-/"
+FOLDED = f"[{SEPARATORS}{OTHER_BLANKS}][ {SEPARATORS}{OTHER_BLANKS}]*| [ {SEPARATORS}{OTHER_BLANKS}]+"
 LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
 NUMBER = r"-?\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
 # A whole word has no letter, digit or underscore next to it.
-WORD_START = r"(?<![\p{L}\p{N}_])"
-WORD_END = r"(?![\p{L}\p{N}_])"
-TABLE_AFTER = r"(?iU)" + WORD_START + r"(?:from|join)[\s\x1c-\x1f]+([a-z0-9_.]+)"
-RELATIONSHIP = r"(?U)\[[\s\x1c-\x1f]*:`?([a-zA-Z_][a-zA-Z0-9_]*)`?[\s\x1c-\x1f]*\]"
+WORD_CHAR = r"[\p{L}\p{N}_]"
+# FROM or JOIN in any case, then looking back whether a word starts there; then a
+# name of ASCII letters in any case (four other letters fold to those).
+TABLE_AFTER = (
+    r"[fFjJ](?:(?<=[fF])[rR][oO][mM]|(?<=[jJ])[oO][iI][nN])(?<!"
+    + WORD_CHAR
+    + r".{4})"
+    + BLANK
+    + r"+([a-zA-Z0-9_.\x{130}\x{131}\x{17f}\x{212a}]+)"
+)
+RELATIONSHIP = r"\[" + BLANK + r"*:`?([a-zA-Z_][a-zA-Z0-9_]*)`?" + BLANK + r"*\]"
+BLANK_CHARS = "".join(
+    chr(c)
+    for c in (
+        *range(0x09, 0x0E),
+        *range(0x1C, 0x21),
+        0x85,
+        0xA0,
+        0x1680,
+        *range(0x2000, 0x200B),
+        0x2028,
+        0x2029,
+        0x202F,
+        0x205F,
+        0x3000,
+    )
+)
 
 # Decimal digits of other scripts, by the Unicode rule, to their ASCII twins.
 _OTHER_DIGITS = [
@@ -62,10 +93,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def stripped(text: Column) -> Column:
+    """The text without blanks of any kind around it.
+
+    Nearly every text is done once the plain spaces are off; only those that then
+    begin or end with something else than a visible ASCII character go on.
+    """
+    bare = F.trim(text)
+    done = F.left(bare, F.lit(1)).between("!", "~") & F.right(bare, F.lit(1)).between("!", "~")
+    return F.when(done, bare).otherwise(F.btrim(text, F.lit(BLANK_CHARS)))
+
+
 def normalize(text: Column) -> Column:
     """Lower case; separators and blank runs become one space; NULL is ''."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, SEPARATORS, " "), BLANKS, " "))
+    return F.trim(F.regexp_replace(lowered, FOLDED, " "))
 
 
 def prepared_signals(signals: Column) -> Column:
@@ -73,6 +115,21 @@ def prepared_signals(signals: Column) -> Column:
     return F.transform(signals, lambda s: F.struct(s.alias("raw"), normalize(s).alias("norm")))
 
 
+def split_signals(answer: Column, prepared: Column) -> Column:
+    """struct(matched, missing): the signals that do and do not occur, in input order."""
+
+    def raw(signals: Column) -> Column:
+        return F.transform(signals, lambda s: s["raw"])
+
+    def halves(text: Column) -> Column:
+        return F.struct(
+            raw(F.filter(prepared, lambda s: F.contains(text, s["norm"]))).alias("matched"),
+            raw(F.filter(prepared, lambda s: ~F.contains(text, s["norm"]))).alias("missing"),
+        )
+
+    return let(normalize(answer), halves)
+
+
 def missing_signals(answer: Column, prepared: Column) -> Column:
     """The signals that do not occur in the answer, in input order."""
 
@@ -82,15 +139,6 @@ def missing_signals(answer: Column, prepared: Column) -> Column:
     return F.transform(let(normalize(answer), absent), lambda s: s["raw"])
 
 
-def matched_signals(answer: Column, prepared: Column) -> Column:
-    """The signals that occur in the answer, in input order."""
-
-    def found(text: Column) -> Column:
-        return F.filter(prepared, lambda s: F.contains(text, s["norm"]))
-
-    return F.transform(let(normalize(answer), found), lambda s: s["raw"])
-
-
 def signals_met(answer: Column, signals: Column) -> Column:
     """All signals present; true when none are asked for."""
     return F.size(missing_signals(answer, prepared_signals(signals))) == 0
@@ -124,7 +172,7 @@ def verdict(*judgements: Column) -> Column:
     """yes / no / unclear from the first judgement that says one of them, else ''."""
 
     def read(judgement: Column) -> Column:
-        said = F.lower(F.trim(F.regexp_replace(judgement.cast("string"), BLANKS, " ")))
+        said = F.lower(stripped(judgement.cast("string")))
         return (
             F.when(said.isin(*POSITIVE_VERDICTS), "yes")
             .when(said.isin(*NEGATIVE_VERDICTS), "no")
@@ -137,7 +185,7 @@ def verdict(*judgements: Column) -> Column:
 def marked_verdict(text: Column) -> Column:
     """The verdict behind the first marker, up to the end of its line, or NULL."""
     line = F.regexp_extract(text, re.escape(VERDICT_MARKER) + f"([^{LINE_END}]*)", 1)
-    said = F.lower(F.trim(F.regexp_replace(line, BLANKS, " ")))
+    said = F.lower(stripped(line))
     return F.when(said.isin(*VERDICTS), said)
 
 
@@ -146,52 +194,46 @@ def scanned_text(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def _alternatives(names: Sequence[str]) -> str:
-    return "|".join(re.escape(n) for n in names)
-
-
-def _named_words(text: Column, names: Sequence[str], any_case: bool) -> Column:
-    """Those of ``names`` that occur as whole words, spelled as in ``names``.
+def _named_words(text: Column, names: Sequence[str]) -> list[Column]:
+    """For each name, whether it occurs in the text as a whole word.
 
-    One pass over the text for all names that are single words; only names with
-    other characters inside, which could overlap each other, get a pass each.
+    A plain substring search goes first; only texts that hold the name pay for
+    looking at what is next to it.
     """
-    flags = "(?iu)" if any_case else ""
-    words = [n for n in names if re.fullmatch(r"\w+", n)]
-    found = F.array().cast("array<string>")
-    if words:
-        pattern = f"{flags}{WORD_START}(?:{_alternatives(words)}){WORD_END}"
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        if any_case:
-            spoken = F.transform(found, F.lower)
-            found = F.filter(
-                F.array(*map(F.lit, words)), lambda w: F.array_contains(spoken, F.lower(w))
-            )
-    others = [n for n in names if n not in words]
-    if others:
-        hits = F.array(
-            *[
-                F.when(text.rlike(f"{flags}{WORD_START}{re.escape(n)}{WORD_END}"), F.lit(n))
-                for n in others
-            ]
-        )
-        found = F.concat(found, F.array_compact(hits))
+    found = []
+    for name in names:
+        plain = re.escape(name)
+        word = f"{plain}(?<!{WORD_CHAR}{plain})(?!{WORD_CHAR})"
+        found.append(F.contains(text, F.lit(name)) & text.rlike(word))
     return found
 
 
+def _those(names: Sequence[str], found: Sequence[Column]) -> Column:
+    if not names:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in zip(names, found)]))
+
+
 def mentioned_tables(text: Column, known: Sequence[str] = ()) -> Column:
     """Names after FROM or JOIN (last dotted part) and known names, sorted."""
+    lowered = F.lower(text)
     after = F.transform(
-        F.regexp_extract_all(text, F.lit(TABLE_AFTER), F.lit(1)),
-        lambda name: F.element_at(F.split(name, r"\."), -1),
+        F.when(
+            F.contains(lowered, F.lit("from")) | F.contains(lowered, F.lit("join")),
+            F.regexp_extract_all(text, F.lit(TABLE_AFTER), F.lit(1)),
+        ).otherwise(F.array().cast("array<string>")),
+        lambda name: F.substring_index(name, ".", -1),
     )
-    return F.array_sort(F.array_union(after, _named_words(text, known, any_case=True)))
+    words = _named_words(lowered, [name.lower() for name in known])
+    return F.array_sort(F.array_union(after, _those(known, words)))
 
 
 def mentioned_relationships(text: Column, known: Sequence[str] = ()) -> Column:
     """Names in anonymous ``[:name]`` brackets and known names, sorted; case counts."""
-    bracketed = F.regexp_extract_all(text, F.lit(RELATIONSHIP), F.lit(1))
-    return F.array_sort(F.array_union(bracketed, _named_words(text, known, any_case=False)))
+    bracketed = F.when(
+        F.contains(text, F.lit("[")), F.regexp_extract_all(text, F.lit(RELATIONSHIP), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_union(bracketed, _those(known, _named_words(text, known))))
 
 
 def has_hint(text: Column, hints: Sequence[str]) -> Column:

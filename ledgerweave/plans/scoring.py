@@ -40,7 +40,7 @@ def latest_answers(
     """
     spoken = F.col(role) == "assistant"
     last = F.max(F.when(spoken, F.struct(F.col(turn).alias("turn"), F.col(body).alias("body"))))
-    body_of = F.regexp_replace(F.col("last.body"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    body_of = t.stripped(F.col("last.body"))
     return (
         messages.groupBy(thread)
         .agg(last.alias("last"))

@@ -7,11 +7,15 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ledgerweave.functions.casts import misfit, typed
+from ledgerweave.functions.casts import trimmed, typed
 from ledgerweave.schema import TableContract
 
 
+REJECTS = "array<struct<column:string,raw:string>>"
+
+
 def _csv(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
     return (
         spark.read.option("header", True)
@@ -61,25 +65,35 @@ def conform(raw: DataFrame, contract: TableContract) -> DataFrame:
     the declared type; it is empty for a clean row.
     """
     present = [f for f in contract.fields if f.name in raw.columns]
-    values = [
-        (
-            typed(F.col(f.name), f.type)
-            if f.name in raw.columns
-            else F.lit(None).cast(f.type)
-        ).alias(f.name)
-        for f in contract.fields
-    ]
-    bad = [
+    # One projection per step: a step that the next one uses twice is not repeated.
+    texts = raw.select(
+        *[F.col(f.name).alias(f"raw_{f.name}") for f in present],
+        *[trimmed(F.col(f.name)).alias(f"text_{f.name}") for f in present],
+    )
+    values = texts.select(
+        "*", *[typed(F.col(f"text_{f.name}"), f.type).alias(f.name) for f in present]
+    )
+    nothing = F.array().cast(REJECTS)
+    found = [
         F.when(
-            misfit(F.col(f.name), f.type),
-            F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("raw")),
-        )
+            F.col(f"text_{f.name}").isNotNull() & F.col(f.name).isNull(),
+            F.array(
+                F.struct(F.lit(f.name).alias("column"), F.col(f"raw_{f.name}").alias("raw"))
+            ),
+        ).otherwise(nothing)
         for f in present
+        if not isinstance(f.type, StringType)
     ]
-    rejects = F.array_compact(F.array(*bad)) if bad else F.array()
-    return raw.select(
-        *values, rejects.cast("array<struct<column:string,raw:string>>").alias("rejects")
+    finished = F.struct(
+        *[
+            (F.col(f.name) if f in present else F.lit(None).cast(f.type)).alias(f.name)
+            for f in contract.fields
+        ],
+        (F.concat(*found) if found else nothing).alias("rejects"),
     )
+    # A filter on the result must not drag all these expressions below itself, where
+    # they would be worked out again for every use; it cannot pass a generator.
+    return values.select(F.inline(F.array(finished)))
 
 
 def loadable(conformed: DataFrame) -> DataFrame:

@@ -598,17 +598,12 @@ def text_normalize(tables: Tables) -> DataFrame:
 @query
 def signal_coverage(tables: Tables) -> DataFrame:
     prepared = t.prepared_signals(texts.signals_for(F.col("lang")))
-    answer = F.col("text")
-    rows = tables["documents"].select(
+    halves = t.split_signals(F.col("text"), prepared).alias("s")
+    return tables["documents"].select("doc_id", halves).select(
         "doc_id",
-        t.matched_signals(answer, prepared).alias("hit"),
-        t.missing_signals(answer, prepared).alias("miss"),
-    )
-    return rows.select(
-        "doc_id",
-        F.concat_ws("|", "hit").alias("matched"),
-        F.concat_ws("|", "miss").alias("missing"),
-        (F.size("miss") == 0).alias("ok"),
+        F.concat_ws("|", "s.matched").alias("matched"),
+        F.concat_ws("|", "s.missing").alias("missing"),
+        (F.size("s.missing") == 0).alias("ok"),
     )
 
 

@@ -42,7 +42,8 @@ def test_signals(spark, answer, signals, missing):
     given = {"a": answer, "w": signals}
     assert value(spark, t.missing_signals(F.col("a"), prepared), **given) == missing
     matched = [s for s in signals if s not in missing]
-    assert value(spark, t.matched_signals(F.col("a"), prepared), **given) == matched
+    halves = value(spark, t.split_signals(F.col("a"), prepared), **given)
+    assert (halves.matched, halves.missing) == (matched, missing)
     assert value(spark, t.signals_met(F.col("a"), F.col("w")), **given) is (not missing)
     verdict = value(spark, t.signal_verdict(F.col("a"), F.col("w")), **given)
     assert verdict is (None if not signals else not missing)
