@@ -166,12 +166,13 @@ def score_answers(answers: DataFrame, golden: DataFrame) -> DataFrame:
     join has no hint: a small set of golden answers is broadcast from its measured
     size, a large one is shuffled.
     """
-    rows = complete(answers).join(expectations(golden), "scenario_id")
+    # The reasoning often repeats the answer; only its verdict takes part in the join.
+    judged = complete(answers).withColumn("verdict", t.marked_verdict(F.col("reasoning")))
+    rows = judged.drop("reasoning", "sql_or_gql").join(expectations(golden), "scenario_id")
     want = F.col("want")
     # A projection of its own: what reads the texts is worked out once per row.
     measured = rows.withColumns(
         {
-            "verdict": t.marked_verdict(F.col("reasoning")),
             "no_table": F.array_sort(
                 F.array_except(want["required_scope_tables"], F.col("tables_used"))
             ),

@@ -121,6 +121,51 @@ SELECT * FROM (
   FROM customer) x
 WHERE violations <> ''
 """
+ORACLE["contract_report"] = (
+    ORACLE["dq_fk_orphans"]
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, COUNT(*) AS violations FROM {source}"
+        for name, source in (
+            ("nation.n_nationkey.not_null", "nation WHERE n_nationkey IS NULL"),
+            ("customer.c_custkey.not_null", "customer WHERE c_custkey IS NULL"),
+            ("customer.c_nationkey.not_null", "customer WHERE c_nationkey IS NULL"),
+            ("customer.c_acctbal.non_negative", "customer WHERE c_acctbal < 0"),
+            (
+                "customer.c_mktsegment.one_of",
+                "customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')",
+            ),
+            ("orders.o_orderkey.not_null", "orders WHERE o_orderkey IS NULL"),
+            ("orders.o_custkey.not_null", "orders WHERE o_custkey IS NULL"),
+            ("orders.o_orderstatus.not_null", "orders WHERE o_orderstatus IS NULL"),
+            ("orders.o_orderstatus.one_of", "orders WHERE o_orderstatus NOT IN ('F', 'O')"),
+            ("orders.o_totalprice.not_null", "orders WHERE o_totalprice IS NULL"),
+            ("orders.o_totalprice.non_negative", "orders WHERE o_totalprice < 0"),
+            ("lineitem.l_orderkey.not_null", "lineitem WHERE l_orderkey IS NULL"),
+            ("lineitem.l_linenumber.not_null", "lineitem WHERE l_linenumber IS NULL"),
+            ("lineitem.l_suppkey.not_null", "lineitem WHERE l_suppkey IS NULL"),
+            ("lineitem.l_returnflag.not_null", "lineitem WHERE l_returnflag IS NULL"),
+            ("lineitem.l_returnflag.one_of", "lineitem WHERE l_returnflag NOT IN ('A', 'N')"),
+            ("documents.doc_id.not_null", "documents WHERE doc_id IS NULL"),
+            ("labels.doc_id.not_null", "labels WHERE doc_id IS NULL"),
+            ("labels.toxic.not_null", "labels WHERE toxic IS NULL"),
+            *(
+                (
+                    f"{table}.primary_key",
+                    f"(SELECT {key} FROM {table} GROUP BY {key} HAVING COUNT(*) > 1) x",
+                )
+                for table, key in (
+                    ("nation", "n_nationkey"),
+                    ("customer", "c_custkey"),
+                    ("orders", "o_orderkey"),
+                    ("lineitem", "l_orderkey, l_linenumber"),
+                    ("documents", "doc_id"),
+                    ("labels", "doc_id"),
+                )
+            ),
+        )
+    )
+)
 ORACLE["default_fill"] = """
 SELECT d.doc_id, l.quality, COALESCE(l.toxic, 0) AS toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
@@ -147,6 +192,23 @@ ORACLE["parallel_edge_dedup"] = """
 SELECT l_orderkey AS src, l_suppkey AS dst, l_returnflag AS role_type, COUNT(*) AS multiplicity
 FROM lineitem GROUP BY 1, 2, 3
 """
+ORACLE["inverse_edges"] = """
+SELECT DISTINCT l_suppkey AS src, l_orderkey AS dst FROM lineitem
+"""
+ORACLE["node_labels"] = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, COUNT(*) AS n, MIN({key}) AS least, MAX({key}) AS greatest "
+    f"FROM {table}"
+    for label, table, key in (
+        ("Region", "region", "CAST(r_regionkey AS VARCHAR)"),
+        ("Nation", "nation", "CAST(n_nationkey AS VARCHAR)"),
+        ("Customer", "customer", "CAST(c_custkey AS VARCHAR)"),
+        ("Supplier", "supplier", "CAST(s_suppkey AS VARCHAR)"),
+        ("Part", "part", "CAST(p_partkey AS VARCHAR)"),
+        ("Order", "orders", "CAST(o_orderkey AS VARCHAR)"),
+        ("Event", "events", "CAST(event_id AS VARCHAR)"),
+        ("Line", "lineitem", "'{' || l_orderkey || ', ' || l_linenumber || '}'"),
+    )
+)
 ORACLE["latest_timeseries_value"] = """
 SELECT user_id AS entity_id, event_type AS property, ts, value AS latest_value FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS rn
@@ -296,6 +358,12 @@ SELECT a.l_suppkey AS party_a, b.l_suppkey AS party_b, COUNT(*) AS shared_orders
 FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey
 GROUP BY 1, 2 HAVING COUNT(*) > 1
 """
+ORACLE["shared_pair_crowded"] = """
+WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+SELECT a.l_suppkey AS party_a, b.l_suppkey AS party_b, COUNT(*) AS shared_parts
+FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey
+GROUP BY 1, 2 HAVING COUNT(*) > 1
+"""
 ORACLE["absence_anti"] = """
 SELECT o_orderkey AS order_id FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
@@ -503,6 +571,13 @@ WITH {ANSWERS}
 SELECT doc_id, {_hint('body', t.AMBIGUITY_HINTS)} AS flagged, {_policy('body')} AS policy
 FROM scanned
 """
+ORACLE["comparison_answers"] = f"""
+WITH {ANSWERS}
+SELECT a.scenario_id, a.agent_type, md5(a.answer) AS answer_md5,
+       md5('__critic_verdict__=' || CASE WHEN l.quality = 1 THEN 'yes' WHEN l.quality IS NULL
+           THEN '' ELSE 'no' END || chr(10) || a.answer) AS reasoning_md5
+FROM answers a LEFT JOIN labels l ON l.doc_id = a.doc_id
+"""
 
 SCORES = f"""
 {ANSWERS},

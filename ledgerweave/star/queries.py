@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import text as t
 from ledgerweave.operators import metrics, quality, taxonomy
-from ledgerweave.operators.graph import parallel_edges
+from ledgerweave.operators.graph import distinct_pairs, inverse, parallel_edges
 from ledgerweave.operators.pairs import shared_pairs
 from ledgerweave.operators.patterns import To, expand, match, top
 from ledgerweave.plans import scorecard as cards
@@ -198,6 +198,11 @@ def dq_violating_rows(tables: Tables) -> DataFrame:
     return found.select("c_custkey", F.concat_ws("|", "violations").alias("violations"))
 
 
+@query
+def contract_report(tables: Tables) -> DataFrame:
+    return quality.check_contracts(CONTRACTS, tables)
+
+
 @query
 def default_fill(tables: Tables) -> DataFrame:
     rows = texts.labelled(tables).select("doc_id", "quality", "toxic")
@@ -218,6 +223,20 @@ def parallel_edge_dedup(tables: Tables) -> DataFrame:
     return parallel_edges(edges, "role").withColumnRenamed("role", "role_type")
 
 
+@query
+def inverse_edges(tables: Tables) -> DataFrame:
+    """Suppliers with their orders, read off the edge from order to supplier."""
+    return distinct_pairs(inverse(star_graph(tables).edges("order_has_supplier")))
+
+
+@query
+def node_labels(tables: Tables) -> DataFrame:
+    nodes = star_graph(tables).all_nodes()
+    return nodes.groupBy("label").agg(
+        F.count("*").alias("n"), F.min("node_id").alias("least"), F.max("node_id").alias("greatest")
+    )
+
+
 @query
 def latest_timeseries_value(tables: Tables) -> DataFrame:
     last = metrics.latest_values(tables["events"], "user_id", "event_type", "ts", "value")
@@ -472,6 +491,16 @@ def shared_pair_self_join(tables: Tables) -> DataFrame:
     return found.withColumnsRenamed({"l_suppkey_a": "party_a", "l_suppkey_b": "party_b"})
 
 
+@query
+def shared_pair_crowded(tables: Tables) -> DataFrame:
+    """Suppliers that deliver the same parts. The bounds are low, so that many parts
+    count as crowded and suppliers as hubs."""
+    found = shared_pairs(
+        tables["lineitem"], "l_partkey", "l_suppkey", "shared_parts", wide=32, hub=128
+    )
+    return found.withColumnsRenamed({"l_suppkey_a": "party_a", "l_suppkey_b": "party_b"})
+
+
 @query
 def absence_anti(tables: Tables) -> DataFrame:
     found = metrics.absent(tables["orders"], "o_orderkey", tables["lineitem"], "l_orderkey")
@@ -675,6 +704,30 @@ def hint_flags(tables: Tables) -> DataFrame:
     )
 
 
+@query
+def comparison_answers(tables: Tables) -> DataFrame:
+    """Both answers of a scenario in one row, then one row per answer again."""
+    rows = texts.labelled(tables).select(
+        texts.scenario_of().alias("scenario_id"),
+        texts.agent_of().alias("agent"),
+        "text",
+        (F.col("quality") == 1).cast("string").alias("judged"),
+    )
+    wide = rows.groupBy("scenario_id").agg(
+        *[
+            F.max(F.when(F.col("agent") == agent, F.col(column))).alias(f"{name}_{agent}")
+            for agent in scoring.AGENTS
+            for name, column in (("actual_answer", "text"), ("evaluation_judgement", "judged"))
+        ]
+    )
+    return scoring.answers_from_questions(wide).select(
+        "scenario_id",
+        "agent_type",
+        F.md5("answer").alias("answer_md5"),
+        F.md5("reasoning").alias("reasoning_md5"),
+    )
+
+
 def _scores(tables: Tables) -> DataFrame:
     inferred = scoring.infer_metadata(
         texts.answers(tables), texts.KNOWN_TABLES, texts.KNOWN_RELATIONSHIPS

@@ -32,7 +32,7 @@ def signals_for(lang: Column) -> Column:
 
 
 def scenario_of(doc_id: str = "doc_id") -> Column:
-    return F.concat(F.lit("S"), F.floor(F.col(doc_id) / 2).cast("string"))
+    return F.concat(F.lit("S"), F.expr(f"{doc_id} div 2").cast("string"))
 
 
 def agent_of(doc_id: str = "doc_id") -> Column:
