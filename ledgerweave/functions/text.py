@@ -52,13 +52,15 @@ NUMBER = r"-?\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
 # A whole word has no letter, digit or underscore next to it.
 WORD_CHAR = r"[\p{L}\p{N}_]"
 # FROM or JOIN in any case, then looking back whether a word starts there; then a
-# name of ASCII letters in any case (four other letters fold to those).
+# name, of which the last dotted part counts. Names are ASCII letters in any case
+# (four other letters fold to those).
+NAME_CHAR = r"a-zA-Z0-9_\x{130}\x{131}\x{17f}\x{212a}"
 TABLE_AFTER = (
     r"[fFjJ](?:(?<=[fF])[rR][oO][mM]|(?<=[jJ])[oO][iI][nN])(?<!"
     + WORD_CHAR
     + r".{4})"
     + BLANK
-    + r"+([a-zA-Z0-9_.\x{130}\x{131}\x{17f}\x{212a}]+)"
+    + f"+(?=[{NAME_CHAR}.])(?:[{NAME_CHAR}.]*[.])?([{NAME_CHAR}]*)"
 )
 RELATIONSHIP = r"\[" + BLANK + r"*:`?([a-zA-Z_][a-zA-Z0-9_]*)`?" + BLANK + r"*\]"
 BLANK_CHARS = "".join(
@@ -208,32 +210,39 @@ def _named_words(text: Column, names: Sequence[str]) -> list[Column]:
     return found
 
 
-def _those(names: Sequence[str], found: Sequence[Column]) -> Column:
-    if not names:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in zip(names, found)]))
+# Lists are put together without lambdas here: what stands below a lambda function is
+# not compiled, and not shared with the rest of the projection.
+NO_NAMES = "array<string>"
+
+
+def _those(names: Sequence[str], found: Sequence[Column]) -> list[Column]:
+    nothing = F.array().cast(NO_NAMES)
+    return [F.when(f, F.array(F.lit(n))).otherwise(nothing) for n, f in zip(names, found)]
+
+
+def _names(captured: Column, possible: Column, known: list[Column]) -> Column:
+    nothing = F.array().cast(NO_NAMES)
+    captured = F.when(possible, captured).otherwise(nothing)
+    return F.sort_array(F.array_distinct(F.concat(captured, *known)))
 
 
 def mentioned_tables(text: Column, known: Sequence[str] = ()) -> Column:
     """Names after FROM or JOIN (last dotted part) and known names, sorted."""
     lowered = F.lower(text)
-    after = F.transform(
-        F.when(
-            F.contains(lowered, F.lit("from")) | F.contains(lowered, F.lit("join")),
-            F.regexp_extract_all(text, F.lit(TABLE_AFTER), F.lit(1)),
-        ).otherwise(F.array().cast("array<string>")),
-        lambda name: F.substring_index(name, ".", -1),
+    return _names(
+        F.regexp_extract_all(text, F.lit(TABLE_AFTER), F.lit(1)),
+        F.contains(lowered, F.lit("from")) | F.contains(lowered, F.lit("join")),
+        _those(known, _named_words(lowered, [name.lower() for name in known])),
     )
-    words = _named_words(lowered, [name.lower() for name in known])
-    return F.array_sort(F.array_union(after, _those(known, words)))
 
 
 def mentioned_relationships(text: Column, known: Sequence[str] = ()) -> Column:
     """Names in anonymous ``[:name]`` brackets and known names, sorted; case counts."""
-    bracketed = F.when(
-        F.contains(text, F.lit("[")), F.regexp_extract_all(text, F.lit(RELATIONSHIP), F.lit(1))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_union(bracketed, _those(known, _named_words(text, known))))
+    return _names(
+        F.regexp_extract_all(text, F.lit(RELATIONSHIP), F.lit(1)),
+        F.contains(text, F.lit("[")),
+        _those(known, _named_words(text, known)),
+    )
 
 
 def has_hint(text: Column, hints: Sequence[str]) -> Column:
