@@ -758,14 +758,18 @@ UNION ALL SELECT 'segment', COUNT(NULLIF(c_mktsegment, 'MACHINERY')) FROM custom
 UNION ALL SELECT 'nation', COUNT(c_nationkey) FROM customer
 """
 ORACLE["mapping_report"] = """
-WITH active AS (SELECT DISTINCT user_id FROM events)
-SELECT 'unmapped_class' AS issue, COUNT(*) AS n FROM customer
-WHERE c_custkey NOT IN (SELECT user_id FROM active)
-UNION ALL
-SELECT 'unmapped_relation', COUNT(*) FROM orders
-WHERE o_custkey NOT IN (SELECT user_id FROM active)
-UNION ALL
-SELECT 'unresolved_context', COUNT(*) FROM orders
-WHERE o_custkey IN (SELECT user_id FROM active)
-  AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+WITH sound AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0),
+loose AS (
+  SELECT o_orderkey FROM orders
+  WHERE o_custkey NOT IN (SELECT c_custkey FROM sound) OR 0 NOT IN (SELECT c_custkey FROM sound)),
+issues AS (
+  SELECT 'unmapped_class' AS issue FROM customer
+  WHERE c_custkey NOT IN (SELECT c_custkey FROM sound)
+  UNION ALL
+  SELECT 'unmapped_relation' FROM loose
+  UNION ALL
+  SELECT 'unresolved_context' FROM orders
+  WHERE o_orderkey NOT IN (SELECT o_orderkey FROM loose)
+    AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
+SELECT issue, COUNT(*) AS n FROM issues GROUP BY 1
 """

@@ -862,15 +862,20 @@ def predicate_audit(tables: Tables) -> DataFrame:
 
 @query
 def mapping_report(tables: Tables) -> DataFrame:
-    """Customers as classes and orders as relations between a customer and a part
-    of their lines: which have no counterpart."""
-    customers = tables["customer"].select(F.col("c_custkey").cast("string").alias("name"))
-    active = tables["events"].select(F.col("user_id").cast("string").alias("name"))
+    """Customers as classes, mapped unless in debt; orders as relations from their
+    customer to the first one, held by a table where they have lines."""
+    def named(column: str):
+        return F.col(column).cast("string")
+
+    customers = tables["customer"].select(named("c_custkey").alias("name"))
+    sound = tables["customer"].where(F.col("c_acctbal") >= 0)
     relations = tables["orders"].select(
-        F.col("o_orderkey").cast("string").alias("name"),
-        F.col("o_custkey").cast("string").alias("domain"),
-        F.col("o_custkey").cast("string").alias("range"),
+        named("o_orderkey").alias("name"),
+        named("o_custkey").alias("domain"),
+        F.lit("0").alias("range"),
+    )
+    lines = tables["lineitem"].select(named("l_orderkey").alias("name"))
+    report = taxonomy.mapping_report(
+        customers, relations, sound.select(named("c_custkey").alias("name")), lines
     )
-    lines = tables["lineitem"].select(F.col("l_orderkey").cast("string").alias("name"))
-    report = taxonomy.mapping_report(customers, relations, active, lines)
     return report.groupBy("issue").agg(F.count("*").alias("n"))
