@@ -1,6 +1,6 @@
 """Portfolio graph analytics on Spark DataFrames."""
 
-from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec
+from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec, SeriesSpec
 from ledgerweave.schema import Field, ForeignKey, TableContract
 
 __all__ = [
@@ -10,5 +10,6 @@ __all__ = [
     "Graph",
     "GraphSpec",
     "NodeSpec",
+    "SeriesSpec",
     "TableContract",
 ]

@@ -49,8 +49,9 @@ SEPARATORS = r"_\-/"
 FOLDED = f"[{SEPARATORS}{OTHER_BLANKS}][ {SEPARATORS}{OTHER_BLANKS}]*| [ {SEPARATORS}{OTHER_BLANKS}]+"
 LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
 NUMBER = r"-?\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
-# A whole word has no letter, digit or underscore next to it.
-WORD_CHAR = r"[\p{L}\p{N}_]"
+# A whole word has no letter, digit or underscore next to it. The digit from beyond the
+# basic plane makes Java look back by whole characters, not by halves of a pair.
+WORD_CHAR = r"[\p{L}\p{N}_" + chr(0x1D7CF) + "]"
 # FROM or JOIN in any case, then looking back whether a word starts there; then a
 # name, of which the last dotted part counts. Names are ASCII letters in any case
 # (four other letters fold to those).
@@ -84,7 +85,7 @@ BLANK_CHARS = "".join(
 _OTHER_DIGITS = [
     chr(c)
     for c in range(128, sys.maxunicode + 1)
-    if unicodedata.category(chr(c)) == "Nd" and c < 0x10000
+    if unicodedata.category(chr(c)) == "Nd"
 ]
 _ASCII_TWINS = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 _OTHER_DIGITS = "".join(_OTHER_DIGITS)

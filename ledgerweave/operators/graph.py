@@ -38,10 +38,23 @@ class EdgeSpec:
     properties: Mapping[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class SeriesSpec:
+    """Readings of a node over time: the table, the key of the node they belong to,
+    the instant, and the read properties (name -> column)."""
+
+    label: str
+    table: str
+    key: tuple[str, ...]
+    instant: str
+    properties: Mapping[str, str]
+
+
 @dataclass(frozen=True)
 class GraphSpec:
     nodes: Mapping[str, NodeSpec]
     edges: Mapping[str, EdgeSpec]
+    series: Mapping[str, SeriesSpec] = field(default_factory=dict)
 
     def in_source_row(self, edge: str) -> bool:
         """The edge is a reference column of its source node's own table."""
@@ -102,6 +115,19 @@ class Graph:
             )
         )
 
+    def series(self, name: str) -> DataFrame:
+        """(node_id, instant, properties...) of one time series."""
+        spec = self.spec.series[name]
+        return (
+            self.tables[spec.table]
+            .where(all_set(spec.key) & F.col(spec.instant).isNotNull())
+            .select(
+                key_of(spec.key).alias("node_id"),
+                F.col(spec.instant).alias("instant"),
+                *[F.col(c).alias(p) for p, c in spec.properties.items()],
+            )
+        )
+
     def all_nodes(self) -> DataFrame:
         """(label, node_id as text) of every label."""
         views = [

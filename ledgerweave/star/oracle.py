@@ -647,6 +647,39 @@ scores AS (
              'all correct') AS notes
   FROM asked)
 """
+JUDGED = f"""
+{SCORES},
+judged AS (
+  SELECT m.scenario_id, m.domain, m.gold_label, m.agent_type, md5(m.answer) AS answer_md5,
+         CASE WHEN len(m.signals) > 0 THEN len(m.no_signal) = 0 END AS ok,
+         array_to_string(m.signals, '|') AS signals,
+         array_to_string(list_filter(m.signals,
+             lambda w: NOT list_contains(m.no_signal, w)), '|') AS matched,
+         array_to_string(m.no_signal, '|') AS missing
+  FROM measured m),
+questions AS (
+  SELECT g.scenario_id, g.domain, g.gold_label AS expected_answer,
+         array_to_string(g.signals, '|') AS ontology_signals,
+         n.answer_md5 AS answer_md5_naked, o.answer_md5 AS answer_md5_ontology,
+         n.ok AS evaluation_judgement_naked, o.ok AS evaluation_judgement_ontology,
+         n.matched AS matched_signals_naked, o.matched AS matched_signals_ontology,
+         n.missing AS missing_signals_naked, o.missing AS missing_signals_ontology
+  FROM golden g
+  LEFT JOIN judged n ON n.scenario_id = g.scenario_id AND n.agent_type = 'naked'
+  LEFT JOIN judged o ON o.scenario_id = g.scenario_id AND o.agent_type = 'ontology')
+"""
+ORACLE["question_judgements"] = f"WITH {JUDGED} SELECT * FROM questions"
+ORACLE["judgement_summary"] = f"""
+WITH {JUDGED},
+v AS (
+  SELECT 'naked' AS agent, evaluation_judgement_naked AS ok FROM questions
+  UNION ALL SELECT 'ontology', evaluation_judgement_ontology FROM questions)
+SELECT agent, COUNT(*) FILTER (WHERE ok) AS correct, COUNT(ok) AS scored,
+       COUNT(*) - COUNT(ok) AS na, COUNT(*) AS total,
+       COALESCE(ROUND(100.0::DOUBLE * COUNT(*) FILTER (WHERE ok) / NULLIF(COUNT(ok), 0), 1), 0.0)
+           AS accuracy_pct
+FROM v GROUP BY 1
+"""
 ORACLE["score_rows"] = f"WITH {SCORES} SELECT * EXCLUDE (domain) FROM scores"
 CARD = f"""
 {SCORES},

@@ -14,6 +14,7 @@ from ledgerweave.operators.pairs import shared_pairs
 from ledgerweave.operators.patterns import To, expand, match, top
 from ledgerweave.plans import scorecard as cards
 from ledgerweave.plans import scoring, shapes
+from ledgerweave.plans.evaluation import agent_summary, question_rows
 from ledgerweave.plans.suite import run_suite
 from ledgerweave.sources.records import parse_scenarios
 from ledgerweave.sources.text_tables import conform, loadable, rejected
@@ -239,11 +240,12 @@ def node_labels(tables: Tables) -> DataFrame:
 
 @query
 def latest_timeseries_value(tables: Tables) -> DataFrame:
-    last = metrics.latest_values(tables["events"], "user_id", "event_type", "ts", "value")
+    readings = star_graph(tables).series("customer_events")
+    last = metrics.latest_values(readings, "node_id", "kind", "instant", "value")
     return last.select(
-        F.col("user_id").alias("entity_id"),
-        F.col("event_type").alias("property"),
-        F.col("ts"),
+        F.col("node_id").alias("entity_id"),
+        F.col("kind").alias("property"),
+        F.col("instant").alias("ts"),
         F.col("value").alias("latest_value"),
     )
 
@@ -728,6 +730,30 @@ def comparison_answers(tables: Tables) -> DataFrame:
     )
 
 
+def _questions(tables: Tables) -> DataFrame:
+    scenarios = texts.golden(tables).withColumn("user_question", F.col("domain"))
+    return question_rows(scenarios, texts.answers(tables))
+
+
+@query
+def question_judgements(tables: Tables) -> DataFrame:
+    rows = _questions(tables)
+    lists = [c for c in rows.columns if "signals" in c]
+    return rows.select(
+        "scenario_id",
+        "domain",
+        "expected_answer",
+        *[F.md5(f"actual_answer_{a}").alias(f"answer_md5_{a}") for a in scoring.AGENTS],
+        *[f"evaluation_judgement_{a}" for a in scoring.AGENTS],
+        *[F.array_join(c, "|").alias(c) for c in lists],
+    )
+
+
+@query
+def judgement_summary(tables: Tables) -> DataFrame:
+    return agent_summary(_questions(tables))
+
+
 def _scores(tables: Tables) -> DataFrame:
     inferred = scoring.infer_metadata(
         texts.answers(tables), texts.KNOWN_TABLES, texts.KNOWN_RELATIONSHIPS

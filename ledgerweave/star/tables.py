@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec
+from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec, SeriesSpec
 from ledgerweave.schema import DAY, FLAG, INSTANT, INT, LONG, MONEY, TEXT, Field, TableContract
 
 
@@ -112,6 +112,11 @@ SPEC = GraphSpec(
         "line_has_part": _edge("Line", "Part", "lineitem", LINE_KEY, "l_partkey"),
         "event_concerns_customer": _edge("Event", "Customer", "events", "event_id", "user_id"),
     },
+    series={
+        "customer_events": SeriesSpec(
+            "Customer", "events", ("user_id",), "ts", {"kind": "event_type", "value": "value"}
+        ),
+    },
 )
 
 

@@ -4,7 +4,9 @@ from decimal import Decimal as D
 import pytest
 from conftest import rows
 
+from ledgerweave.portfolio.competency import COMPETENCY
 from ledgerweave.portfolio.contracts import PORTFOLIO
+from ledgerweave.portfolio.load import catalog_graph, load_portfolio
 from ledgerweave.sources import text_tables as src
 
 FORBEARANCE = PORTFOLIO["forbearance_event"]
@@ -102,3 +104,23 @@ def test_load_appends(spark, tmp_path):
     assert table.schema.fieldNames() == agency.columns
     src.create_table(spark, agency, "agencies")  # there already: stays as it is
     assert spark.table("agencies").count() == 4
+
+
+def test_load_a_portfolio_and_query_it(spark, tmp_path):
+    write(tmp_path / "collection_agent.csv", "collection_agent_id,legal_name\n1,A\n2,B\n")
+    write(
+        tmp_path / "external_collection_event.csv",
+        "external_collection_event_id,collection_agent_id,cash_recoveries\n"
+        "1,1,10.5\n2,1,\n3,2,2.25\n4,7,1\n5,,1\n",
+    )
+    loaded = load_portfolio(spark, str(tmp_path), "p1_")
+    assert {name for name, there in loaded.items() if there} == {
+        "collection_agent",
+        "external_collection_event",
+    }
+    graph = catalog_graph(spark, "p1_")
+    assert [tuple(r) for r in COMPETENCY["cq07"](graph).collect()] == [
+        ("A", D("10.50")),
+        ("B", D("2.25")),
+    ]
+    assert COMPETENCY["cq01"](graph).first()[0] == 7

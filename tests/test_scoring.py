@@ -4,8 +4,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ledgerweave.plans import evaluation, scoring
 from ledgerweave.plans import scorecard as cards
-from ledgerweave.plans import scoring
 from ledgerweave.plans.suite import run_suite, suite_totals
 from ledgerweave.sources import records
 
@@ -245,6 +245,53 @@ def test_agent_accuracy(spark):
     ]
 
 
+def test_question_rows(spark):
+    scenarios = spark.createDataFrame(
+        [("Q1", "d", "?", "m", ["Loan", "write_off"]), ("Q2", "d", "?", "", []), ("Q3", "d", "?", "", ["x"])],
+        "scenario_id string, domain string, user_question string, gold_label string, "
+        "ontology_signals array<string>",
+    )
+    answers = spark.createDataFrame(
+        [
+            ("Q1", "naked", "a loan"),
+            ("Q1", "ontology", "Loan: write-off"),
+            ("Q2", "naked", "?"),
+            ("Q2", "ontology", None),
+            ("Q9", "naked", "lost"),
+        ],
+        "scenario_id string, agent_type string, answer string",
+    )
+    questions = evaluation.question_rows(scenarios, answers)
+    found = {r.scenario_id: r for r in questions.collect()}
+    assert found["Q1"].evaluation_judgement_naked is False
+    assert found["Q1"].missing_signals_naked == ["write_off"]
+    assert found["Q1"].matched_signals_ontology == ["Loan", "write_off"]
+    assert found["Q2"].evaluation_judgement_naked is None
+    assert found["Q3"].actual_answer_naked is None and len(found) == 3
+    assert rows(evaluation.agent_summary(questions)) == [
+        ("naked", 0, 1, 2, 3, 0.0),
+        ("ontology", 1, 1, 2, 3, 100.0),
+    ]
+
+
+def test_evaluate(spark, comparison):
+    done = evaluation.evaluate(comparison, ["loan"])
+    assert rows(done.totals) == [("Naked", 5, 7, "71%"), ("Ontology", 2, 6, "33%")]
+    assert done.note is None and done.card.count() == 2
+    other = records.scenarios_of(comparison).withColumn("domain", F.lit("moved"))
+    with pytest.raises(ValueError, match="does not match"):
+        evaluation.evaluate(comparison, scenarios=other)
+    assert "accepted" in evaluation.evaluate(comparison, scenarios=other, override=True).note
+    same = records.scenarios_of(comparison).orderBy(F.desc("scenario_id"))
+    assert evaluation.evaluate(comparison, scenarios=same).note is None
+    bare = comparison.withColumn("scenariosPayload", F.expr("slice(scenariosPayload, 1, 0)"))
+    with pytest.raises(ValueError, match="no scenarios"):
+        evaluation.evaluate(bare)
+    fewer = comparison.withColumn("scenariosPayload", F.expr("slice(scenariosPayload, 1, 1)"))
+    with pytest.raises(ValueError, match="unknown_id"):
+        evaluation.evaluate(fewer)
+
+
 # -- Integrity ---------------------------------------------------------------------------
 
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +187,34 @@ def test_texts_stay_in_the_engine(spark):
         t.mentioned_tables(F.col("s"), ["a", "b"]),
     )._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_same_as_python_on_random_texts(spark):
+    """Blanks, digits and words of many scripts, against Python's own idea of them."""
+    draw = random.Random(5)
+    bits = list("aZé_ßЖ-/.,$019٣𝟏 \t\n\x0b\x1c\x85\xa0\u2003\u2028\u3000\u200b[]:`") + [
+        "from ", "JOIN\t", " join", "xfrom ", "loan", "Loan", "my_loan", "[:has_x]", "[ :`y` ]", "[r:z]",
+    ]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    s = F.col("s")
+    found = df.select(
+        "i",
+        t.normalize(s).alias("plain"),
+        t.stripped(s).alias("bare"),
+        t.numbers(s).alias("numbers"),
+        t.mentioned_tables(s, ["loan"]).alias("tables"),
+        t.mentioned_relationships(s, ["loan"]).alias("relations"),
+    ).collect()
+    for row in found:
+        text = texts[row.i]
+        assert row.bare == text.strip()
+        assert row.plain == " ".join(re.split(r"[\s_/-]+", text.lower())).strip()
+        tokens = re.findall(r"-?\$?\d[\d,]*(?:\.\d+)?", text)
+        assert row.numbers == [float(re.sub("[,$]", "", n)) for n in tokens]
+        names = {n.split(".")[-1] for n in re.findall(r"\b(?:from|join)\s+([a-z0-9_.]+)", text, re.I)}
+        names |= {"loan"} if re.search(r"\bloan\b", text, re.I) else set()
+        assert row.tables == sorted(names), text
+        links = set(re.findall(r"\[\s*:`?([a-zA-Z_][a-zA-Z0-9_]*)`?\s*\]", text))
+        links |= {"loan"} if re.search(r"\bloan\b", text) else set()
+        assert row.relations == sorted(links), text
