@@ -46,7 +46,8 @@ OTHER_BLANKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + RARE_BLANKS
 BLANK = f"[ {OTHER_BLANKS}]"
 # A run of separators and blanks, unless it is a single space already.
 SEPARATORS = r"_\-/"
-FOLDED = f"[{SEPARATORS}{OTHER_BLANKS}][ {SEPARATORS}{OTHER_BLANKS}]*| [ {SEPARATORS}{OTHER_BLANKS}]+"
+FOLDABLE = f"[ {SEPARATORS}{OTHER_BLANKS}]"
+FOLDED = f"[{SEPARATORS}{OTHER_BLANKS}]{FOLDABLE}*| {FOLDABLE}+"
 LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
 NUMBER = r"-?\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
 # A whole word has no letter, digit or underscore next to it. The digit from beyond the

@@ -35,19 +35,21 @@ def shared_pairs(
         .where(F.col("g").isNotNull() & F.col("m").isNotNull())
         .distinct()
     )
-    crowded_groups = (
-        memberships.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > wide).select("g")
-    )
-    if crowded_groups.isEmpty():
+    if _crowded(memberships, wide).isEmpty():
         counts = _direct_pairs(memberships)
     else:
         memberships = cut_lineage(memberships)
-        counts = _with_crowded_groups(memberships, crowded_groups, hub)
+        counts = _with_crowded_groups(memberships, _crowded(memberships, wide), hub)
     return counts.where(F.col("n") >= min_shared).select(
         F.col("a").alias(f"{member}_a"), F.col("b").alias(f"{member}_b"), F.col("n").alias(alias)
     )
 
 
+def _crowded(memberships: DataFrame, wide: int) -> DataFrame:
+    sizes = memberships.groupBy("g").agg(F.count("*").alias("n"))
+    return sizes.where(F.col("n") > wide).select("g")
+
+
 def _direct_pairs(memberships: DataFrame) -> DataFrame:
     """(a, b, n): members of the same group, counted before they are shuffled."""
     left = memberships.select("g", F.col("m").alias("a"))

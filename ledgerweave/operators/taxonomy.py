@@ -47,7 +47,9 @@ def _upward(links: DataFrame) -> DataFrame:
         )
         found = cut_lineage(
             longest.join(further, "ancestor").select(
-                "node", F.col("beyond").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")
+                "node",
+                F.col("beyond").alias("ancestor"),
+                (F.col("depth") + F.col("more")).alias("depth"),
             )
         )
         if found.isEmpty():
@@ -304,7 +306,8 @@ def unsupported_uses(triples: DataFrame) -> DataFrame:
 
 def unmapped(names: DataFrame, known: DataFrame, issue: str) -> DataFrame:
     """(issue, name): the names that no known one matches; both have column ``name``."""
-    missing = names.select("name").distinct().join(known.select("name").distinct(), "name", "left_anti")
+    known = known.select("name").distinct()
+    missing = names.select("name").distinct().join(known, "name", "left_anti")
     return missing.select(F.lit(issue).alias("issue"), "name")
 
 
@@ -336,4 +339,5 @@ def require_clean(report: DataFrame) -> None:
     """Strict mode: any issue stops the job; the first few are named."""
     issues = report.orderBy("issue", "name").limit(20).collect()
     if issues:
-        raise ValueError("mapping is incomplete: " + "; ".join(f"{i.issue} {i.name}" for i in issues))
+        listed = "; ".join(f"{i.issue} {i.name}" for i in issues)
+        raise ValueError(f"mapping is incomplete: {listed}")

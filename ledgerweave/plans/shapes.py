@@ -83,7 +83,8 @@ def rollup_of_members(
     group nor a thing with very many links makes a hot join key.
     """
     spec = graph.spec
-    members = match(graph, spec.edges[membership].source, "src", follow={"g": To(membership, [prop])})
+    member = spec.edges[membership].source
+    members = match(graph, member, "src", follow={"g": To(membership, [prop])})
     pairs = (
         graph.edges(link)
         .join(members, "src")
@@ -96,7 +97,9 @@ def rollup_of_members(
     return pairs.groupBy(by).agg(F.count("*").alias(alias)).orderBy(F.desc(alias), by)
 
 
-def conditional_sums(rows: DataFrame, measure: Column, parts: Mapping[str, Column | None]) -> DataFrame:
+def conditional_sums(
+    rows: DataFrame, measure: Column, parts: Mapping[str, Column | None]
+) -> DataFrame:
     """Several sums of one measure in one pass; a part without condition is the total."""
     zero = F.lit(0)
     return rows.agg(

@@ -231,12 +231,19 @@ def foreclosure_preconditions(g: Graph) -> DataFrame:
             "collateral_id",
             "left",
         )
-        .select(F.col("concerns_loan_id").alias("loan_id"), "latest_valuation_amount", "is_property")
+        .select(
+            F.col("concerns_loan_id").alias("loan_id"), "latest_valuation_amount", "is_property"
+        )
         .where(F.col("loan_id").isNotNull())
     )
     enforcement = g.tables["enforcement_event"].where(F.col("loan_id").isNotNull())
     loans = g.tables["loan"].select(
-        "loan_id", "is_non_performing", "ifrs_stage", "default_date", "days_past_due", "write_off_flag"
+        "loan_id",
+        "is_non_performing",
+        "ifrs_stage",
+        "default_date",
+        "days_past_due",
+        "write_off_flag",
     )
     report = metrics.with_side_totals(
         loans,

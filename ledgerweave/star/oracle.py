@@ -17,7 +17,7 @@ def _list(words) -> str:
 ORACLE["ingest_typed"] = """
 SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
        CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice,
-       CAST(o_orderdate AS DATE) AS o_orderdate,
+       CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS o_orderdate,
        CAST(epoch(o_orderdate) AS BIGINT) AS placed_at,
        CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS is_final,
        o_orderpriority, CAST(NULL AS VARCHAR) AS clerk
@@ -167,7 +167,7 @@ ORACLE["contract_report"] = (
     )
 )
 ORACLE["default_fill"] = """
-SELECT d.doc_id, l.quality, COALESCE(l.toxic, 0) AS toxic
+SELECT d.doc_id, COALESCE(l.toxic, 0) AS toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
@@ -400,7 +400,8 @@ WITH m AS (
   FROM lineitem GROUP BY 1, 2),
 x AS (
   SELECT m.*, CAST(o.o_totalprice AS DECIMAL(18,2)) AS principal,
-         CASE WHEN o.o_orderstatus = 'F' THEN CAST(o.o_totalprice AS DECIMAL(18,2)) ELSE 0 END AS ead
+         CASE WHEN o.o_orderstatus = 'F' THEN CAST(o.o_totalprice AS DECIMAL(18,2)) ELSE 0 END
+             AS ead
   FROM m JOIN orders o ON o.o_orderkey = m.l_orderkey)
 SELECT l_suppkey AS party_id,
        CAST(SUM(principal) AS DECIMAL(38,2)) AS principal_all_roles,
@@ -423,7 +424,10 @@ GROUP BY o.o_orderkey, o.o_orderstatus
 
 # -- Texts ------------------------------------------------------------------------------------
 
-BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK = (
+    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 NUMBER = r"-?\$?[0-9][0-9,]*(?:\.[0-9]+)?"
 EDGE = r"[^\p{L}\p{N}_]"
 
@@ -737,7 +741,7 @@ ORACLE["payload_fingerprint"] = (
     "WITH x AS (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, "
     "o_orderpriority)) AS h FROM orders) SELECT COUNT(*) AS n_rows, "
     + ", ".join(
-        f"CAST(SUM(CAST('0x' || substr(h, {1 + 15 * lane}, 15) AS BIGINT)) AS DECIMAL(38,0)) "
+        f"CAST(SUM(CAST('0x' || substr(h, {1 + 15 * lane}, 15) AS BIGINT)) AS VARCHAR) "
         f"AS lane_{lane + 1}"
         for lane in range(4)
     )

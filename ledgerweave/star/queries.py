@@ -62,7 +62,9 @@ def _order_file(tables: Tables) -> DataFrame:
 @query
 def ingest_typed(tables: Tables) -> DataFrame:
     rows = loadable(conform(_order_file(tables), ORDER_FILE))
-    return rows.withColumn("placed_at", F.unix_seconds("placed_at"))
+    return rows.withColumns(
+        {"placed_at": F.unix_seconds("placed_at"), "o_orderdate": F.unix_date("o_orderdate")}
+    )
 
 
 @query
@@ -206,7 +208,7 @@ def contract_report(tables: Tables) -> DataFrame:
 
 @query
 def default_fill(tables: Tables) -> DataFrame:
-    rows = texts.labelled(tables).select("doc_id", "quality", "toxic")
+    rows = texts.labelled(tables).select("doc_id", "toxic")
     return quality.fill_defaults(rows, CONTRACTS["labels"])
 
 
@@ -798,7 +800,10 @@ def id_integrity(tables: Tables) -> DataFrame:
 @query
 def payload_fingerprint(tables: Tables) -> DataFrame:
     row = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return cards.fingerprint(tables["orders"], F.sha2(row, 256))
+    found = cards.fingerprint(tables["orders"], F.sha2(row, 256))
+    return found.select(
+        "n_rows", *[F.col(c).cast("string").alias(c) for c in found.columns if c != "n_rows"]
+    )
 
 
 # -- Class hierarchies ------------------------------------------------------------------------

@@ -102,6 +102,14 @@ def _link(loan, borrower, role):
     return {"loan_id": loan, "borrower_id": borrower, "role_type": role}
 
 
+def _collected(event, agent, cash):
+    return {
+        "external_collection_event_id": event,
+        "collection_agent_id": agent,
+        "cash_recoveries": cash,
+    }
+
+
 @pytest.fixture(scope="session")
 def tables(spark):
     """A portfolio that exercises every rule: one pair with two roles on a loan, two
@@ -212,10 +220,10 @@ def tables(spark):
         "external_collection_event": build(
             spark,
             "external_collection_event",
-            {"external_collection_event_id": 1, "collection_agent_id": 1, "cash_recoveries": "10.10"},
-            {"external_collection_event_id": 2, "collection_agent_id": 1, "cash_recoveries": "20.20"},
-            {"external_collection_event_id": 3, "collection_agent_id": 2, "cash_recoveries": "5"},
-            {"external_collection_event_id": 4, "collection_agent_id": 3, "cash_recoveries": "1"},
+            _collected(1, 1, "10.10"),
+            _collected(2, 1, "20.20"),
+            _collected(3, 2, "5"),
+            _collected(4, 3, "1"),
         ),
     }
 
