@@ -29,17 +29,16 @@ def _bound(var: str, props: Sequence[str]) -> list[Column]:
 
 
 def _rows_with_ends(
-    graph: Graph, label: str, ends: Mapping[str, str], where: Column | None
+    graph: Graph, label: str, ends: Mapping[str, tuple[str, ...]], where: Column | None
 ) -> DataFrame:
-    """Nodes of ``label`` with the far keys of its own reference columns.
+    """Nodes of ``label`` with the nodes that their own reference columns lead to.
 
-    ``ends`` maps a column name to an edge. Rows that lack a reference are left out.
+    ``ends`` maps a name to those columns. Rows that lack a reference are left out.
     """
     home = graph.spec.nodes[label]
     table = graph.tables[home.table]
     far = []
-    for end, name in ends.items():
-        columns = graph.spec.edges[name].target_key
+    for end, columns in ends.items():
         table = table.where(all_set(columns))
         far.append(key_of(columns).alias(f"__{end}"))
     rows = table.select(
@@ -80,7 +79,8 @@ def match(
         if graph.spec.edges[to.edge].source != label:
             raise ValueError(f"{to.edge} does not start at {label}")
     near = {end: to for end, to in follow.items() if graph.spec.in_source_row(to.edge)}
-    rows = _rows_with_ends(graph, label, {end: to.edge for end, to in near.items()}, where)
+    ends = {end: graph.spec.edges[to.edge].target_key for end, to in near.items()}
+    rows = _rows_with_ends(graph, label, ends, where)
     rows = rows.select(*_bound(var, props), *[F.col(f"__{end}").alias(end) for end in near])
     for end, to in follow.items():
         if end in near:
@@ -102,15 +102,16 @@ def expand(
 ) -> DataFrame:
     """Follow an edge from variable ``at`` to variable ``var``.
 
-    Edge properties become columns ``<edge>_<property>``. Against the direction of
-    a reference column the far node is the row that holds the reference, so its
-    properties come along without another join.
+    Edge properties become columns ``<edge>_<property>``. Where the far node's own
+    row holds the reference, its properties come along without another join.
     """
     edge = graph.spec.edges[to.edge]
     near, far = ("dst", "src") if reverse else ("src", "dst")
     label = edge.source if reverse else edge.target
-    if reverse and graph.spec.in_source_row(to.edge) and not edge_props and edge_where is None:
-        hops = _rows_with_ends(graph, label, {at: to.edge}, to.where)
+    in_far_row = graph.spec.in_source_row if reverse else graph.spec.in_target_row
+    if in_far_row(to.edge) and not edge_props and edge_where is None:
+        back = edge.target_key if reverse else edge.source_key
+        hops = _rows_with_ends(graph, label, {at: back}, to.where)
         return rows.join(hops.select(F.col(f"__{at}").alias(at), *_bound(var, to.props)), at)
     hops = graph.edges(to.edge)
     hops = hops if edge_where is None else hops.where(edge_where)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ class Evaluation:
     scores: DataFrame
     card: DataFrame
     totals: DataFrame
-    note: str | None
+    note: str | None = None
 
 
 def evaluate(
@@ -102,16 +102,27 @@ def evaluate(
         note = cards.require_same_payload(
             cards.fingerprint(embedded), cards.fingerprint(scenarios), override
         )
-    questions = questions_of(comparison)
-    cards.require_sound_ids(
-        cards.id_anomalies(scenarios, "scenario_id", scenarios, "scenario_id")
-    )
-    cards.require_sound_ids(
-        cards.id_anomalies(questions, "scenario_id", scenarios, "scenario_id")
+    done = evaluate_questions(
+        questions_of(comparison), scenarios, known_tables, known_relationships, strip_prefix
     )
+    return replace(done, note=note)
+
+
+def evaluate_questions(
+    questions: DataFrame,
+    scenarios: DataFrame,
+    known_tables: Sequence[str] = (),
+    known_relationships: Sequence[str] = (),
+    strip_prefix: str | None = None,
+) -> Evaluation:
+    """Score asked questions against scenarios, both of any size."""
+    for rows in (scenarios, questions):
+        cards.require_sound_ids(
+            cards.id_anomalies(rows, "scenario_id", scenarios, "scenario_id")
+        )
     answers = scoring.infer_metadata(
         scoring.answers_from_questions(questions), known_tables, known_relationships, strip_prefix
     )
     scores = scoring.score_answers(answers, golden_answers(scenarios))
     card = cards.scorecard(scores, scenarios)
-    return Evaluation(scores, card, cards.scorecard_totals(card), note)
+    return Evaluation(scores, card, cards.scorecard_totals(card))

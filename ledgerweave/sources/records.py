@@ -97,9 +97,11 @@ def parse_scenarios(payloads: DataFrame, column: str) -> DataFrame:
     return with_defaults(payloads.select(record).select("record.*"))
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenarios from files that hold one JSON array each."""
-    return with_defaults(spark.read.schema(SCENARIO_SCHEMA).option("multiLine", True).json(path))
+def read_scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scenarios from files that hold one JSON array each, or with ``lines`` one
+    object per line, which large sets need: those files can be split."""
+    reader = spark.read.schema(SCENARIO_SCHEMA).option("multiLine", not lines)
+    return with_defaults(reader.json(path))
 
 
 def golden_answers(scenarios: DataFrame) -> DataFrame:
@@ -115,6 +117,12 @@ def read_comparison(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
 
 
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Asked questions, one JSON object per line. A comparison file is one object and
+    so the work of one task; sets of any size come this way."""
+    return spark.read.schema(QUESTION_SCHEMA).json(path)
+
+
 def questions_of(comparison: DataFrame) -> DataFrame:
     """One row per asked question, both agents side by side."""
     return comparison.select(F.explode("perQuestion").alias("asked")).select("asked.*")

@@ -3,6 +3,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.graph import (
+    EdgeSpec,
+    Graph,
+    GraphSpec,
+    SeriesSpec,
     distinct_pairs,
     inverse,
     parallel_edges,
@@ -10,6 +14,7 @@ from ledgerweave.operators.graph import (
     snake,
     snapshot,
 )
+from ledgerweave.operators.metrics import latest_values
 from ledgerweave.operators.patterns import To, expand, match, top
 from ledgerweave.portfolio.competency import COMPETENCY
 from ledgerweave.portfolio.contracts import PORTFOLIO
@@ -103,6 +108,28 @@ def test_expand_both_ways(graph):
     assert rows(back.select("l", "c")) == [(1, 1)]
 
 
+def test_reference_in_the_row_of_the_target(tables):
+    secured = EdgeSpec("Loan", "Collateral", "collateral", ("concerns_loan_id",), ("collateral_id",))
+    graph = Graph(GraphSpec(SPEC.nodes, {"secured_by": secured}), tables)
+    assert rows(graph.edges("secured_by")) == [(1, 1), (2, 2), (3, 3), (3, 5)]
+    loans = match(graph, "Loan", "l", where=F.col("loan_id") == 3)
+    found = expand(graph, loans, "l", "c", To("secured_by", ["collateral_type"]))
+    assert rows(found) == [(3, 3, "cash"), (3, 5, "property")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_series(spark):
+    spec = GraphSpec({}, {}, {"s": SeriesSpec("Loan", "t", ("loan",), "at", {"rate": "r"})})
+    t = spark.createDataFrame(
+        [(1, 5, 0.1), (1, 7, 0.2), (1, 7, 0.3), (2, None, 0.4), (None, 1, 0.5)],
+        "loan long, at int, r double",
+    )
+    readings = Graph(spec, {"t": t}).series("s")
+    assert rows(readings) == [(1, 5, 0.1), (1, 7, 0.2), (1, 7, 0.3)]
+    named = readings.withColumn("prop", F.lit("rate"))
+    assert rows(latest_values(named, "node_id", "prop", "instant", "rate")) == [(1, "rate", 7, 0.3)]
+
+
 def test_follow_a_link_table(graph):
     rows_ = match(graph, "Loan", "l", where=F.col("loan_id") == 3, follow={"b": To("has_borrower")})
     assert rows(rows_) == [(3, 3)]

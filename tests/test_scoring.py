@@ -343,6 +343,18 @@ def test_sinks(spark, scores, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
 
 
+def test_records_by_line(spark, comparison, tmp_path):
+    asked, scenarios = records.questions_of(comparison), records.scenarios_of(comparison)
+    records.write_records(asked, str(tmp_path / "asked"))
+    records.write_records(scenarios, str(tmp_path / "scenarios"))
+    done = evaluation.evaluate_questions(
+        records.read_questions(spark, str(tmp_path / "asked")),
+        records.read_scenarios(spark, str(tmp_path / "scenarios"), lines=True),
+        ["loan"],
+    )
+    assert rows(done.totals) == [("Naked", 5, 7, "71%"), ("Ontology", 2, 6, "33%")]
+
+
 def test_scenario_file(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"scenario_id": "Q1", "new": 2}]), "utf-8")
     golden = records.read_golden_answers(spark, str(tmp_path)).first()
