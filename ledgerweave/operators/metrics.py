@@ -39,12 +39,12 @@ def side_by_side(rows: DataFrame, definitions: Mapping[str, Column]) -> DataFram
 
 
 def present(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
-    """Rows whose key occurs among ``others``."""
+    """Rows whose key occurs among ``others``; the key is meant to be that of ``rows``."""
     return rows.join(_keys(others, other_key, key), key, "left_semi")
 
 
 def absent(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
-    """Rows whose key occurs nowhere among ``others``."""
+    """Rows whose key occurs nowhere among ``others``; a NULL key occurs nowhere."""
     return rows.join(_keys(others, other_key, key), key, "left_anti")
 
 
@@ -68,19 +68,21 @@ def role_counts(
 
 def role_fanout(
     links: DataFrame,
-    things: DataFrame,
-    parties: DataFrame,
+    things: DataFrame | None,
+    parties: DataFrame | None,
     thing: str,
     party: str,
     role: str,
 ) -> DataFrame:
-    """(thing, party, role) of every link, all roles, whose both ends exist."""
-    return (
-        links.select(thing, party, role)
-        .distinct()
-        .join(parties.select(party), party, "left_semi")
-        .join(things.select(thing), thing, "left_semi")
-    )
+    """(thing, party, role) of every link, all roles, whose both ends exist.
+
+    Pass None for an end whose references are known to be whole, to save its join.
+    """
+    found = links.select(thing, party, role).distinct()
+    for end, key in ((parties, party), (things, thing)):
+        if end is not None:
+            found = found.join(end.select(key), key, "left_semi")
+    return found
 
 
 def conflicting_keys(

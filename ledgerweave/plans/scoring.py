@@ -36,14 +36,14 @@ def latest_answers(
     """(thread, alias): the last assistant message of every thread, trimmed.
 
     Threads without one, or with a blank one, answer ``<empty>``. Other roles send
-    only their thread id, not their text.
+    only their thread id: their text is gone before anything is sorted.
     """
-    spoken = F.col(role) == "assistant"
-    last = F.max(F.when(spoken, F.struct(F.col(turn).alias("turn"), F.col(body).alias("body"))))
+    message = F.struct(F.col(turn).alias("turn"), F.col(body).alias("body"))
+    said = messages.select(thread, F.when(F.col(role) == "assistant", message).alias("said"))
     body_of = t.stripped(F.col("last.body"))
     return (
-        messages.groupBy(thread)
-        .agg(last.alias("last"))
+        said.groupBy(thread)
+        .agg(F.max("said").alias("last"))
         .select(
             thread,
             F.coalesce(F.nullif(body_of, F.lit("")), F.lit(t.EMPTY_ANSWER)).alias(alias),

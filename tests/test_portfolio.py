@@ -1,6 +1,7 @@
 """The competency queries and the questions on the small portfolio, with the
 wrong answers that come close."""
 
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -122,6 +123,22 @@ def test_ratio_of_nothing_is_null(graph):
     assert metrics.share_pct(none, exposure(), F.col("is_non_performing"), "r", 2).first()[0] is None
 
 
+def test_conflicts_without_pairs(spark):
+    draw = random.Random(3)
+
+    def side(name):
+        data = [
+            (draw.randrange(30), draw.choice(["a", "b", None]) if draw.random() < 0.4 else "a")
+            for _ in range(45)
+        ]
+        return data, spark.createDataFrame(data, f"k int, {name} string")
+
+    (ours, one), (theirs, other) = side("v"), side("w")
+    expected = {k for k, v in ours for q, w in theirs if k == q and v and w and v != w}
+    found = metrics.conflicting_keys(one, other, "k", "v", "w")
+    assert {r.k for r in found.collect()} == expected and expected
+
+
 def test_verified_edges_need_no_look_at_the_far_end(graph, tables):
     trusting = portfolio_graph(tables, verified=["has_borrowed_loan"])
     found = {r[0]: r[1] for r in COMPETENCY["cq06"](trusting).collect()}

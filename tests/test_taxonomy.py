@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 
@@ -20,6 +22,39 @@ def test_closure_of_a_chain(spark, n):
     assert rows(tx.closure(chain(spark, n))) == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_forest(spark, seed):
+    """Closure, roots and inheritance against walking up in Python."""
+    draw = random.Random(seed)
+    parent = {n: draw.randrange(n) for n in range(1, 60) if draw.random() < 0.93}
+    own = {(n, a): f"{n}{a}" for n in range(60) for a in "xy" if draw.random() < 0.15}
+
+    def upward(n):
+        while n in parent:
+            n = parent[n]
+            yield n
+
+    tree = spark.createDataFrame([(str(c), str(p)) for c, p in parent.items()], "child string, parent string")
+    assert rows(tx.closure(tree)) == sorted(
+        ((str(n), str(a), i + 1) for n in parent for i, a in enumerate(upward(n))), key=repr
+    )
+    assert rows(tx.root_of(tree)) == sorted(
+        ((str(n), str(list(upward(n))[-1])) for n in parent), key=repr
+    )
+    attributes = spark.createDataFrame(
+        [(str(n), a, v) for (n, a), v in own.items()], "node string, name string, value string"
+    )
+    best = {}
+    for n in range(60):
+        for a in "xy":
+            found = [own[m, a] for m in (n, *upward(n)) if (m, a) in own]
+            if found:
+                best[str(n), a] = found[0]
+    assert rows(tx.effective_attributes(tree, attributes)) == sorted(
+        ((n, a, v) for (n, a), v in best.items()), key=repr
+    )
+
+
 def test_cycles_are_reported(spark):
     with pytest.raises(ValueError, match="own ancestor"):
         tx.closure(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")))
