@@ -257,3 +257,34 @@ def reference_edges(
                 label, target, table, contract.primary_key, (reference.column,)
             )
     return edges
+
+
+def link_edges(
+    contracts: Mapping[str, TableContract],
+    labels: Mapping[str, str],
+    named: Mapping[str, EdgeSpec],
+) -> dict[str, EdgeSpec]:
+    """An edge per direction for every link table, unless ``named`` has it already.
+
+    A link table has no label of its own and references to labelled tables. Each of
+    these is the target of an edge from the first other one, ``<source>_links_<target>``;
+    the remaining columns are its properties.
+    """
+    label_of = {table: label for label, table in labels.items()}
+    taken = {(e.table, e.source_key, e.target_key) for e in named.values()}
+    edges: dict[str, EdgeSpec] = {}
+    for table, contract in contracts.items():
+        ends = [r for r in contract.foreign_keys if r.table in label_of]
+        if table in label_of or len(ends) < 2:
+            continue
+        for target in ends:
+            source = next(r for r in ends if r is not target)
+            columns = (source.column,), (target.column,)
+            name = f"{snake(label_of[source.table])}_links_{snake(label_of[target.table])}"
+            if (table, *columns) in taken or name in edges:
+                continue
+            rest = {c: c for c in contract.columns if (c,) not in columns}
+            edges[name] = EdgeSpec(
+                label_of[source.table], label_of[target.table], table, *columns, rest
+            )
+    return edges

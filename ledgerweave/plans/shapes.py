@@ -45,9 +45,19 @@ def linked_targets(graph: Graph, edge: str, where: Column, alias: str) -> DataFr
     return targets.agg(F.count("*").alias(alias))
 
 
+def _matched_edges(graph: Graph, edge: str) -> DataFrame:
+    """Edges whose source is a node. A reference column proves its own node; the rows
+    of a link table are looked up."""
+    edges = graph.edges(edge)
+    if graph.spec.in_source_row(edge) or edge in graph.verified:
+        return edges
+    sources = graph.nodes(graph.spec.edges[edge].source).select(F.col("node_id").alias("src"))
+    return edges.join(sources, "src", "left_semi")
+
+
 def sources_by_target(graph: Graph, edge: str, prop: str, by: str, alias: str) -> DataFrame:
     """Sources per property value of the node they point to."""
-    per_target = graph.edges(edge).groupBy("dst").agg(F.count("*").alias("n"))
+    per_target = _matched_edges(graph, edge).groupBy("dst").agg(F.count("*").alias("n"))
     return _by_target(graph, edge, per_target, prop, by, alias)
 
 
@@ -55,7 +65,7 @@ def sum_by_target(
     graph: Graph, edge: str, measure: Column, prop: str, by: str, alias: str
 ) -> DataFrame:
     """Sum of an edge measure per property value of the target node."""
-    per_target = graph.edges(edge).groupBy("dst").agg(F.sum(measure).alias("n"))
+    per_target = _matched_edges(graph, edge).groupBy("dst").agg(F.sum(measure).alias("n"))
     return _by_target(graph, edge, per_target, prop, by, alias)
 
 

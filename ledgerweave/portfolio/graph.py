@@ -10,7 +10,14 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 
-from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, node_specs, reference_edges
+from ledgerweave.operators.graph import (
+    EdgeSpec,
+    Graph,
+    GraphSpec,
+    link_edges,
+    node_specs,
+    reference_edges,
+)
 from ledgerweave.portfolio.contracts import PORTFOLIO
 
 LABELS = {
@@ -51,7 +58,11 @@ LINKS = {
 
 SPEC = GraphSpec(
     node_specs(PORTFOLIO, LABELS),
-    {**LINKS, **reference_edges(PORTFOLIO, LABELS, EDGE_NAMES)},
+    {
+        **LINKS,
+        **reference_edges(PORTFOLIO, LABELS, EDGE_NAMES),
+        **link_edges(PORTFOLIO, LABELS, LINKS),
+    },
 )
 
 

@@ -306,7 +306,7 @@ def group_member_rollup(tables: Tables) -> DataFrame:
 def edge_sum_by_target(tables: Tables) -> DataFrame:
     sums = shapes.sum_by_target(
         star_graph(tables),
-        "order_has_supplier",
+        "line_has_supplier",
         F.col("amount").cast("decimal(18,2)"),
         "name",
         "agent_name",

@@ -103,12 +103,13 @@ SPEC = GraphSpec(
             "l_orderkey",
             "l_suppkey",
             role="l_returnflag",
-            amount="l_extendedprice",
         ),
         "supplier_has_order": _edge(
             "Supplier", "Order", "lineitem", "l_suppkey", "l_orderkey", role="l_returnflag"
         ),
-        "line_has_supplier": _edge("Line", "Supplier", "lineitem", LINE_KEY, "l_suppkey"),
+        "line_has_supplier": _edge(
+            "Line", "Supplier", "lineitem", LINE_KEY, "l_suppkey", amount="l_extendedprice"
+        ),
         "line_has_part": _edge("Line", "Part", "lineitem", LINE_KEY, "l_partkey"),
         "event_concerns_customer": _edge("Event", "Customer", "events", "event_id", "user_id"),
     },

@@ -9,6 +9,7 @@ from ledgerweave.operators.graph import (
     SeriesSpec,
     distinct_pairs,
     inverse,
+    link_edges,
     parallel_edges,
     reference_edges,
     snake,
@@ -55,6 +56,15 @@ def test_two_references_to_one_label_need_a_name():
         )
 
 
+def test_link_tables_without_a_named_edge():
+    assert link_edges(PORTFOLIO, LABELS, SPEC.edges) == {}
+    found = link_edges(PORTFOLIO, LABELS, {})
+    assert set(found) == {"borrower_links_loan", "loan_links_borrower"}
+    there = found["loan_links_borrower"]
+    assert (there.source_key, there.target_key) == (("loan_id",), ("borrower_id",))
+    assert set(there.properties) == {"role_type", "linked_at"}
+
+
 def test_snake():
     assert snake("ExternalCollection") == "external_collection"
     assert snake("NPLoan") == "np_loan"

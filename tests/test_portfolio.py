@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import metrics
+from ledgerweave.plans import shapes
 from ledgerweave.portfolio.competency import COMPETENCY
 from ledgerweave.portfolio.graph import portfolio_graph
 from ledgerweave.portfolio.questions import QUESTIONS, exposure
@@ -139,6 +140,14 @@ def test_conflicts_without_pairs(spark):
     assert {r.k for r in found.collect()} == expected and expected
 
 
+def test_links_of_unknown_sources_do_not_count(graph, tables):
+    count = shapes.sources_by_target(graph, "has_borrower", "full_name", "name", "n")
+    assert dict(rows(count))["B5"] == 2  # not the link of the loan that does not exist
+    trusting = portfolio_graph(tables, verified=["has_borrower"])
+    count = shapes.sources_by_target(trusting, "has_borrower", "full_name", "name", "n")
+    assert dict(rows(count))["B5"] == 3
+
+
 def test_verified_edges_need_no_look_at_the_far_end(graph, tables):
     trusting = portfolio_graph(tables, verified=["has_borrowed_loan"])
     found = {r[0]: r[1] for r in COMPETENCY["cq06"](trusting).collect()}
