@@ -5,12 +5,14 @@ from __future__ import annotations
 from ledgerweave.llm.bpe import op4_duckdb_bpe
 from ledgerweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ledgerweave.llm.mixing import OP10_SQL, op10_poisson_mixing
+from ledgerweave.llm.quality import op2_tree_quality
 from ledgerweave.llm.sharding import op5_histogram_shards
 from ledgerweave.llm.token_counts import op7_digest_cache_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_tree_quality,
         op4_duckdb_bpe,
         op5_histogram_shards,
         op7_digest_cache_counts,
