@@ -8,6 +8,7 @@ from ledgerweave.llm.mixing import OP10_SQL, op10_poisson_mixing
 from ledgerweave.llm.quality import op2_tree_quality
 from ledgerweave.llm.sharding import op5_histogram_shards
 from ledgerweave.llm.token_counts import op7_digest_cache_counts
+from ledgerweave.llm.toxicity import op6_subsequence_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +16,7 @@ QUERIES = {
         op2_tree_quality,
         op4_duckdb_bpe,
         op5_histogram_shards,
+        op6_subsequence_toxicity,
         op7_digest_cache_counts,
         op8_exact_dedup,
         op10_poisson_mixing,
