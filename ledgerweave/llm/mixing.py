@@ -50,12 +50,10 @@ def rates(documents: DataFrame, weights: DataFrame | None = None, by: str = "sou
     else:
         given = weights.select(F.col("source").cast("string").alias("_w"), F.col("weight").cast("double"))
         weighted = sizes.join(given, F.col("_source").eqNullSafe(F.col("_w"))).drop("_w")
-    # One row of sums, joined to one row per source.
-    total = sizes.agg(F.sum("bytes").alias("all")).join(weighted.agg(F.sum("weight").alias("weights")))
-    return weighted.join(F.broadcast(total)).select(
-        "_source",
-        (F.col("all") * F.lit(float(epochs)) * F.col("weight") / F.col("weights") / F.col("bytes")).alias("rate"),
-    )
+    whole = sizes.agg(F.sum("bytes")).first()[0] or 0.0
+    shares = weighted.agg(F.sum("weight")).first()[0] or 1.0
+    rate = F.lit(whole * float(epochs)) * F.col("weight") / F.lit(shares) / F.col("bytes")
+    return weighted.select("_source", rate.alias("rate"))
 
 
 def with_distribution(table: DataFrame) -> DataFrame:

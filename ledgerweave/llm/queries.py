@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ledgerweave.llm.bpe import op4_duckdb_bpe
 from ledgerweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from ledgerweave.llm.fm_substrings import OP1_SQL, op1_fm_index_substrings
 from ledgerweave.llm.mixing import OP10_SQL, op10_poisson_mixing
+from ledgerweave.llm.pfp_substrings import op3_prefix_free_parsing
 from ledgerweave.llm.quality import op2_tree_quality
 from ledgerweave.llm.sharding import op5_histogram_shards
 from ledgerweave.llm.token_counts import op7_digest_cache_counts
@@ -13,7 +15,9 @@ from ledgerweave.llm.toxicity import op6_subsequence_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_fm_index_substrings,
         op2_tree_quality,
+        op3_prefix_free_parsing,
         op4_duckdb_bpe,
         op5_histogram_shards,
         op6_subsequence_toxicity,
@@ -23,4 +27,8 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op8_exact_dedup": OP8_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE = {
+    "op1_fm_index_substrings": OP1_SQL,
+    "op8_exact_dedup": OP8_SQL,
+    "op10_poisson_mixing": OP10_SQL,
+}
