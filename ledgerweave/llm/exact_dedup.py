@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import mix
+from ledgerweave.llm.repeats import row_hash
 from ledgerweave.session import cut_lineage
 
 BLANKS = " \t\n\x0b\f\r"
@@ -103,11 +104,14 @@ def normalised(text: Column) -> Column:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``digest`` and ``bytes`` of the normalised text, ``chars`` of the original."""
+    """``digest`` and ``bytes`` of the normalised text, ``chars`` of the original, ``row`` (a hash)."""
     text = F.col("text").cast("string")
-    plain = documents.select("doc_id", normalised(text).alias("n"), F.length(text).alias("chars"))
+    plain = documents.select(
+        "doc_id", row_hash().alias("row"), normalised(text).alias("n"), F.length(text).alias("chars")
+    )
     return plain.select(
         "doc_id",
+        "row",
         F.unhex(F.sha2("n", 256)).alias("digest"),
         F.octet_length("n").alias("bytes"),
         F.coalesce("chars", F.lit(0)).alias("chars"),
@@ -174,7 +178,7 @@ def merge(snapshot: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
 
 
 def exact_groups(documents: DataFrame) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, digest`` for every row of ``documents``.
+    """``doc_id, keep_id, group_size, kept, digest, row`` for every row of ``documents``.
 
     Rows fall into two batches by a hash of doc_id: the first is the immutable snapshot, the
     second comes in. No row is left out, and the split has no effect on the result.
@@ -191,13 +195,14 @@ def exact_groups(documents: DataFrame) -> DataFrame:
         F.col("size").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
         "digest",
+        "row",
     )
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` that stay, with all their columns."""
-    stay = exact_groups(documents).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return documents.join(stay, documents["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
+    stay = exact_groups(documents).filter("kept").select(F.col("row").alias("_stay")).distinct()
+    return documents.join(stay, row_hash() == F.col("_stay"), "left_semi")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

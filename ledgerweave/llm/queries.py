@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerweave.llm.bpe import op4_duckdb_bpe
 from ledgerweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ledgerweave.llm.fm_substrings import OP1_SQL, op1_fm_index_substrings
+from ledgerweave.llm.minhash import OP9_SQL, op9_bottom_k_minhash
 from ledgerweave.llm.mixing import OP10_SQL, op10_poisson_mixing
 from ledgerweave.llm.pfp_substrings import op3_prefix_free_parsing
 from ledgerweave.llm.quality import op2_tree_quality
@@ -23,6 +24,7 @@ QUERIES = {
         op6_subsequence_toxicity,
         op7_digest_cache_counts,
         op8_exact_dedup,
+        op9_bottom_k_minhash,
         op10_poisson_mixing,
     )
 }
@@ -30,5 +32,6 @@ QUERIES = {
 ORACLE = {
     "op1_fm_index_substrings": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_bottom_k_minhash": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
 }

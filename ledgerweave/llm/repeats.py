@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import expand, flat, mix, pieces, prefix_sums, segment_hashes
@@ -41,13 +41,18 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Engine = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def row_hash() -> Column:
+    """A hash of a row's doc_id and text, by which passes over the same rows know them again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def blocks_of(documents: DataFrame, per_partition: int = 2) -> DataFrame:
     """``block, row, doc_id, text``: every row in a block by a hash of what it holds."""
     count = per_partition * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("row", F.xxhash64("doc_id", "text"))
+    ).withColumn("row", row_hash())
     return rows.select(F.pmod("row", F.lit(count)).cast("int").alias("block"), "row", "doc_id", "text")
 
 

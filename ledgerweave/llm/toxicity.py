@@ -19,7 +19,7 @@ scoring covers every row where it is read, without a shuffle.
 Defined results: null and empty texts, and texts without a unit of three letters, get the score
 of no evidence; labels that are null or of unknown rows are ignored; with labels of one kind
 only, every score is that kind's share, and 0 without any; repeated rows are scored each; an
-empty table gives no rows; other columns stay, except ``score``, which is replaced.
+empty table gives no rows; other columns stay, except one with the output's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -375,9 +375,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
     return learn([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows], np.int64))
 
 
-def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool = True) -> DataFrame:
-    """The documents with ``score``; ``with_text=False`` leaves the texts out."""
-    texts = documents.drop("score").withColumn("text", F.col("text").cast("string"))
+def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool = True, name: str = "score") -> DataFrame:
+    """The documents with the column ``name``; ``with_text=False`` leaves the texts out."""
+    texts = documents.drop(name).withColumn("text", F.col("text").cast("string"))
     back = [f for f in texts.schema if with_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,9 +385,17 @@ def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool =
             for part in pieces(batch, "text"):
                 scores = machine.scores(*flat(part.column("text")))
                 columns = [*(part.column(f.name) for f in back), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in back), "score"])
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in back), name])
 
-    return texts.mapInArrow(run, T.StructType([*back, T.StructField("score", T.DoubleType())]))
+    return texts.mapInArrow(run, T.StructType([*back, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(documents: DataFrame, machine: Machine | Constant, cut: float = CUT) -> DataFrame:
+    """The documents that score below ``cut``, with their columns as they were."""
+    name = "_toxicity"
+    while name in documents.columns:
+        name += "_"
+    return scored(documents, machine, name=name).filter(F.col(name) < cut).drop(name)
 
 
 def op6_subsequence_toxicity(spark, sf_dir: str) -> DataFrame:
