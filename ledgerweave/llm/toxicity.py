@@ -1,15 +1,16 @@
 """Toxicity: a support vector machine on the gapped subsequence kernel, with Nyström landmarks.
 
 The kernel of two strings sums, over all triples of letters, what each string gives the triple:
-``DECAY`` to the power of the stretch it is spread over, for each place. Letters need not be
+``DECAY`` to the power of the stretch it is spread over, for each place; a unit's start counts
+as a letter. Letters need not be
 neighbours, so insults with signs or letters put in stay near the plain word. A text is scored
 by its sentences, a sentence by its most toxic unit: a word without the signs around it, or a
 run of three or more single characters with blanks between ("i d i o t"). Units longer than
 ``WIDEST`` are scored in windows that overlap by half, so all of a text counts.
 
 A sentence of a clean document is clean. Of a toxic document, those sentences are toxic that
-hold a unit which recurs in toxic documents and never in clean ones, and, from the second round
-on, those with a unit that recurs less but that the machine finds toxic. Landmarks are units of both kinds; the
+hold a unit with letters in a row that recur in toxic documents and never in clean ones, and,
+from the second round on, those with a unit that the machine itself finds toxic. Landmarks are units of both kinds; the
 Nyström map of the kernel on them is linear, the machine is trained there by Newton steps on
 the squared hinge loss, with the clean units it errs on added in each round. The result is one
 weight per triple of letters, 64**3 numbers, by which a unit is scored without a landmark in
@@ -44,11 +45,12 @@ LANDMARKS = 192  # of each kind, at most
 UNITS = 6000  # clean units to begin training with
 DECAY = 0.7
 WIDEST = 32
-LETTERS = 64  # codes: 0 no letter, 1 to 62 the commonest, 63 the rest
+LETTERS = 64  # codes: 0 no letter, 1 to 61 the commonest, 62 a unit's start, 63 the rest
+START = 62
 CUT = 0.3
 
 _TRIPLES = {
-    n: np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3) for n in range(3, WIDEST + 1)
+    n: np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3) for n in range(3, WIDEST + 2)
 }
 
 
@@ -63,7 +65,7 @@ class Alphabet:
     def __init__(self, common: str):
         self.codes = np.zeros(0x110000, np.uint8)
         self.codes[classes() == LETTER] = LETTERS - 1
-        for code, letter in enumerate(common[: LETTERS - 2], 1):
+        for code, letter in enumerate(common[: START - 1], 1):
             for form in {letter, letter.upper()}:
                 if len(form) == 1:
                     self.codes[ord(form)] = code
@@ -114,13 +116,14 @@ def units(buf: np.ndarray, offsets: np.ndarray, alphabet: Alphabet):
 
 
 def _by_length(codes, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of units with one length, and their codes as a matrix."""
+    """Rows of units with one length, and their codes as a matrix, with the start in front."""
     lengths = ends - starts
     for n in np.unique(lengths):
         if n >= 3:
             rows = np.flatnonzero(lengths == n)
-            for part in np.array_split(rows, max(1, len(rows) * len(_TRIPLES[int(n)]) // 2_000_000)):
-                yield part, codes[starts[part, None] + np.arange(n)].astype(np.int64)
+            for part in np.array_split(rows, max(1, len(rows) * len(_TRIPLES[int(n) + 1]) // 2_000_000)):
+                inner = codes[starts[part, None] + np.arange(n)].astype(np.int64)
+                yield part, np.c_[np.full(len(part), START), inner]
 
 
 def _triples(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +154,9 @@ class Machine:
     """Weights of triples, a bias, and the line from a margin to a probability."""
 
     def __init__(self, alphabet: Alphabet, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.alphabet, self.weights, self.bias = alphabet, weights, bias
+        self.alphabet, self.bias = alphabet, bias
+        letters = np.arange(LETTERS) > 0  # triples with a sign have no weight
+        self.weights = weights * np.multiply.outer(np.multiply.outer(letters, letters), letters).ravel()
         self.slope, self.shift = slope, shift
         self.floor = -1.0  # the margin of no evidence
 
@@ -211,6 +216,12 @@ def _without_copies(lists: list[list[str]]) -> list[bool]:
     return out
 
 
+def _grams(word: str) -> set[str]:
+    """All stretches of four letters, the start being one, and the word as a whole."""
+    marked = f"^{word}"
+    return {f"{marked}$", *(marked[i : i + 4] for i in range(len(marked) - 3))}
+
+
 def _coded(texts: list[str], alphabet: Alphabet):
     """Codes, starts and ends of strings that are units themselves."""
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -281,14 +292,21 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     for words, label, own in zip(lists, toxic, alone):
         if own or not label:  # copies of one toxic document bear no witness to its words
             seen[int(label)].update(w for w in words if len(w) <= WIDEST)
-    # Units that recur in toxic documents and are in no clean one mark sentences as toxic, if
-    # they recur more often than chance would let any of them.
+    # Letters in a row that recur in toxic documents, in no clean one, and more often than
+    # chance would let any of them, mark the units they are in, and so sentences, as toxic.
     only = {w: n for w, n in seen[1].items() if w not in seen[0]}
     if not only:
         return Constant(float(toxic.mean()))
-    share = sum(a and bool(t) for a, t in zip(alone, toxic)) / (sum(toxic == 0) + sum(a and bool(t) for a, t in zip(alone, toxic)))
-    often = np.log(0.001 / len(only)) / np.log(share)
-    marked = {w for w, n in only.items() if n >= often}
+    in_clean = {g for w in seen[0] for g in _grams(w)}
+    support: Counter = Counter()
+    for words, label, own in zip(lists, toxic, alone):
+        if own and label:
+            support.update({g for w in words for g in _grams(w)} - in_clean)
+    witnesses = sum(a and bool(t) for a, t in zip(alone, toxic))
+    share = witnesses / (witnesses + int((toxic == 0).sum()))
+    often = max(3.0, np.log(0.01 / max(1, len(support))) / np.log(share))
+    stems = {g for g, n in support.items() if n >= often}
+    marked = {w for w in only if len(w) <= WIDEST and not stems.isdisjoint(_grams(w))}
     if not marked:
         marked = set(sorted(only, key=lambda w: (-only[w], w))[:20])
     clean = [w for w, _ in seen[0].most_common()]
