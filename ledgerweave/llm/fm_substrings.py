@@ -68,7 +68,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     while width < depth:
         key = rank * (int(rank.max()) + 2)
         key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])

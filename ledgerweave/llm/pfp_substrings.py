@@ -34,10 +34,11 @@ PHRASE = 24
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    """Ranks from 1; equal keys share one."""
+    order = np.argsort(key)
     ordered = key[order]
     rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+    rank[order] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]])
     return rank
 
 
@@ -47,17 +48,26 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     A negative symbol ends a string: what stands behind it is not compared.
     """
     n = len(text)
-    rank = _ranked(text.astype(np.int64)) + 1 if n else np.zeros(0, np.int64)
-    reach = np.zeros(n + 1, np.int64)  # symbols up to the next end, it included
+    if not n:
+        return np.zeros(0, np.int64)
     stops = np.flatnonzero(text < 0)
-    reach[:n] = np.append(stops, n)[np.searchsorted(stops, np.arange(n))] - np.arange(n) + 1
+    # Symbols up to the next end, it included.
+    reach = np.append(stops, n)[np.searchsorted(stops, np.arange(n))] - np.arange(n) + 1
+    symbols = text.astype(np.int64) + 2
     width = 1
+    if symbols.max() < 256:  # the first eight at once
+        packed, width = np.zeros(n, np.uint64), 8
+        for k in range(8):
+            packed <<= np.uint64(8)
+            packed[: n - k] |= np.where(reach[: n - k] > k, symbols[k:], 0).astype(np.uint64)
+        rank = _ranked(packed)
+    else:
+        rank = _ranked(symbols)
     while width < depth:
         key = rank * (n + 2)
-        longer = np.flatnonzero(reach[:n] > width)
-        longer = longer[longer + width < n]
+        longer = np.flatnonzero(reach[: n - width] > width) if width < n else np.zeros(0, np.int64)
         key[longer] += rank[longer + width]
-        rank = _ranked(key) + 1
+        rank = _ranked(key)
         width *= 2
     return rank
 
@@ -104,7 +114,7 @@ def corpus_order(text: np.ndarray, cuts: np.ndarray, depth: int, at: np.ndarray)
     # A position belongs to the last phrase that starts at or before it.
     own = np.searchsorted(starts, at, "right") - 1
     inner = in_dictionary[begin[phrase[own]] + at - starts[own]]
-    return at[np.argsort(inner * (len(whole) + 2) + in_parse[place[own] + 1], kind="stable")]
+    return at[np.argsort(inner * (len(whole) + 2) + in_parse[place[own] + 1])]
 
 
 def equal_windows(text: np.ndarray, left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:

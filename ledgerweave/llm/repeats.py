@@ -110,6 +110,14 @@ def _read(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _walk(table: pa.Table, units: Units, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Runs]]:
     """Pieces of a block: place of the rows in it, units, cuts, runs."""
     place = 0
@@ -218,7 +226,7 @@ def _send(units: Units, k: int, m: int, shards: int):
                 "least": pa.array(_bytes(least, cuts), pa.binary()),
                 "most": pa.array(_bytes(most, cuts), pa.binary()),
                 "lengths": pa.array(_bytes(lengths.astype(np.int32), cuts), pa.binary()),
-                "units": pa.array(_bytes(values, ends[cuts]), pa.binary()),
+                "units": pa.array([_packed(v) for v in _bytes(values, ends[cuts])], pa.binary()),
             }
         )
 
@@ -236,7 +244,7 @@ def _solve(engine: Engine, k: int, dtype):
         least, _ = _read(table.column("least"), np.int64)
         most, _ = _read(table.column("most"), np.int64)
         lengths, _ = _read(table.column("lengths"), np.int32)
-        values, _ = _read(table.column("units"), dtype)
+        values = np.frombuffer(b"".join(map(_unpacked, table.column("units").to_pylist())), dtype)
         block = np.repeat(table.column("block").to_numpy(), counts)
         lengths = lengths.astype(np.int64)
         starts = np.cumsum(lengths) - lengths
