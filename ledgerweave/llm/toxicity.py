@@ -39,8 +39,8 @@ from ledgerweave.llm.arrays import expand, flat, pieces, prefix_sums, segment_ha
 from ledgerweave.llm.pretokens import LETTER, classes
 
 #: Toxic rows that the machine learns from, at most.
-SAMPLE = 3000
-CLEAN = 2  # clean rows for each toxic one
+SAMPLE = 1500
+CLEAN = 3  # clean rows for each toxic one
 LANDMARKS = 192  # of each kind, at most
 UNITS = 6000  # clean units to begin training with
 DECAY = 0.7
@@ -121,7 +121,7 @@ def _by_length(codes, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in np.unique(lengths):
         if n >= 3:
             rows = np.flatnonzero(lengths == n)
-            for part in np.array_split(rows, max(1, len(rows) * len(_TRIPLES[int(n) + 1]) // 2_000_000)):
+            for part in np.array_split(rows, max(1, len(rows) * len(_TRIPLES[int(n) + 1]) // 500_000)):
                 inner = codes[starts[part, None] + np.arange(n)].astype(np.int64)
                 yield part, np.c_[np.full(len(part), START), inner]
 
@@ -203,16 +203,27 @@ class Constant:
         return np.full(len(offsets) - 1, self.share)
 
 
-def _without_copies(lists: list[list[str]]) -> list[bool]:
+def _numbered(text: str, alphabet: Alphabet, numbers: dict[str, int]) -> np.ndarray:
+    """Numbers of a text's distinct units, in lower case; new ones are added."""
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64)
+    _, starts, ends, _ = units(data, np.array([0, len(data)], np.int64), alphabet)
+    found = {text[a:b].lower() for a, b in zip(starts.tolist(), ends.tolist())}
+    return np.array(sorted(numbers.setdefault(w, len(numbers)) for w in found if len(w) <= WIDEST), np.int64)
+
+
+def _without_copies(lists: list[np.ndarray], n: int) -> list[bool]:
     """Whether a document shares less than a third of its units with each one before it."""
-    holders: dict[str, list[int]] = {}
+    holders: list[list[int]] = [[] for _ in range(n)]
     out = []
-    for i, words in enumerate(lists):
-        shared = Counter(h for w in words for h in holders.get(w, ()) if len(holders[w]) <= 40)
-        out.append(not shared or 3 * shared.most_common(1)[0][1] < len(words))
+    for i, own in enumerate(lists):
+        shared = Counter(h for w in own.tolist() for h in holders[w] if len(holders[w]) <= 40)
+        out.append(not shared or 3 * shared.most_common(1)[0][1] < len(own))
         if out[-1]:
-            for w in words:
-                holders.setdefault(w, []).append(i)
+            for w in own.tolist():
+                if len(holders[w]) <= 40:
+                    holders[w].append(i)
     return out
 
 
@@ -278,39 +289,36 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     if not len(texts) or toxic.min() == toxic.max():
         return Constant(float(toxic.mean()) if len(texts) else 0.0)
     alphabet = Alphabet.of(texts)
-    lists = []
-    for text in texts:
-        data = np.frombuffer(text.encode("utf-8"), np.uint8)
-        whole = np.array([0, len(data)], np.int64)
-        if not len(data):
-            lists.append([])
-            continue
-        _, starts, ends, _ = units(data, whole, alphabet)
-        lists.append(sorted({text[a:b].lower() for a, b in zip(starts.tolist(), ends.tolist())}))
-    seen = (Counter(), Counter())
-    alone = _without_copies(lists)
-    for words, label, own in zip(lists, toxic, alone):
-        if own or not label:  # copies of one toxic document bear no witness to its words
-            seen[int(label)].update(w for w in words if len(w) <= WIDEST)
+    numbers: dict[str, int] = {}
+    lists = [_numbered(text, alphabet, numbers) for text in texts]
+    names = list(numbers)
+    alone = _without_copies(lists, len(names))
+    seen = np.zeros((2, len(names)), np.int64)
+    for own, label, first in zip(lists, toxic, alone):
+        if first or not label:  # copies of one toxic document bear no witness to its words
+            seen[int(label), own] += 1
     # Letters in a row that recur in toxic documents, in no clean one, and more often than
     # chance would let any of them, mark the units they are in, and so sentences, as toxic.
-    only = {w: n for w, n in seen[1].items() if w not in seen[0]}
+    only = {int(i) for i in np.flatnonzero((seen[1] > 0) & (seen[0] == 0))}
     if not only:
         return Constant(float(toxic.mean()))
-    in_clean = {g for w in seen[0] for g in _grams(w)}
     support: Counter = Counter()
-    for words, label, own in zip(lists, toxic, alone):
-        if own and label:
-            support.update({g for w in words for g in _grams(w)} - in_clean)
-    witnesses = sum(a and bool(t) for a, t in zip(alone, toxic))
+    for own, label, first in zip(lists, toxic, alone):
+        if first and label:
+            support.update({g for i in own.tolist() if i in only for g in _grams(names[i])})
+    for i in np.flatnonzero(seen[0]).tolist():
+        for g in _grams(names[i]):
+            support.pop(g, None)
+    witnesses = int((np.array(alone) & (toxic == 1)).sum())
     share = witnesses / (witnesses + int((toxic == 0).sum()))
     often = max(3.0, np.log(0.01 / max(1, len(support))) / np.log(share))
     stems = {g for g, n in support.items() if n >= often}
-    marked = {w for w in only if len(w) <= WIDEST and not stems.isdisjoint(_grams(w))}
+    marked = {names[i] for i in only if not stems.isdisjoint(_grams(names[i]))}
     if not marked:
-        marked = set(sorted(only, key=lambda w: (-only[w], w))[:20])
-    clean = [w for w, _ in seen[0].most_common()]
-    bad = sorted(marked, key=lambda w: (-seen[1][w], w))
+        marked = {names[i] for i in sorted(only, key=lambda i: (-seen[1][i], names[i]))[:20]}
+    clean = [names[i] for i in sorted(np.flatnonzero(seen[0]).tolist(), key=lambda i: (-seen[0][i], names[i]))]
+    bad = sorted(marked, key=lambda w: (-seen[1][numbers[w]], w))
+    rest = sorted(names[i] for i in only if seen[1][i] >= 2 and names[i] not in marked)
     step = max(1, len(clean) // UNITS)
     negative = dict.fromkeys(clean[: UNITS // 3] + clean[::step][:UNITS])
     machine = None
@@ -321,7 +329,7 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
         half = LANDMARKS // 2
         landmarks = bad[:LANDMARKS] + few[:half] + few[half:][-half:]
         basis, columns = _features(landmarks, alphabet, None)
-        value, vector = np.linalg.eigh(basis.astype(float) @ basis.T.astype(float))
+        value, vector = np.linalg.eigh((basis @ basis.T).astype(float))
         kept = value > 1e-6 * value.max()
         root = vector[:, kept] / np.sqrt(value[kept])
         rows = bad + [_with_signs(w, i) for i, w in enumerate(bad)] + few
@@ -330,13 +338,13 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
         positive = np.zeros(len(rows), bool)
         positive[: 2 * len(bad)] = True
         mapped = np.concatenate(
-            [_features(rows[i : i + 500], alphabet, columns)[0].astype(float) @ basis.T @ root for i in range(0, len(rows), 500)]
+            [(_features(rows[i : i + 200], alphabet, columns)[0] @ basis.T).astype(float) @ root for i in range(0, len(rows), 200)]
         )
         x = np.c_[mapped, np.ones(len(rows))]
         y = np.where(positive, 1.0, -1.0)
         w = _newton(x, y, np.where(positive, 1.0 / positive.sum(), 1.0 / (~positive).sum()) * 100)
         triples = np.zeros(LETTERS**3)
-        triples[columns] = basis.T.astype(float) @ (root @ w[:-1])
+        triples[columns] = basis.T @ (root @ w[:-1])
         machine = Machine(alphabet, triples, float(w[-1]))
         # Clean units that are not well below the line come in.
         margin = machine.margins(*pool_codes)
@@ -344,13 +352,15 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
         for i in worst[margin[worst] > -0.6]:
             negative.setdefault(clean[i])
         # Units that recur less, but that the machine finds toxic, come in on the other side.
-        rest = [w for w, n in only.items() if n >= 2 and w not in marked]
         found = machine.margins(*_coded(rest, alphabet)) if rest else np.zeros(0)
         grown = marked | {w for w, m in zip(rest, found) if m > 0}
-        bad = sorted(grown, key=lambda w: (-seen[1][w], w))
-    data = [t.encode("utf-8") for t in texts]
-    cuts = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-    margins = machine.text_margins(np.frombuffer(b"".join(data), np.uint8), cuts)
+        bad = sorted(grown, key=lambda w: (-seen[1][numbers[w]], w))
+    margins = []
+    for i in range(0, len(texts), 300):
+        data = [t.encode("utf-8") for t in texts[i : i + 300]]
+        cuts = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        margins.append(machine.text_margins(np.frombuffer(b"".join(data), np.uint8), cuts))
+    margins = np.concatenate(margins)
     machine.slope, machine.shift = _line(margins, toxic.astype(bool))
     return machine
 
