@@ -64,10 +64,13 @@ def _direct_pairs(memberships: DataFrame) -> DataFrame:
 
 def _with_crowded_groups(memberships: DataFrame, crowded: DataFrame, hub: int) -> DataFrame:
     small = _direct_pairs(memberships.join(crowded, "g", "left_anti"))
-    large = memberships.join(crowded, "g", "left_semi")
+    # Worked out once; as plain tables they also get shuffles of their own, which Spark can
+    # split where a group or a member is hot.
+    large = cut_lineage(memberships.join(crowded, "g", "left_semi"))
     degree = large.groupBy("m").agg(F.count("*").alias("k"))
-    hubs = degree.where(F.col("k") > hub).select("m")
-    plain = large.join(hubs, "m", "left_anti")
+    hubs = cut_lineage(degree.where(F.col("k") > hub).select("m"))
+    plain = cut_lineage(large.join(hubs, "m", "left_anti"))
+    small = cut_lineage(small)
 
     # Hubs with everyone else in their groups; two hubs meet once.
     ends = hubs.select(F.col("m").alias("x"), F.lit(True).alias("x_is_hub"))

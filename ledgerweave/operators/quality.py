@@ -79,11 +79,11 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str], alias: str = "n") -> Dat
 def orphans(child: DataFrame, column: str, parent: DataFrame, target: str) -> DataFrame:
     """(column, n): referenced values that the parent lacks, with their row counts.
 
-    The child is reduced to one row per value before the join, so a value that a
-    third of all rows refer to is a single row there.
+    Both sides are reduced to one row per value before the join, so a value that a
+    third of all rows of either hold is a single row there.
     """
     used = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    known = parent.select(F.col(target).alias(column))
+    known = parent.select(F.col(target).alias(column)).distinct()
     return used.join(known, column, "left_anti")
 
 

@@ -7,6 +7,7 @@ have children; every leaf then takes one join with what its parent already knows
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +78,21 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def descendants_of(edges: DataFrame, root: str) -> DataFrame:
-    """(node, depth) below ``root``."""
-    return closure(edges).where(F.col("ancestor") == root).select("node", "depth")
+    """(node, depth) below ``root``, walked down level by level from it."""
+    links = cut_lineage(_links(edges).distinct())
+    level = links.where(F.col("parent") == root).select(F.col("child").alias("node"))
+    found, depth = [], 0
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        depth += 1
+        if level.where(F.col("node") == root).count():
+            raise ValueError(f"{root} is its own ancestor")
+        found.append(level.withColumn("depth", F.lit(depth)))
+        level = links.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"))
+    none = links.select(F.col("child").alias("node"), F.lit(0).alias("depth")).limit(0)
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def effective_attributes(edges: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -119,17 +133,32 @@ def root_of(edges: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     ``chosen`` holds (root, position); with nested roots the one of the highest
     position wins. Without it the topmost nodes are the roots.
     """
-    links = _links(edges)
+    links = cut_lineage(_links(edges).distinct())
     chosen = roots(edges) if chosen is None else chosen
-    known = (
-        _upward(links)
-        .join(chosen.withColumnRenamed("root", "ancestor"), "ancestor")
-        .groupBy("node")
-        .agg(F.max(F.struct("position", "ancestor"))["ancestor"].alias("root"))
-    )
-    return links.join(known.withColumnRenamed("node", "parent"), "parent").select(
-        F.col("child").alias("node"), "root"
-    )
+    # One row per node with children: the best root seen so far, itself included, and the
+    # node as far up as rounds have come. Each round doubles that distance.
+    inner = links.select(F.col("parent").alias("node")).distinct()
+    named = chosen.select(F.col("root").alias("node"), F.struct("position", F.col("root").alias("name")).alias("best"))
+    named = named.groupBy("node").agg(F.max("best").alias("best"))
+    above = links.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    seen = cut_lineage(inner.join(named, "node", "left").join(above, "node", "left"))
+    distance, size = 1, seen.count()
+    while (open_ := seen.where(F.col("up").isNotNull()).select("up").first()) is not None:
+        if distance > size:
+            raise ValueError(f"{open_.up} is its own ancestor")
+        higher = seen.select(
+            F.col("node").alias("up"), F.col("best").alias("higher"), F.col("up").alias("further")
+        )
+        seen = cut_lineage(
+            seen.join(higher, "up", "left").select(
+                "node", F.greatest("best", "higher").alias("best"), F.col("further").alias("up")
+            )
+        )
+        distance *= 2
+    known = seen.where(F.col("best").isNotNull()).groupBy(F.col("node").alias("parent"))
+    known = cut_lineage(known.agg(F.max("best")["name"].alias("root")))
+    # Two plain tables: Spark can split a parent with very many children.
+    return links.join(known, "parent").select(F.col("child").alias("node"), "root")
 
 
 def _homed(rows: DataFrame, column: str, homes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ CLEAN = "all correct"
 def scorecard(scores: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
     """One row per scenario: both results, the winner, the notes, the domain.
 
+    Two answers of one agent to a scenario stop the job.
     A scenario with one agent only keeps its row, without a winner. Totals stay
     numbers next to the printed ``a/b`` texts.
     """
@@ -27,7 +28,10 @@ def scorecard(scores: DataFrame, scenarios: DataFrame | None = None) -> DataFram
         result = F.max(F.when(here, F.struct("total_score", "max_score", "notes")))
         columns.append(result.alias(agent))
     first, second = AGENTS
-    wide = scores.groupBy("scenario_id").agg(*columns)
+    wide = scores.groupBy("scenario_id").agg(
+        *columns, *[F.count_if(F.col("agent_type") == agent).alias(f"__{agent}") for agent in AGENTS]
+    )
+    twice = F.greatest(*[F.col(f"__{agent}") for agent in AGENTS]) > 1
     if scenarios is None:
         wide = wide.withColumn("domain", F.lit(""))
     else:
@@ -35,7 +39,8 @@ def scorecard(scores: DataFrame, scenarios: DataFrame | None = None) -> DataFram
     both = F.col(first).isNotNull() & F.col(second).isNotNull()
     ours, theirs = F.col(first)["total_score"], F.col(second)["total_score"]
     winner = (
-        F.when(~both, NONE)
+        F.when(twice, F.raise_error(F.concat(F.lit("two answers of one agent to "), F.col("scenario_id").cast("string"))))
+        .when(~both, NONE)
         .when(ours > theirs, TITLES[first])
         .when(theirs > ours, TITLES[second])
         .otherwise("tie")
@@ -142,11 +147,12 @@ def require_sound_ids(anomalies: DataFrame) -> None:
 
 
 LANES = 4
-LANE_DIGITS = 15
+LANE_DIGITS = 16
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """SHA-256 of one row as compact JSON, its keys in alphabetical order."""
+    """SHA-256 of one row as compact JSON, its keys in alphabetical order; NULLs are left out,
+    so a value that moves to another column moves the digest."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
@@ -154,7 +160,7 @@ def fingerprint(rows: DataFrame, digest: Column | None = None) -> DataFrame:
     """(n_rows, lane_1..lane_4): one row that two equal payloads share.
 
     Neither the order of rows nor that of keys matters. The lanes are sums over
-    slices of the row digests, so partial results add up and nothing is sorted;
+    slices of the row digests, all of their digits, so partial results add up and nothing is sorted;
     a row that is added, lost, doubled or changed moves them.
     """
     digest = row_digest(rows.columns) if digest is None else digest

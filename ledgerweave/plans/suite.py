@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,47 +22,27 @@ def run_suite(
 ) -> DataFrame:
     """One row per query; a query that fails is reported and the others go on.
 
-    Rows are counted where they are; only up to ``preview`` of them come back. All
-    counts are one job, so small queries fill the cluster together. If that job
-    fails, each query is counted on its own to find the one to blame.
+    Rows are counted where they are; only up to ``preview`` of them come back, the least
+    by their JSON text. One job per query gives both.
     """
-    built, errors = {}, {}
+    report = []
     for name, build in queries.items():
         try:
-            built[name] = build()
+            rows = build()
+            count, sample = _count_and_sample(rows, preview)
+            report.append((name, "passed", count, rows.columns, sample, None))
         except Exception as problem:  # noqa: BLE001 - the report is the place for it
-            errors[name] = problem
-    counts = _count_together(built)
-    report = []
-    for name in queries:
-        try:
-            if name in errors:
-                raise errors[name]
-            rows = built[name]
-            count = counts[name] if counts else rows.count()
-            report.append((name, "passed", count, rows.columns, _sample(rows, preview), None))
-        except Exception as problem:  # noqa: BLE001
             report.append((name, "failed", None, [], [], str(problem).splitlines()[0]))
     return spark.createDataFrame(report, REPORT)
 
 
-def _count_together(built: Mapping[str, DataFrame]) -> dict[str, int]:
-    counts = [
-        rows.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        for name, rows in built.items()
-    ]
-    if not counts:
-        return {}
-    try:
-        return {r.name: r.n for r in reduce(DataFrame.unionByName, counts).collect()}
-    except Exception:  # noqa: BLE001 - the caller looks for the query to blame
-        return {}
-
-
-def _sample(rows: DataFrame, n: int) -> list[str]:
-    if not n:
-        return []
-    return [r.row for r in rows.select(F.to_json(F.struct("*")).alias("row")).take(n)]
+def _count_and_sample(rows: DataFrame, preview: int) -> tuple[int, list[str]]:
+    counted = rows.groupBy().agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("row"))
+    if preview:
+        texts = rows.select(F.lit(None).cast("long").alias("n"), F.to_json(F.struct("*")).alias("row"))
+        counted = counted.unionByName(texts.orderBy("row").limit(preview))
+    found = counted.collect()
+    return next(r.n for r in found if r.n is not None), sorted(r.row for r in found if r.n is None)
 
 
 def suite_totals(report: DataFrame) -> DataFrame:

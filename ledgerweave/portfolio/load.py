@@ -19,11 +19,13 @@ def load_portfolio(
     prefix: str,
     contracts: Mapping[str, TableContract] = PORTFOLIO,
     rejects: str | None = None,
+    multi_line: bool = False,
 ) -> dict[str, bool]:
     """Load ``<folder>/<table>.csv`` into ``<prefix><table>`` for every contract.
 
     Tables without a file are left out and reported as False. ``rejects`` is the
-    folder for fields that do not fit; without one they stop the load.
+    folder for fields that do not fit; without one they stop the load. ``multi_line``
+    says that fields may hold line breaks.
     """
     return {
         name: load_table(
@@ -32,6 +34,7 @@ def load_portfolio(
             contract,
             f"{prefix}{name}",
             f"{rejects}/{name}" if rejects else None,
+            multi_line,
         )
         for name, contract in contracts.items()
     }

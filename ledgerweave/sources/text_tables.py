@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerweave.functions.casts import trimmed, typed
 from ledgerweave.schema import TableContract
+from ledgerweave.session import cut_lineage
 
 
 REJECTS = "array<struct<column:string,raw:string>>"
 
 
-def _csv(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("multiLine", multi_line)
-        .csv(paths)
+#: Column of the raw table with the text of a row that does not have the header's columns.
+BROKEN = "_broken_row"
+
+OPTIONS = {"encoding": "UTF-8", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+
+
+def _schema(columns: list[str]) -> StructType:
+    return StructType([StructField(c, StringType()) for c in [*columns, BROKEN]])
+
+
+def parse_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of CSV text (one column ``value``) as text fields, with ``BROKEN``.
+
+    A row with more or fewer fields than ``columns``, or with a quote that is never closed,
+    is broken and keeps its text. Blank rows are no rows.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    parsed = lines.where(F.trim("value") != "").select(
+        "value", quotes.alias("quotes"), F.from_csv("value", _schema(columns).simpleString(), OPTIONS).alias("row")
     )
+    broken = F.when(F.col("quotes") % 2 == 1, F.col("value")).otherwise(F.col("row")[BROKEN])
+    return parsed.select(*[F.col("row")[c].alias(c) for c in columns], broken.alias(BROKEN))
 
 
-def read_text_table(
-    spark: SparkSession, path: str, multi_line: bool | None = None
-) -> DataFrame | None:
-    """A CSV file or folder with every field as text; None when there is none.
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame | None:
+    """A CSV file or folder with every field as text, and ``BROKEN``; None when there is none.
 
-    Spark can split a CSV file among tasks only when no field holds a line break.
-    With ``multi_line=None`` a distributed scan looks for lines with an odd number
-    of quotes, which every such field has, and only the files that have one are
-    read unsplit. Pass True or False to save that scan.
+    Spark can split a CSV file among tasks only when no field holds a line break. Say
+    ``multi_line=True`` for files where one may; each of them is then one task. Otherwise
+    every line is a row by itself, and one whose quote stays open is broken. All files of
+    a folder have the same header.
     """
     try:
         lines = spark.read.text(path)
@@ -43,18 +53,12 @@ def read_text_table(
         if "PATH_NOT_FOUND" in str(problem):
             return None
         raise
-    if multi_line is not None:
-        return _csv(spark, path, multi_line)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.where(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
-    broken = {row.file for row in odd.collect()}  # file names, not data
-    if not broken:
-        return _csv(spark, path, False)
-    files = lines.inputFiles()
-    whole = [unquote(f) for f in files if f in broken]
-    split = [unquote(f) for f in files if f not in broken]
-    table = _csv(spark, whole, True)
-    return table.unionByName(_csv(spark, split, False)) if split else table
+    reader = spark.read.options(**OPTIONS, header=True, enforceSchema=False, multiLine=multi_line)
+    columns = reader.csv(path).columns
+    if multi_line:
+        return reader.schema(_schema(columns)).csv(path)
+    header = lines.first()
+    return parse_lines(lines.where(F.col("value") != header.value), columns) if header else reader.csv(path)
 
 
 def conform(raw: DataFrame, contract: TableContract) -> DataFrame:
@@ -62,13 +66,16 @@ def conform(raw: DataFrame, contract: TableContract) -> DataFrame:
 
     Columns of the file that are not declared are dropped, declared ones the file
     lacks are NULL. ``rejects`` lists the (column, raw) pairs that have no value of
-    the declared type; it is empty for a clean row.
+    the declared type; it is empty for a clean row. A broken row has one reject, its
+    whole text without a column, and no values.
     """
     present = [f for f in contract.fields if f.name in raw.columns]
+    whole = F.col(BROKEN) if BROKEN in raw.columns else F.lit(None).cast("string")
     # One projection per step: a step that the next one uses twice is not repeated.
     texts = raw.select(
+        whole.alias("broken"),
         *[F.col(f.name).alias(f"raw_{f.name}") for f in present],
-        *[trimmed(F.col(f.name)).alias(f"text_{f.name}") for f in present],
+        *[F.when(whole.isNull(), trimmed(F.col(f.name))).alias(f"text_{f.name}") for f in present],
     )
     values = texts.select(
         "*", *[typed(F.col(f"text_{f.name}"), f.type).alias(f.name) for f in present]
@@ -89,7 +96,12 @@ def conform(raw: DataFrame, contract: TableContract) -> DataFrame:
             (F.col(f.name) if f in present else F.lit(None).cast(f.type)).alias(f.name)
             for f in contract.fields
         ],
-        (F.concat(*found) if found else nothing).alias("rejects"),
+        F.when(
+            F.col("broken").isNotNull(),
+            F.array(F.struct(F.lit(None).cast("string").alias("column"), F.col("broken").alias("raw"))),
+        )
+        .otherwise(F.concat(*found) if found else nothing)
+        .alias("rejects"),
     )
     # A filter on the result must not drag all these expressions below itself, where
     # they would be worked out again for every use; it cannot pass a generator.
@@ -120,7 +132,7 @@ def read_table(
     spark: SparkSession,
     path: str,
     contract: TableContract,
-    multi_line: bool | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """The clean rows of a text table; an empty table when there is nothing to read."""
     raw = read_text_table(spark, path, multi_line)
@@ -148,7 +160,7 @@ def load_table(
     contract: TableContract,
     name: str,
     rejects_path: str | None = None,
-    multi_line: bool | None = None,
+    multi_line: bool = False,
 ) -> bool:
     """Create the table if need be and append a text table to it.
 
@@ -157,9 +169,12 @@ def load_table(
     they stop the load, and nothing is appended.
     """
     raw = read_text_table(spark, path, multi_line)
-    if not has_declared_columns(raw, contract) or raw.isEmpty():
+    if not has_declared_columns(raw, contract):
+        return False
+    # The text is read and cast once; what follows starts from the typed rows.
+    conformed = cut_lineage(conform(raw, contract))
+    if conformed.isEmpty():
         return False
-    conformed = conform(raw, contract)
     bad = rejected(conformed, contract)
     if rejects_path is not None:
         bad.write.mode("overwrite").parquet(rejects_path)

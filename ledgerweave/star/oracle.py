@@ -26,14 +26,39 @@ FROM orders
 ORACLE["ingest_rejects"] = """
 SELECT o_orderkey, 'o_totalprice' AS "column", ' n/a' AS raw FROM orders WHERE o_orderstatus = 'P'
 UNION ALL
+SELECT o_orderkey, 'o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '5'
+FROM orders WHERE o_orderstatus = 'O'
+UNION ALL
 SELECT o_orderkey, 'o_custkey', 'C-' || o_custkey || chr(9) FROM orders
 WHERE o_orderpriority = '5-LOW'
 UNION ALL
 SELECT o_orderkey, 'o_orderdate', replace(strftime(o_orderdate, '%Y-%m-%d'), '-02-', '-13-')
 FROM orders WHERE month(o_orderdate) = 2
 UNION ALL
+SELECT o_orderkey, 'o_orderdate', strftime(o_orderdate, '%Y-%m')
+FROM orders WHERE month(o_orderdate) = 3
+UNION ALL
+SELECT o_orderkey, 'placed_at', strftime(o_orderdate, '%H:%M') FROM orders WHERE month(o_orderdate) = 4
+UNION ALL
+SELECT o_orderkey, 'placed_at', strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE month(o_orderdate) = 5
+UNION ALL
 SELECT o_orderkey, 'is_final', 'maybe' FROM orders WHERE o_orderstatus = 'O'
 """
+ORACLE["ingest_csv"] = """
+WITH x AS (
+  SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') AS bad,
+         'a "' || o_orderstatus || '", ' || o_orderpriority AS c FROM orders)
+SELECT CASE WHEN NOT bad THEN o_orderkey END AS o_orderkey,
+       CASE WHEN NOT bad THEN CAST(o_custkey AS INTEGER) END AS o_custkey,
+       CASE WHEN NOT bad THEN CAST(12.5 AS DECIMAL(18,2)) END AS o_totalprice,
+       CASE WHEN NOT bad THEN c END AS clerk,
+       CASE o_orderpriority
+         WHEN '1-URGENT' THEN o_orderkey || ', ' || o_custkey || ',12.50,"' || replace(c, '"', '""') || '",more'
+         WHEN '2-HIGH' THEN o_orderkey || ',7'
+         WHEN '5-LOW' THEN o_orderkey || ',1,2.5,"' || o_orderstatus END AS broken,
+       CASE WHEN bad THEN 1 ELSE 0 END AS n_rejects
+FROM x
+"""
 
 
 def _signals(lang: str) -> str:
@@ -305,7 +330,8 @@ SUITE_COLUMNS = {
 }
 ORACLE["suite_report"] = " UNION ALL ".join(
     f"SELECT '{name}' AS query, 'passed' AS status, "
-    f"(SELECT COUNT(*) FROM ({ORACLE[name]}) q) AS row_count, '{columns}' AS columns"
+    f"(SELECT COUNT(*) FROM ({ORACLE[name]}) q) AS row_count, '{columns}' AS columns, "
+    f"CAST(least(3, (SELECT COUNT(*) FROM ({ORACLE[name]}) q)) AS INTEGER) AS previewed"
     for name, columns in SUITE_COLUMNS.items()
 )
 
@@ -738,10 +764,13 @@ SELECT 'unanswered_id', COUNT(DISTINCT o_orderkey) FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE o.o_orderkey = l.l_orderkey)
 """
 ORACLE["payload_fingerprint"] = (
-    "WITH x AS (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, "
-    "o_orderpriority)) AS h FROM orders) SELECT COUNT(*) AS n_rows, "
+    "WITH x AS (SELECT sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderdate\":\"' || "
+    "strftime(o_orderdate, '%Y-%m-%d') || '\",\"o_orderkey\":' || o_orderkey || "
+    "',\"o_orderpriority\":\"' || o_orderpriority || '\",\"o_orderstatus\":\"' || o_orderstatus || "
+    "'\",\"o_totalprice\":' || CAST(o_totalprice AS DECIMAL(18,2)) || '}') AS h FROM orders) "
+    "SELECT COUNT(*) AS n_rows, "
     + ", ".join(
-        f"CAST(SUM(CAST('0x' || substr(h, {1 + 15 * lane}, 15) AS BIGINT)) AS VARCHAR) "
+        f"CAST(SUM(CAST('0x' || substr(h, {1 + 16 * lane}, 16) AS UBIGINT)) AS VARCHAR) "
         f"AS lane_{lane + 1}"
         for lane in range(4)
     )
@@ -784,6 +813,23 @@ WITH RECURSIVE {ROOTS}
 SELECT COALESCE(home.root, a.node) AS node, a.name, MIN(a.value) AS value
 FROM a LEFT JOIN home ON home.node = a.node GROUP BY 1, 2
 """
+ORACLE["hierarchy_children"] = f"""
+WITH RECURSIVE {TAXONOMY} SELECT child FROM e WHERE parent = 'n3'
+"""
+ORACLE["hierarchy_descendants"] = f"""
+WITH RECURSIVE {TAXONOMY} SELECT node, depth FROM r WHERE ancestor = 'r1'
+"""
+ORACLE["flatten_classes"] = f"""
+WITH RECURSIVE {ROOTS}, every AS (SELECT child AS name FROM e UNION SELECT parent FROM e)
+SELECT name FROM every WHERE name NOT IN (SELECT node FROM home)
+"""
+ORACLE["flatten_relations"] = f"""
+WITH RECURSIVE {ROOTS}
+SELECT DISTINCT l_returnflag AS name, d.root AS domain, g.root AS "range"
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+JOIN home d ON d.node = 'c' || CAST(o_custkey AS VARCHAR)
+JOIN home g ON g.node = 'n' || CAST(s_nationkey AS VARCHAR)
+"""
 ORACLE["triples_pivot"] = """
 SELECT c_custkey AS subject, c_name AS name, c_mktsegment AS segment,
        CAST(c_nationkey AS VARCHAR) AS nation

@@ -17,7 +17,7 @@ from ledgerweave.plans import scoring, shapes
 from ledgerweave.plans.evaluation import agent_summary, question_rows
 from ledgerweave.plans.suite import run_suite
 from ledgerweave.sources.records import parse_scenarios
-from ledgerweave.sources.text_tables import conform, loadable, rejected
+from ledgerweave.sources.text_tables import conform, loadable, parse_lines, rejected
 from ledgerweave.star import texts
 from ledgerweave.star.tables import (
     CONTRACTS,
@@ -70,21 +70,58 @@ def ingest_typed(tables: Tables) -> DataFrame:
 @query
 def ingest_rejects(tables: Tables) -> DataFrame:
     status = F.col("is_final")
+    month = F.substring("o_orderdate", 6, 2)
     damaged = _order_file(tables).withColumns(
         {
-            "o_totalprice": F.when(F.trim(status) == "", F.lit(" n/a")).otherwise(
-                F.col("o_totalprice")
-            ),
+            # A third decimal does not fit; one more zero does.
+            "o_totalprice": F.when(F.trim(status) == "", F.lit(" n/a"))
+            .when(status == "False", F.concat("o_totalprice", F.lit("5")))
+            .otherwise(F.concat("o_totalprice", F.lit("0"))),
+            "placed_at": F.when(month == "04", F.substring("placed_at", 12, 5))
+            .when(month == "05", F.substring("placed_at", 1, 10))
+            .otherwise(F.col("placed_at")),
             "o_custkey": F.when(
                 F.col("o_orderpriority") == " 5-LOW ", F.concat(F.lit("C-"), F.col("o_custkey"))
             ).otherwise(F.col("o_custkey")),
-            "o_orderdate": F.regexp_replace("o_orderdate", "-02-", "-13-"),
+            "o_orderdate": F.when(month == "03", F.substring("o_orderdate", 1, 7)).otherwise(
+                F.regexp_replace("o_orderdate", "-02-", "-13-")
+            ),
             "is_final": F.regexp_replace("is_final", "False", "maybe"),
         }
     )
     return rejected(conform(damaged, ORDER_FILE), ORDER_FILE)
 
 
+def _csv_lines(tables: Tables) -> DataFrame:
+    """Orders as lines of CSV: quotes and commas in fields, blanks, too many and too few
+    fields, a quote that stays open."""
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    key = F.col("o_orderkey").cast("string")
+    clerk = F.concat(F.lit('"a ""'), status, F.lit('"", '), priority, F.lit('"'))
+    line = F.concat_ws(",", key, F.concat(F.lit(" "), F.col("o_custkey").cast("string")), F.lit("12.50"), clerk)
+    return tables["orders"].select(
+        F.when(priority == "1-URGENT", F.concat(line, F.lit(",more")))
+        .when(priority == "2-HIGH", F.concat(key, F.lit(",7")))
+        .when(priority == "5-LOW", F.concat(key, F.lit(',1,2.5,"'), status))
+        .otherwise(line)
+        .alias("value")
+    )
+
+
+@query
+def ingest_csv(tables: Tables) -> DataFrame:
+    raw = parse_lines(_csv_lines(tables), ["o_orderkey", "o_custkey", "o_totalprice", "clerk"])
+    rows = conform(raw, ORDER_FILE)
+    return rows.select(
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+        "clerk",
+        F.get("rejects", F.lit(0))["raw"].alias("broken"),
+        F.size("rejects").alias("n_rejects"),
+    )
+
+
 @query
 def scenario_scan(tables: Tables) -> DataFrame:
     lang = F.col("lang")
@@ -382,9 +419,13 @@ COMPETENCY = (
 @query
 def suite_report(tables: Tables) -> DataFrame:
     runs = {q.__name__: (lambda q=q: q(tables)) for q in COMPETENCY}
-    report = run_suite(tables.spark, runs, preview=0)
+    report = run_suite(tables.spark, runs, preview=3)
     return report.select(
-        "query", "status", "row_count", F.concat_ws(",", "columns").alias("columns")
+        "query",
+        "status",
+        "row_count",
+        F.concat_ws(",", "columns").alias("columns"),
+        F.size("preview").alias("previewed"),
     )
 
 
@@ -799,8 +840,10 @@ def id_integrity(tables: Tables) -> DataFrame:
 
 @query
 def payload_fingerprint(tables: Tables) -> DataFrame:
-    row = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    found = cards.fingerprint(tables["orders"], F.sha2(row, 256))
+    rows = tables["orders"].withColumns(
+        {"o_totalprice": money("o_totalprice"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd")}
+    )
+    found = cards.fingerprint(rows)
     return found.select(
         "n_rows", *[F.col(c).cast("string").alias(c) for c in found.columns if c != "n_rows"]
     )
@@ -864,6 +907,37 @@ def flatten_attributes(tables: Tables) -> DataFrame:
     return taxonomy.flatten_attributes(_attributes(tables), taxonomy.root_of(_taxonomy(tables)))
 
 
+@query
+def hierarchy_children(tables: Tables) -> DataFrame:
+    return taxonomy.children_of(_taxonomy(tables), "n3")
+
+
+@query
+def hierarchy_descendants(tables: Tables) -> DataFrame:
+    return taxonomy.descendants_of(_taxonomy(tables), "r1")
+
+
+@query
+def flatten_classes(tables: Tables) -> DataFrame:
+    """What is left of all nations, regions and customers when each folds into its region."""
+    edges = _taxonomy(tables)
+    classes = edges.select(F.col("child").alias("name")).union(edges.select("parent")).distinct()
+    return taxonomy.flatten_classes(classes, taxonomy.root_of(edges))
+
+
+@query
+def flatten_relations(tables: Tables) -> DataFrame:
+    """Orders from customer to nation of a supplier's line, with both ends at the regions."""
+    lines = tables["lineitem"].join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = lines.join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    relations = lines.select(
+        F.col("l_returnflag").alias("name"),
+        _tag("c", "o_custkey").alias("domain"),
+        _tag("n", "s_nationkey").alias("range"),
+    )
+    return taxonomy.flatten_relations(relations.distinct(), taxonomy.root_of(_taxonomy(tables)))
+
+
 def _triples(tables: Tables) -> DataFrame:
     """Customers as subject-predicate-object rows; without a segment for some."""
     segment = F.nullif("c_mktsegment", F.lit("MACHINERY"))

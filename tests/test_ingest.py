@@ -22,8 +22,7 @@ def write(path, text):
     return str(path)
 
 
-@pytest.mark.parametrize("multi_line", [None, True])
-def test_values(spark, tmp_path, multi_line):
+def test_values(spark, tmp_path):
     path = write(
         tmp_path / "f.csv",
         HEADER
@@ -31,7 +30,7 @@ def test_values(spark, tmp_path, multi_line):
         + "fb,2025-05-17T20:17:22+00:00,zzz\n"
         + "2,,7,2025-05-18,2025-06-01,term,1,2,,True,  ,fb,2025-05-17T20:17:22+02:00,zzz\n",
     )
-    table = src.read_table(spark, path, FORBEARANCE, multi_line)
+    table = src.read_table(spark, path, FORBEARANCE, multi_line=True)
     assert table.schema.fieldNames() == FORBEARANCE.columns
     one, two = sorted(table.collect(), key=lambda r: r.forbearance_event_id)
     assert (one.loan_id, one.borrower_id, one.end_date) == (2, None, None)
@@ -46,12 +45,90 @@ def test_values(spark, tmp_path, multi_line):
     assert apart.first()[0] == 7200
 
 
-def test_files_with_line_breaks_are_found_one_by_one(spark, tmp_path):
-    header = "receiver_id,full_name,registration_number,country_code,created_at\n"
-    write(tmp_path / "a.csv", header + '1,"two\nlines",r,ES,2024-01-01T00:00:00+00:00\n')
-    write(tmp_path / "b c.csv", header + "2,plain,r,ES,2024-01-01T00:00:00+00:00\n")
-    table = src.read_table(spark, str(tmp_path), PORTFOLIO["receiver"])
+RECEIVERS = "receiver_id,full_name,registration_number,country_code\n"
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_broken_rows_are_rejects_with_their_text(spark, tmp_path, multi_line):
+    path = write(
+        tmp_path / "r.csv", RECEIVERS + '1,A,r,ES\n2,"B, ""b""",r,ES,EXTRA\n3,c\n\n4,"D, ""d""",r,ES\n'
+    )
+    contract = PORTFOLIO["receiver"]
+    conformed = src.conform(src.read_text_table(spark, path, multi_line), contract)
+    assert rows(src.loadable(conformed).select("receiver_id", "full_name")) == [(1, "A"), (4, 'D, "d"')]
+    assert rows(src.rejected(conformed, contract)) == [
+        (None, None, '2,"B, ""b""",r,ES,EXTRA'),
+        (None, None, "3,c"),
+    ]
+
+
+def test_a_stray_quote_costs_its_own_row_only(spark, tmp_path):
+    lines = [f"{i},n{i},r,ES" for i in range(10)]
+    lines[4] = '4,"n4,r,ES'
+    lines[7] = '7,n7,r,"ES'
+    contract = PORTFOLIO["receiver"]
+    path = write(tmp_path / "q.csv", RECEIVERS + "\n".join(lines) + "\n")
+    conformed = src.conform(src.read_text_table(spark, path), contract)
+    assert [r[0] for r in rows(src.loadable(conformed))] == [0, 1, 2, 3, 5, 6, 8, 9]
+    assert rows(src.rejected(conformed, contract)) == [(None, None, lines[4]), (None, None, lines[7])]
+    with pytest.raises(ValueError):
+        src.load_table(spark, path, contract, "stray_receivers")
+    # Read as lines that run on, the open quote takes the rest along, and that is no clean row.
+    whole = src.conform(src.read_text_table(spark, path, multi_line=True), contract)
+    assert src.rejected(whole, contract).count() > 0
+
+
+def test_lines_that_run_on_are_read_when_said_so(spark, tmp_path):
+    write(tmp_path / "a.csv", RECEIVERS + '1,"two\nlines",r,ES\n')
+    write(tmp_path / "b c.csv", RECEIVERS + "2,plain,r,ES\n")
+    table = src.read_table(spark, str(tmp_path), PORTFOLIO["receiver"], multi_line=True)
     assert rows(table.select("receiver_id", "full_name")) == [(1, "two\nlines"), (2, "plain")]
+    # As plain lines the halves are broken rows; nothing is lost in silence.
+    split = src.conform(src.read_text_table(spark, str(tmp_path)), PORTFOLIO["receiver"])
+    assert src.loadable(split).count() == 1 and src.rejected(split, PORTFOLIO["receiver"]).count() == 2
+
+
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("1.23", "decimal(18,2)", D("1.23")),
+        ("1.230", "decimal(18,2)", D("1.23")),
+        ("-7", "decimal(18,2)", D("-7")),
+        ("1.239", "decimal(18,2)", None),
+        ("0.005", "decimal(18,2)", None),
+        ("1e2", "decimal(18,2)", D("100")),
+        ("1.5e-3", "decimal(18,2)", None),
+        ("125e-2", "decimal(18,2)", D("1.25")),
+        ("1." + "0" * 30 + "1", "decimal(18,2)", None),
+        ("99999999999999999999", "decimal(18,2)", None),
+        ("1.5", "int", None),
+        ("2024-02-29", "date", dt.date(2024, 2, 29)),
+        ("2023-02-29", "date", None),
+        ("2024", "date", None),
+        ("2024-02", "date", None),
+        ("2024-2-3", "date", None),
+        ("2024-02-03T10:00:00", "date", None),
+        ("12:30", "timestamp", None),
+        ("2024-02-03", "timestamp", None),
+        ("2024", "timestamp", None),
+        ("2024-02-03 10:20:30", "timestamp", dt.datetime(2024, 2, 3, 10, 20, 30)),
+        ("2024-02-03T10:20:30+00:00", "timestamp", dt.datetime(2024, 2, 3, 10, 20, 30)),
+        ("2024-02-03T10:20:30Z", "timestamp", dt.datetime(2024, 2, 3, 10, 20, 30)),
+        ("2024-02-03T10:20:30.1234567", "timestamp", None),
+        ("2024-02-03T25:20:30", "timestamp", None),
+    ],
+)
+def test_values_fit_exactly_or_not_at_all(spark, text, kind, value):
+    from pyspark.sql import functions as F
+
+    from ledgerweave.functions.casts import typed
+
+    to = spark.range(1).select(F.lit(None).cast(kind).alias("x")).schema["x"].dataType
+    found = spark.createDataFrame([(text,)], "t string").select(typed(F.col("t"), to).alias("x"))
+    if kind == "timestamp":
+        found = found.select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"))
+        value = value and str(value)
+    assert found.first().x == value
 
 
 def test_missing_columns_are_null_and_order_is_declared(spark, tmp_path):
