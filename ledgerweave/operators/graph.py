@@ -151,50 +151,33 @@ class Graph:
         return reduce(DataFrame.unionByName, counts)
 
     def write_snapshot(self, folder: str) -> None:
-        """Nodes and edges as Parquet, one folder each, below a new ``folder``.
+        """The columns that nodes, edges and series take, as Parquet below a new ``folder``.
 
-        Every refresh writes a folder of its own, so readers of the one before are
-        not disturbed and a failed refresh replaces nothing.
+        Every table is written once, so references stay in their node's row and hops cost
+        what they cost on the live tables. Every refresh writes a folder of its own, so
+        readers of the one before are not disturbed and a failed refresh replaces nothing.
         """
-        for label in self.spec.nodes:
-            self.nodes(label).write.parquet(f"{folder}/nodes/{label}")
-        for name in self.spec.edges:
-            self.edges(name).write.parquet(f"{folder}/edges/{name}")
-
-    def write_bucketed(self, database: str, buckets: int) -> None:
-        """Nodes and edges as tables bucketed by key, so that hops along an edge's
-        source join without a shuffle."""
-        for label in self.spec.nodes:
-            self.nodes(label).write.mode("overwrite").bucketBy(buckets, "node_id").sortBy(
-                "node_id"
-            ).saveAsTable(f"{database}.node_{snake(label)}")
-        for name in self.spec.edges:
-            self.edges(name).write.mode("overwrite").bucketBy(buckets, "src").sortBy(
-                "src"
-            ).saveAsTable(f"{database}.edge_{name}")
+        for table, columns in _used_columns(self.spec).items():
+            self.tables[table].select(*columns).write.parquet(f"{folder}/{table}")
+
+
+def _used_columns(spec: GraphSpec) -> dict[str, list[str]]:
+    used: dict[str, dict[str, None]] = {}
+    for node in spec.nodes.values():
+        used.setdefault(node.table, {}).update(dict.fromkeys([*node.key, *node.properties.values()]))
+    for edge in spec.edges.values():
+        ends = [*edge.source_key, *edge.target_key, *edge.properties.values()]
+        used.setdefault(edge.table, {}).update(dict.fromkeys(ends))
+    for series in spec.series.values():
+        taken = [*series.key, series.instant, *series.properties.values()]
+        used.setdefault(series.table, {}).update(dict.fromkeys(taken))
+    return {table: list(columns) for table, columns in used.items()}
 
 
-def snapshot(spark: SparkSession, spec: GraphSpec, path: str) -> Graph:
+def snapshot(spark: SparkSession, spec: GraphSpec, path: str, verified: Iterable[str] = ()) -> Graph:
     """The graph as it was when the snapshot was written."""
-    nodes = {
-        label: NodeSpec(f"nodes/{label}", ("node_id",), {p: p for p in node.properties})
-        for label, node in spec.nodes.items()
-    }
-    edges = {
-        name: EdgeSpec(
-            edge.source,
-            edge.target,
-            f"edges/{name}",
-            ("src",),
-            ("dst",),
-            {p: p for p in edge.properties},
-        )
-        for name, edge in spec.edges.items()
-    }
-    tables = {
-        t.table: spark.read.parquet(f"{path}/{t.table}") for t in (*nodes.values(), *edges.values())
-    }
-    return Graph(GraphSpec(nodes, edges), tables)
+    tables = {table: spark.read.parquet(f"{path}/{table}") for table in _used_columns(spec)}
+    return Graph(spec, tables, verified)
 
 
 def inverse(edges: DataFrame) -> DataFrame:
