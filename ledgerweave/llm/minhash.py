@@ -13,7 +13,8 @@
 4. Lists that still hold several components pair the nodes of different ones, if they have at
    most ``SMALL`` members. For the members of larger ones the exact way is a prefix filter on
    full sets: listed under the rarest fifth of their shingles, and paired only where sizes and
-   positions leave room for the overlap that 0.8 takes. Nodes that no partner's size leaves
+   positions, and the numbers of shared values in each part of the hash range, leave room for
+   the overlap that 0.8 takes. Nodes that no partner's size leaves
    room for are taken out of a list before it is joined. No list is capped.
 5. All links together make the components.
 
@@ -46,6 +47,8 @@ K = 128
 OVERLAP = 88
 PASS = 0.6
 SMALL = 64
+#: Parts of the hash range (a power of two) by which the exact way bounds an overlap.
+PARTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -328,8 +331,15 @@ def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
         if able.count() == rare.count():
             break
         rare = able
-    room = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
-    return _cross(able, room, "n", "at")
+    # Shared values fall into the same parts, so the parts' lesser counts bound the overlap.
+    part = F.col("value").bitwiseAND(F.lit(PARTS - 1))
+    counted = shared.groupBy("node").agg(
+        F.array(*[F.count_if(part == p).cast("int") for p in range(PARTS)]).alias("parts")
+    )
+    wanted = 4 * (F.col("n_a") + F.col("n_b"))
+    room = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= wanted
+    both = F.aggregate(F.zip_with("parts_a", "parts_b", F.least), F.lit(0), lambda a, b: a + b)
+    return _cross(able.join(counted, "node"), room & (9 * both >= wanted), "n", "at", "parts")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
