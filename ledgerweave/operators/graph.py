@@ -138,6 +138,18 @@ class Graph:
         ]
         return reduce(DataFrame.unionByName, views)
 
+    def label_summary(self) -> DataFrame:
+        """(label, n, least, greatest) per label that has nodes; aggregated label by label,
+        so no key is sorted or shuffled."""
+        found = []
+        for label in self.spec.nodes:
+            node = F.col("node_id").cast("string")
+            ends = self.nodes(label).agg(
+                F.count("*").alias("n"), F.min(node).alias("least"), F.max(node).alias("greatest")
+            )
+            found.append(ends.where(F.col("n") > 0).select(F.lit(label).alias("label"), "n", "least", "greatest"))
+        return reduce(DataFrame.unionByName, found)
+
     def edge_summary(self) -> DataFrame:
         """(edge, n, targets) per edge; counted per target before anything moves."""
         counts = []

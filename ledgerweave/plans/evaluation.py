@@ -30,21 +30,31 @@ def question_rows(scenarios: DataFrame, answers: DataFrame) -> DataFrame:
         "ontology_signals",
         t.prepared_signals(F.col("ontology_signals")).alias("signals"),
     )
-    judged = answers.join(asked.select("scenario_id", "signals"), "scenario_id").select(
-        "scenario_id",
-        "agent_type",
-        "answer",
-        t.split_signals(F.col("answer"), F.col("signals")).alias("found"),
-        (F.size("signals") > 0).alias("judged"),
+    # Answers are grouped once and meet their scenario once; they are judged after that.
+    wide = answers.groupBy("scenario_id").agg(
+        *[F.max(F.when(F.col("agent_type") == a, F.struct("answer"))).alias(f"said_{a}") for a in AGENTS]
     )
-    said = F.struct(
-        F.col("answer"),
-        F.when(F.col("judged"), F.size("found.missing") == 0).alias("judgement"),
-        F.col("found.matched").alias("matched"),
-        F.col("found.missing").alias("missing"),
+    met = asked.join(wide, "scenario_id", "left")
+    found = met.select(
+        "*",
+        *[
+            F.when(
+                F.col(f"said_{a}").isNotNull(), t.split_signals(F.col(f"said_{a}.answer"), F.col("signals"))
+            ).alias(f"found_{a}")
+            for a in AGENTS
+        ],
     )
-    wide = judged.groupBy("scenario_id").agg(
-        *[F.max(F.when(F.col("agent_type") == a, said)).alias(a) for a in AGENTS]
+    judged = found.select(
+        "*",
+        *[
+            F.struct(
+                F.col(f"said_{a}.answer").alias("answer"),
+                F.when(F.size("signals") > 0, F.size(F.col(f"found_{a}.missing")) == 0).alias("judgement"),
+                F.col(f"found_{a}.matched").alias("matched"),
+                F.col(f"found_{a}.missing").alias("missing"),
+            ).alias(a)
+            for a in AGENTS
+        ],
     )
     columns: list[Column] = []
     for agent in AGENTS:
@@ -54,7 +64,7 @@ def question_rows(scenarios: DataFrame, answers: DataFrame) -> DataFrame:
             F.col(agent)["matched"].alias(f"matched_signals_{agent}"),
             F.col(agent)["missing"].alias(f"missing_signals_{agent}"),
         ]
-    return asked.join(wide, "scenario_id", "left").select(
+    return judged.select(
         "scenario_id", "domain", "question", "expected_answer", "ontology_signals", *columns
     )
 

@@ -116,7 +116,7 @@ def infer_metadata(
         bare = F.transform(
             tables,
             lambda n: F.when(
-                n.startswith(strip_prefix), F.substring(n, len(strip_prefix) + 1, 1 << 20)
+                n.startswith(strip_prefix), n.substr(F.lit(len(strip_prefix) + 1), F.length(n))
             ).otherwise(n),
         )
         tables = F.array_sort(F.array_distinct(bare))

@@ -271,10 +271,7 @@ def inverse_edges(tables: Tables) -> DataFrame:
 
 @query
 def node_labels(tables: Tables) -> DataFrame:
-    nodes = star_graph(tables).all_nodes()
-    return nodes.groupBy("label").agg(
-        F.count("*").alias("n"), F.min("node_id").alias("least"), F.max("node_id").alias("greatest")
-    )
+    return star_graph(tables).label_summary()
 
 
 @query
@@ -634,12 +631,11 @@ def precondition_report(tables: Tables) -> DataFrame:
                 [
                     F.count("*").alias("collateral_rows"),
                     F.sum(money("l_extendedprice")).alias("collateral_value"),
+                    F.countDistinct(
+                        F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))
+                    ).alias("handlers"),
                 ],
             ),
-            (
-                lines.where(F.col("l_returnflag") == "R"),
-                [F.countDistinct("l_suppkey").alias("handlers")],
-            ),
         ],
     )
     return report.select(
