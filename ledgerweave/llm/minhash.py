@@ -338,7 +338,7 @@ def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
     )
     wanted = 4 * (F.col("n_a") + F.col("n_b"))
     room = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= wanted
-    both = F.aggregate(F.zip_with("parts_a", "parts_b", F.least), F.lit(0), lambda a, b: a + b)
+    both = F.aggregate(F.zip_with("parts_a", "parts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
     return _cross(able.join(counted, "node"), room & (9 * both >= wanted), "n", "at", "parts")
 
 
