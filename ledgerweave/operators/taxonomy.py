@@ -365,8 +365,8 @@ def mapping_report(
 
 
 def require_clean(report: DataFrame) -> None:
-    """Strict mode: any issue stops the job; the first few are named."""
+    """Strict mode: any issue stops the job; all are counted, the first few are named."""
     issues = report.orderBy("issue", "name").limit(20).collect()
     if issues:
         listed = "; ".join(f"{i.issue} {i.name}" for i in issues)
-        raise ValueError(f"mapping is incomplete: {listed}")
+        raise ValueError(f"mapping is incomplete, {report.count()} issues: {listed}")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ledgerweave.functions import text as t
 from ledgerweave.operators.metrics import long_form
@@ -35,10 +36,14 @@ def latest_answers(
 ) -> DataFrame:
     """(thread, alias): the last assistant message of every thread, trimmed.
 
-    Threads without one, or with a blank one, answer ``<empty>``. Other roles send
-    only their thread id: their text is gone before anything is sorted.
+    ``body`` is a text, or the parts of a message as array<struct<type, value>>, whose
+    text parts are joined line by line. Threads without a message, or with a blank one,
+    answer ``<empty>``. Other roles send only their thread id: their text is gone before
+    anything is sorted.
     """
-    message = F.struct(F.col(turn).alias("turn"), F.col(body).alias("body"))
+    in_parts = isinstance(messages.schema[body].dataType, ArrayType)
+    text = t.message_text(F.col(body)) if in_parts else F.col(body)
+    message = F.struct(F.col(turn).alias("turn"), text.alias("body"))
     said = messages.select(thread, F.when(F.col(role) == "assistant", message).alias("said"))
     body_of = t.stripped(F.col("last.body"))
     return (

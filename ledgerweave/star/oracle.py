@@ -78,6 +78,13 @@ SELECT 'S' || CAST(doc_id // 2 AS VARCHAR) AS scenario_id, lang AS domain,
 FROM documents
 """
 
+ORACLE["golden_scan"] = """
+SELECT 'S' || CAST(doc_id // 2 AS VARCHAR) AS scenario_id, 'gold ' || source AS gold_label,
+       CASE WHEN lang = 'es' THEN CAST(n_chars AS DOUBLE) END AS gold_numeric_value,
+       1.0::DOUBLE AS gold_numeric_tolerance_pct
+FROM documents
+"""
+
 # -- Contracts ------------------------------------------------------------------------
 
 ORACLE["dq_pk_duplicates"] = """
@@ -526,6 +533,15 @@ SELECT c.conv_id, COALESCE(NULLIF({_strip('l.text')}, ''), '<empty>') AS answer
 FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN last l ON l.conv_id = c.conv_id AND l.rn = 1
 """
+ORACLE["latest_message_parts"] = f"""
+WITH last AS (
+  SELECT conv_id, replace(text, '. ', chr(10)) AS text,
+         ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS rn
+  FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, md5(COALESCE(NULLIF({_strip('l.text')}, ''), '<empty>')) AS answer_md5
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN last l ON l.conv_id = c.conv_id AND l.rn = 1
+"""
 ORACLE["text_normalize"] = f"""
 SELECT doc_id, md5(plain) AS plain_md5, CAST(length(plain) AS INTEGER) AS plain_chars
 FROM (SELECT doc_id, {_norm('text')} AS plain FROM documents) x
@@ -835,6 +851,13 @@ SELECT c_custkey AS subject, c_name AS name, c_mktsegment AS segment,
        CAST(c_nationkey AS VARCHAR) AS nation
 FROM customer WHERE c_mktsegment <> 'MACHINERY'
 """
+ORACLE["unsupported_uses"] = """
+SELECT 'http://www.w3.org/2002/07/owl#unionOf' AS construct, COUNT(*) AS uses
+FROM customer WHERE c_mktsegment = 'BUILDING' HAVING COUNT(*) > 0
+UNION ALL
+SELECT 'http://www.w3.org/2002/07/owl#TransitiveProperty', COUNT(*)
+FROM customer WHERE c_mktsegment = 'AUTOMOBILE' HAVING COUNT(*) > 0
+"""
 ORACLE["predicate_audit"] = """
 SELECT 'name' AS predicate, COUNT(c_name) AS uses FROM customer
 UNION ALL SELECT 'segment', COUNT(NULLIF(c_mktsegment, 'MACHINERY')) FROM customer

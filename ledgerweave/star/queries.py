@@ -16,7 +16,7 @@ from ledgerweave.plans import scorecard as cards
 from ledgerweave.plans import scoring, shapes
 from ledgerweave.plans.evaluation import agent_summary, question_rows
 from ledgerweave.plans.suite import run_suite
-from ledgerweave.sources.records import parse_scenarios
+from ledgerweave.sources.records import golden_answers, parse_scenarios
 from ledgerweave.sources.text_tables import conform, loadable, parse_lines, rejected
 from ledgerweave.star import texts
 from ledgerweave.star.tables import (
@@ -153,6 +153,23 @@ def scenario_scan(tables: Tables) -> DataFrame:
     )
 
 
+@query
+def golden_scan(tables: Tables) -> DataFrame:
+    """Expectations out of scenario records, from JSON text."""
+    payload = tables["documents"].select(
+        F.to_json(
+            F.struct(
+                texts.scenario_of().alias("scenario_id"),
+                F.concat(F.lit("gold "), F.col("source")).alias("gold_label"),
+                F.when(F.col("lang") == "es", F.col("n_chars").cast("double")).alias("gold_numeric_value"),
+            )
+        ).alias("payload")
+    )
+    return golden_answers(parse_scenarios(payload, "payload")).select(
+        "scenario_id", "gold_label", "gold_numeric_value", "gold_numeric_tolerance_pct"
+    )
+
+
 # -- Contracts --------------------------------------------------------------------
 
 
@@ -657,6 +674,18 @@ def latest_assistant_message(tables: Tables) -> DataFrame:
     )
 
 
+@query
+def latest_message_parts(tables: Tables) -> DataFrame:
+    """Messages in parts: every line of a text is a part, with parts of other kinds between."""
+    lines = F.transform(
+        F.split("text", "[.] "), lambda v: F.struct(F.lit("text").alias("type"), v.alias("value"))
+    )
+    other = F.array(F.struct(F.lit("image").alias("type"), F.col("role").alias("value")))
+    messages = tables["conversations"].withColumn("parts", F.concat(other, lines, other))
+    found = scoring.latest_answers(messages, "conv_id", "turn", "role", "parts", "answer")
+    return found.select("conv_id", F.md5("answer").alias("answer_md5"))
+
+
 @query
 def text_normalize(tables: Tables) -> DataFrame:
     plain = t.normalize(F.col("text"))
@@ -956,6 +985,23 @@ def triples_pivot(tables: Tables) -> DataFrame:
     return taxonomy.subject_rows(_triples(tables), columns, required=["segment"])
 
 
+@query
+def unsupported_uses(tables: Tables) -> DataFrame:
+    """Constructs that tables cannot carry, among triples made of the customers."""
+    segment, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    triples = tables["customer"].select(
+        key.alias("s"),
+        F.when(segment == "BUILDING", taxonomy.OWL + "unionOf")
+        .when(segment == "MACHINERY", taxonomy.RDFS + "comment")
+        .otherwise(taxonomy.RDF_TYPE)
+        .alias("p"),
+        F.when(segment == "AUTOMOBILE", taxonomy.OWL + "TransitiveProperty")
+        .otherwise(taxonomy.OWL + "Class")
+        .alias("o"),
+    )
+    return taxonomy.unsupported_uses(triples)
+
+
 @query
 def predicate_audit(tables: Tables) -> DataFrame:
     return taxonomy.predicate_uses(_triples(tables))
