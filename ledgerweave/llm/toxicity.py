@@ -42,7 +42,7 @@ from ledgerweave.llm.pretokens import LETTER, classes
 SAMPLE = 1500
 CLEAN = 3  # clean rows for each toxic one
 LANDMARKS = 192  # of each kind, at most
-UNITS = 6000  # clean units to begin training with
+UNITS = 4000  # clean units to begin training with
 DECAY = 0.7
 WIDEST = 32
 LETTERS = 64  # codes: 0 no letter, 1 to 61 the commonest, 62 a unit's start, 63 the rest
@@ -218,11 +218,11 @@ def _without_copies(lists: list[np.ndarray], n: int) -> list[bool]:
     holders: list[list[int]] = [[] for _ in range(n)]
     out = []
     for i, own in enumerate(lists):
-        shared = Counter(h for w in own.tolist() for h in holders[w] if len(holders[w]) <= 40)
+        shared = Counter(h for w in own.tolist() for h in holders[w] if len(holders[w]) <= 8)
         out.append(not shared or 3 * shared.most_common(1)[0][1] < len(own))
         if out[-1]:
             for w in own.tolist():
-                if len(holders[w]) <= 40:
+                if len(holders[w]) <= 8:
                     holders[w].append(i)
     return out
 
@@ -323,7 +323,7 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     negative = dict.fromkeys(clean[: UNITS // 3] + clean[::step][:UNITS])
     machine = None
     pool_codes = _coded(clean, alphabet)
-    for _ in range(4):
+    for _ in range(3):
         few = list(negative)
         # Half of the clean landmarks are the latest: units that the machine erred on.
         half = LANDMARKS // 2
