@@ -81,14 +81,14 @@ def descendants_of(edges: DataFrame, root: str) -> DataFrame:
     """(node, depth) below ``root``, walked down level by level from it."""
     links = cut_lineage(_links(edges).distinct())
     level = links.where(F.col("parent") == root).select(F.col("child").alias("node"))
-    found, depth = [], 0
+    found, depth, size = [], 0, links.count()
     while True:
         level = cut_lineage(level)
         if level.isEmpty():
             break
         depth += 1
-        if level.where(F.col("node") == root).count():
-            raise ValueError(f"{root} is its own ancestor")
+        if depth > size:  # no path is longer than the number of links
+            raise ValueError(f"a node below {root} is its own ancestor")
         found.append(level.withColumn("depth", F.lit(depth)))
         level = links.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"))
     none = links.select(F.col("child").alias("node"), F.lit(0).alias("depth")).limit(0)
