@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A batch is worked on in pieces of about this many bytes; a longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -35,7 +35,7 @@ from ledgerweave.llm.pretokens import split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces a worker remembers.
-KEPT = 400_000
+KEPT = 120_000
 #: Merges that one recursive query makes of a piece at most; longer pieces take several queries.
 STEPS = 48
 
@@ -73,7 +73,7 @@ class Codec:
         self.ids = {
             base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)
         }
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         merges = []
         for token, rank in self.ids.items():
@@ -81,7 +81,7 @@ class Codec:
                 left, right = self.ids.get(token[:i]), self.ids.get(token[i:])
                 if left is not None and right is not None:
                     merges.append((left, right, rank))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         left, right, merged = np.array(merges, np.int64).reshape(-1, 3).T
         made = pa.table({"pair": (left << 32) + right, "merged": merged})
         self.db.register("made", made)
@@ -96,13 +96,14 @@ class Codec:
         new = []
         for i, text in enumerate(texts):
             found = self.known.get(text)
-            if found is None:
-                whole = self.ids.get(text)
-                if whole is None:
-                    new.append(i)
-                    continue
-                found = np.array([whole], np.uint32)
-            out[i] = found
+            if found is not None:
+                out[i] = np.frombuffer(found, np.uint32)
+                continue
+            whole = self.ids.get(text)
+            if whole is None:
+                new.append(i)
+            else:
+                out[i] = np.array([whole], np.uint32)
         if new:
             buf = np.frombuffer(b"".join(texts[i] for i in new), np.uint8)
             lengths = np.array([len(texts[i]) for i in new], np.int64)
@@ -112,7 +113,7 @@ class Codec:
             for i, ids in zip(new, done):
                 out[i] = ids
                 if len(texts[i]) < 64 and len(self.known) < KEPT:
-                    self.known[texts[i]] = ids
+                    self.known[texts[i]] = ids.tobytes()
         return out
 
     def _contract(self, piece: np.ndarray, token: np.ndarray) -> list[np.ndarray]:

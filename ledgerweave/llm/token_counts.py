@@ -36,7 +36,7 @@ from ledgerweave.session import cut_lineage
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces a worker remembers.
-KEPT = 400_000
+KEPT = 120_000
 CACHE = "version binary, content binary, n_tokens long"
 
 

@@ -41,7 +41,7 @@ from ledgerweave.llm.pretokens import LETTER, classes
 #: Toxic rows that the machine learns from, at most.
 SAMPLE = 1500
 CLEAN = 3  # clean rows for each toxic one
-LANDMARKS = 192  # of each kind, at most
+LANDMARKS = 144  # of each kind, at most
 UNITS = 4000  # clean units to begin training with
 DECAY = 0.7
 WIDEST = 32
