@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import flat, mix, pieces, prefix_sums, segment_hashes, words_of
@@ -315,11 +315,21 @@ def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
     values = cut_lineage(full.mapInArrow(spread, "node long, label long, n int, value long"))
     counts = values.groupBy("value").agg(F.count("*").alias("count")).filter("count > 1")
     shared = values.join(counts, "value")
+    # Shared values fall into the same parts, so the parts' lesser counts bound the overlap.
+    part = F.col("value").bitwiseAND(F.lit(PARTS - 1))
+    whole = cut_lineage(
+        shared.groupBy("node", "label", "n").agg(
+            F.sort_array(F.collect_list(F.struct("count", "value"))).alias("all"),
+            F.array(*[F.count_if(part == p).cast("int") for p in range(PARTS)]).alias("parts"),
+        )
+    )
     # Values that nobody shares come first in the order, so they take up places.
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "value"))
-    number = F.count("*").over(Window.partitionBy("node"))
-    placed = shared.withColumn("at", (F.col("n") - number + rank - 1).cast("int"))
-    rare = cut_lineage(placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 4 / 5)))
+    number = F.size("all")
+    first = F.slice("all", F.lit(1), F.greatest(F.lit(0), number - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
+    rare = whole.select("node", "label", "n", (F.col("n") - number).alias("own"), F.posexplode(first))
+    rare = cut_lineage(
+        rare.select("node", "label", "n", F.col("col.value").alias("value"), (F.col("own") + F.col("pos")).alias("at"))
+    )
     while True:
         # Who has no room for the overlap even with the smallest of the others leaves a list.
         lists = rare.groupBy("value").agg(
@@ -331,15 +341,10 @@ def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
         if able.count() == rare.count():
             break
         rare = able
-    # Shared values fall into the same parts, so the parts' lesser counts bound the overlap.
-    part = F.col("value").bitwiseAND(F.lit(PARTS - 1))
-    counted = shared.groupBy("node").agg(
-        F.array(*[F.count_if(part == p).cast("int") for p in range(PARTS)]).alias("parts")
-    )
     wanted = 4 * (F.col("n_a") + F.col("n_b"))
     room = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= wanted
     both = F.aggregate(F.zip_with("parts_a", "parts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return _cross(able.join(counted, "node"), room & (9 * both >= wanted), "n", "at", "parts")
+    return _cross(able.join(whole.select("node", "parts"), "node"), room & (9 * both >= wanted), "n", "at", "parts")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
