@@ -262,6 +262,17 @@ def test_crowded_lists_lose_no_link(spark, seed, monkeypatch):
     assert got(df, "doc_id", "n_shingles", "component_id", "kept") == expected(brute.near(docs))
 
 
+@pytest.mark.parametrize("seed", [1844, 2499])
+def test_cut_copies_are_linked(spark, seed):
+    """The cut text's sketch shares 86 and 87 values with the whole's, and the rest with none."""
+    rnd = random.Random(seed)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(2001)]
+    docs = [(0, " ".join(words)), (1, " ".join(words[:1601]))]
+    df = minhash.near_duplicates(table(spark, docs))
+    assert got(df, "doc_id", "n_shingles", "component_id", "kept") == expected(brute.near(docs))
+    assert [r.component_id for r in df.collect()] == [0, 0]
+
+
 def test_mixing(spark):
     docs = [(i, "x" * 99) for i in range(3000)]
     rows = spark.createDataFrame([(i, t, "a" if i % 3 else "b", i) for i, t in docs], "doc_id long, text string, source string, copy int")

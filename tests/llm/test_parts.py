@@ -213,6 +213,16 @@ def test_overlap_of_linked_sketches():
             assert len(np.intersect1d(one, two)) >= asked
 
 
+@pytest.mark.parametrize("size", [5, 100, 104, 128, 150, 200, 212, 213, 500, 2000, 50000])
+def test_overlap_of_contained_sketches(size):
+    """Of a set and a whole that holds it, the sketches share what is the set's in the whole's."""
+    whole = size + size // 4
+    shared = np.random.default_rng(size).hypergeometric(size, whole - size, min(whole, minhash.K), 1_000_000)
+    assert shared.min() >= minhash.least_overlap(np.array([size, whole])).max()
+    if whole > minhash.K:
+        assert shared.min() / minhash.K >= minhash.PASS
+
+
 def test_splitters_meet_their_goals(spark):
     rng = np.random.default_rng(3)
     rows = [(int(h), int(d), int(s)) for h, d, s in zip(rng.integers(0, sharding.TOP, 3000), rng.integers(0, sharding.TOP, 3000), rng.integers(8, 60, 3000))]
