@@ -10,7 +10,7 @@ goes back to the rows; that join has plain shuffles on both sides, which AQE spl
 
 Defined results: null text counts as empty, empty texts equal one another; a null doc_id
 comes after every other one; rows that repeat a doc_id count one by one in ``group_size`` and
-carry the same verdict; an empty table gives no rows. Other columns are ignored, whatever
+carry the same verdict, though ``deduplicated`` keeps one row of a group; an empty table gives no rows. Other columns are ignored, whatever
 their names.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import mix
-from ledgerweave.llm.repeats import row_hash
+from ledgerweave.llm.repeats import one_of_each, row_hash
 from ledgerweave.session import cut_lineage
 
 BLANKS = " \t\n\x0b\f\r"
@@ -119,8 +119,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """One record per digest: the row that stays (most code points, then least doc_id), the count."""
-    best = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("no"), "doc_id")
+    """One record per digest: the row that stays (most code points, least doc_id, least hash), the count."""
+    best = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     return rows.groupBy("digest", "bytes").agg(F.min(best).alias("best"), F.count("*").alias("size"))
 
 
@@ -178,8 +178,9 @@ def merge(snapshot: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
 
 
 def exact_groups(documents: DataFrame) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, digest, row`` for every row of ``documents``.
+    """``doc_id, keep_id, group_size, kept, digest, row, keep_row`` for every row of ``documents``.
 
+    ``kept`` is by doc_id, so several rows of a group can have it; ``keep_row`` is the hash of one.
     Rows fall into two batches by a hash of doc_id: the first is the immutable snapshot, the
     second comes in. No row is left out, and the split has no effect on the result.
     """
@@ -196,13 +197,14 @@ def exact_groups(documents: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
         "digest",
         "row",
+        F.col("best.row").alias("keep_row"),
     )
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """Rows of ``documents`` that stay, with all their columns."""
-    stay = exact_groups(documents).filter("kept").select(F.col("row").alias("_stay")).distinct()
-    return documents.join(stay, row_hash() == F.col("_stay"), "left_semi")
+    """One row of ``documents`` of each group, with all its columns, also if doc_ids repeat or are null."""
+    best = exact_groups(documents).filter("row = keep_row").groupBy(F.col("row").alias("_stay"))
+    return one_of_each(documents, cut_lineage(best.agg((F.count("*") > 1).alias("_one"))))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import flat, mix, pieces, prefix_sums, segment_hashes, words_of
-from ledgerweave.llm.repeats import _bytes, _read, blocks_of, row_hash, shard_of
+from ledgerweave.llm.repeats import _bytes, _read, blocks_of, one_of_each, row_hash, shard_of
 from ledgerweave.session import cut_lineage
 
 K = 128
@@ -352,7 +352,10 @@ def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, row`` for every row; ``row`` is a hash of it."""
+    """``doc_id, n_shingles, component_id, kept, row, keep_row`` for every row; ``row`` is a hash of it.
+
+    ``kept`` is by doc_id, so several rows of a component can have it; ``keep_row`` is the hash of one.
+    """
     rows = cut_lineage(sets(documents))
     filled = rows.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "block"))
@@ -363,30 +366,39 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     found = found.union(links(_rest(entries, listed, components(found)), listed))
     labels = components(found)
     named = nodes.join(labels, "node", "left").select(
-        "node", F.coalesce("label", "node").alias("label"), F.struct("one.no", "one.doc_id").alias("one")
+        "node", F.coalesce("label", "node").alias("label"), F.struct("one.no", "one.doc_id", "one.row").alias("one")
     )
     least = cut_lineage(named.groupBy("label").agg(F.min("one").alias("one")))
-    named = cut_lineage(named.select("node", "label").join(least, "label").select("node", "one.doc_id"))
-    named = named.withColumnRenamed("doc_id", "component_id")
+    named = named.select("node", "label").join(least, "label")
+    named = cut_lineage(named.select("node", F.col("one.doc_id").alias("component_id"), F.col("one.row").alias("keep_row")))
     # Empty sets are linked with nothing.
-    whole = filled.join(named, "node").unionByName(rows.filter("n = 0").withColumn("component_id", F.col("doc_id")))
+    alone = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "keep_row": F.col("row")})
+    whole = filled.join(named, "node").unionByName(alone)
     return whole.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         "row",
+        "keep_row",
     )
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each component, and all without one, with all their columns."""
+    """The rows that op9 calls kept, with all their columns: several of a component if they share its doc_id."""
     stay = near_duplicates(documents).filter("kept").select(F.col("row").alias("_stay")).distinct()
     return documents.join(stay, row_hash() == F.col("_stay"), "left_semi")
 
 
+def one_of_each_component(documents: DataFrame) -> DataFrame:
+    """One row of each component, and all rows without shingles, with all their columns."""
+    best = near_duplicates(documents).filter("row = keep_row").groupBy(F.col("row").alias("_stay"))
+    several = (F.max("n_shingles") > 0) & (F.count("*") > 1)
+    return one_of_each(documents, cut_lineage(best.agg(several.alias("_one"))))
+
+
 def op9_bottom_k_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "keep_row")
 
 
 OP9_SQL = r"""

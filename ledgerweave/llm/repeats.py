@@ -56,6 +56,23 @@ def blocks_of(documents: DataFrame, per_partition: int = 2) -> DataFrame:
     return rows.select(F.pmod("row", F.lit(count)).cast("int").alias("block"), "row", "doc_id", "text")
 
 
+def one_of_each(documents: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows with a ``row_hash`` of ``stay`` (``_stay``, and ``_one``: whether rows alike are to be one).
+
+    Of rows alike in doc_id and text the one stays whose other columns have the least hash. Few are
+    grouped for it: only rows with a ``_stay`` that ``_one`` says several have.
+    """
+    whole = documents.join(stay.filter("not _one").select("_stay"), row_hash() == F.col("_stay"), "left_semi")
+    alike = documents.join(stay.filter("_one").select("_stay"), row_hash() == F.col("_stay"), "left_semi")
+    # Maps have neither a hash nor an order.
+    rest = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in documents.columns)), F.xxhash64(*rest))
+    # As in ``row_hash``, a null text is an empty one.
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
+    one = alike.groupBy(F.col("doc_id").alias("_id"), text).agg(first.alias("_first"))
+    return whole.unionByName(one.select("_first.*"))
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(NO_ID).to_numpy()
 

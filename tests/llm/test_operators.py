@@ -262,6 +262,44 @@ def test_crowded_lists_lose_no_link(spark, seed, monkeypatch):
     assert got(df, "doc_id", "n_shingles", "component_id", "kept") == expected(brute.near(docs))
 
 
+SAME = [
+    *[(1, "one two three")] * 3,  # rows in full
+    (1, "one  two three"),  # one doc_id, more code points
+    (1, " one two three"),
+    *[(None, "no name here")] * 2,
+    (None, "no  name here"),
+    (2, "alone it is"),
+    *[(3, None), (3, ""), (None, " "), (None, None)],
+]
+
+
+def test_one_row_of_each_group_of_copies(spark):
+    kept = exact_dedup.deduplicated(table(spark, SAME))
+    assert kept.columns == SCHEMA.names
+    rows = [(r.doc_id, (r.text or "").split()) for r in kept.collect()]
+    want = [(1, ["one", "two", "three"]), (None, ["no", "name", "here"]), (2, ["alone", "it", "is"]), (None, [])]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    again = exact_dedup.deduplicated(table(spark, SAME).repartition(5))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_one_row_of_each_component(spark):
+    kept = minhash.one_of_each_component(table(spark, SAME))
+    assert kept.columns == SCHEMA.names
+    rows = [(r.doc_id, (r.text or "").split()) for r in kept.collect()]
+    # Texts without shingles are linked with nothing.
+    want = [(1, ["one", "two", "three"]), (None, ["no", "name", "here"]), (2, ["alone", "it", "is"]), *[(3, [])] * 2, *[(None, [])] * 2]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+
+
+def test_pipeline_stages_leave_no_copies(spark):
+    import corpus_pipeline
+
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        texts = [" ".join(r.text.split()) for r in stage(spark, table(spark, SAME), "").collect() if (r.text or "").strip()]
+        assert sorted(texts) == ["alone it is", "no name here", "one two three"]
+
+
 @pytest.mark.parametrize("seed", [1844, 2499])
 def test_cut_copies_are_linked(spark, seed):
     """The cut text's sketch shares 86 and 87 values with the whole's, and the rest with none."""
