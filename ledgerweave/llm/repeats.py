@@ -12,9 +12,11 @@ Rows are dealt into blocks once, and three passes read them from there:
    the window starts, and blocks get back what lies before one of their own rows.
 3. Blocks find their runs again, look up the replies by a run's hash, and mark the units.
 
-A passage in a third of all documents is one run per block, not per row; a key's rows are at
-most the number of blocks. Blocks and shards number with ``spark.sql.shuffle.partitions``, which
-has to grow with the data; shards work through their runs in parts of bounded size.
+A passage of k units or more in a third of all documents is few runs per block, not one per row.
+A shorter phrase that is the anchor in many documents is a distinct run in each: all of them go
+to one shard, and to one call of the engine, whose memory grows with their number. Blocks and
+shards number with ``spark.sql.shuffle.partitions``, which has to grow with the data; shards work
+through their runs in parts of bounded size, but for the runs of one anchor.
 
 Rows alike in doc_id and text are one row to this module and get one answer.
 """
