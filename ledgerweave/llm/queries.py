@@ -12,6 +12,7 @@ from ledgerweave.llm.quality import op2_tree_quality
 from ledgerweave.llm.sharding import op5_histogram_shards
 from ledgerweave.llm.token_counts import op7_digest_cache_counts
 from ledgerweave.llm.toxicity import op6_subsequence_toxicity
+from ledgerweave.llm.winnowing import OP11_SQL, op11_winnowing_decontamination
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_bottom_k_minhash,
         op10_poisson_mixing,
+        op11_winnowing_decontamination,
     )
 }
 
@@ -34,4 +36,5 @@ ORACLE = {
     "op8_exact_dedup": OP8_SQL,
     "op9_bottom_k_minhash": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
+    "op11_winnowing_decontamination": OP11_SQL,
 }
