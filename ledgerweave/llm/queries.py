@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerweave.llm.bpe import op4_duckdb_bpe
+from ledgerweave.llm.conversations import op12_viterbi_conversation_repair
 from ledgerweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ledgerweave.llm.fm_substrings import OP1_SQL, op1_fm_index_substrings
 from ledgerweave.llm.minhash import OP9_SQL, op9_bottom_k_minhash
@@ -28,6 +29,7 @@ QUERIES = {
         op9_bottom_k_minhash,
         op10_poisson_mixing,
         op11_winnowing_decontamination,
+        op12_viterbi_conversation_repair,
     )
 }
 

@@ -105,3 +105,114 @@ def near(docs):
 
 def is_held_out(doc):
     return zlib.crc32(str(doc).encode()) % 4 == 2
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def item_words(text):
+    return ITEM_WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contaminated(docs, items, k=10):
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = item_words(text)
+        n = min(k, len(w))
+        for i in range(len(w) - n + 1) if w else ():
+            windows[tuple(w[i : i + n])].add("" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        w, hit, seen = item_words(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (found := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit.update(range(i, i + n))
+                    seen |= found
+        out.append((doc, len(w), len(hit), len(seen), sha(",".join(sorted(seen)).encode()), bool(hit)))
+    return out
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        fault = zlib.crc32(name.encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return out
+
+
+def best_edits(rows):
+    """Cheapest edits of (initial, must go, truncated) rows; of equal ones the least string."""
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {"": (0, ""), "s": None, "u": None, "a": (0, "")}
+
+    def with_inserts(best):
+        for _ in range(4):
+            for state in best:
+                to = {"u": "a"}.get(state, "u")
+                if best[to] is not None:
+                    way = best[to][0] + 5, "I" + best[to][1]
+                    best[state] = way if best[state] is None else min(best[state], way)
+        return best
+
+    best = with_inserts(best)
+    for initial, gone, cut in reversed(rows):
+        new = {}
+        for state in best:
+            ways = [(2 + best[state][0], "D" + best[state][1])]
+            if not gone:
+                if initial and initial in follow[state]:
+                    ways.append((5 * cut + best[initial][0], "K" + best[initial][1]))
+                to = {"u": "a"}.get(state, "u")
+                ways.append((1 + 5 * cut + best[to][0], "R" + best[to][1]))
+            new[state] = min(ways)
+        best = with_inserts(new)
+    return best[""]
+
+
+def repaired(every):
+    groups = {conv: [] for conv, *_ in every}
+    for conv, *row in damage(every):
+        groups[conv].append(row)
+    out = []
+    for conv, rows in groups.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns = {t for t, *_ in rows if t is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        counts, seen, coded = collections.Counter(), set(), []
+        for _, role, text in rows:
+            ended = text.rstrip(" \t\n\v\f\r")
+            fault = None
+            if not ended:
+                fault = "blank"
+            elif (role, text) in seen:
+                fault = "duplicate"
+            elif ended[-1] not in ".!?":
+                fault = "truncated"
+            seen.add((role, text))
+            counts[fault] += 1
+            coded.append((role[:1], fault in ("blank", "duplicate"), fault == "truncated"))
+        illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(coded, coded[1:]))
+        cost, audit = best_edits(coded)
+        lines, rest, state = [], iter(rows), ""
+        for letter in audit:
+            row = next(rest) if letter != "I" else None
+            if letter == "D":
+                continue
+            if letter == "K":
+                state = row[1][0]
+                lines.append(f"{row[1]}:{row[2]}")
+            else:
+                state = {"u": "a"}.get(state, "u")
+                lines.append({"u": "user", "a": "assistant"}[state] + ":" + (row[2] if letter == "R" else ""))
+        digest = sha("\n".join(lines).encode())
+        faults = (counts["blank"], counts["duplicate"], counts["truncated"])
+        out.append((conv, gaps, *faults, illegal, cost, audit, digest))
+    return out
