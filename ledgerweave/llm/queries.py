@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerweave.llm.alignment import op13_diagonal_alignment
 from ledgerweave.llm.bpe import op4_duckdb_bpe
 from ledgerweave.llm.conversations import op12_viterbi_conversation_repair
 from ledgerweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
@@ -30,6 +31,7 @@ QUERIES = {
         op10_poisson_mixing,
         op11_winnowing_decontamination,
         op12_viterbi_conversation_repair,
+        op13_diagonal_alignment,
     )
 }
 

@@ -216,3 +216,79 @@ def repaired(every):
         faults = (counts["blank"], counts["duplicate"], counts["truncated"])
         out.append((conv, gaps, *faults, illegal, cost, audit, digest))
     return out
+
+
+def token_bytes():
+    """Both tokenizers of the public vocabularies: ids of a text, and the bytes of an id."""
+    import sentencepiece
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel
+
+    one = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    letters, rest = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE:
+            letters[chr(b)] = b
+        else:
+            letters[chr(rest)], rest = b, rest + 1
+    assert ByteLevel().decode(list(letters)[:0x40])
+
+    def bytes_a(i):
+        return bytes(letters[c] for c in one.id_to_token(i))
+
+    def bytes_b(i):
+        piece = two.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if two.is_byte(i) else piece.replace("▁", " ").encode()
+
+    return (lambda t: one.encode(" " + t, add_special_tokens=False).ids), two.encode, bytes_a, bytes_b
+
+
+def aligned(docs):
+    ids_a, ids_b, bytes_a, bytes_b = token_bytes()
+    groups_of, held = [], collections.Counter()
+    for _, text in docs:
+        groups = []
+        if text:
+            a, b = ids_a(text), ids_b(text)
+            x, y = [bytes_a(i) for i in a], [bytes_b(i) for i in b]
+            if b"".join(x) == b"".join(y) == b" " + text.encode():
+                ends = [set(), set()]
+                for side, parts in zip(ends, (x, y)):
+                    n = 0
+                    for p in parts:
+                        n += len(p)
+                        side.add(n)
+                both = ends[0] & ends[1]
+                for ids, parts, side in ((a, x, 0), (b, y, 1)):
+                    n, g = 0, 0
+                    for i, p in zip(ids, parts):
+                        if g == len(groups):
+                            groups.append(([], []))
+                        groups[g][side].append(i)
+                        n += len(p)
+                        g += n in both
+        groups_of.append(groups)
+        held.update({(p, q) for one, two in groups for p in one for q in two})
+    highest = collections.defaultdict(int)
+    for (p, _), n in held.items():
+        highest[p] = max(highest[p], n)
+    out = []
+    for (doc, _), groups in zip(docs, groups_of):
+        links = [(p, q) for one, two in groups for p in one for q in two]
+        text = ";".join(",".join(map(str, one)) + "|" + ",".join(map(str, two)) for one, two in groups)
+        out.append(
+            (
+                doc,
+                sum(len(one) for one, _ in groups),
+                sum(len(two) for _, two in groups),
+                len(groups),
+                len(links),
+                sum(held[link] == highest[link[0]] for link in links),
+                sum(held[link] for link in links),
+                sha(text.encode()) if groups else "",
+            )
+        )
+    return out

@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import conversations, winnowing
+from ledgerweave.llm import alignment, conversations, winnowing
 from ledgerweave.llm.queries import QUERIES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -163,3 +163,53 @@ def test_speculative_chunks_give_the_vectors_of_one_run():
             want = vectors[a - 1] if a else first
             if a < b:
                 assert conversations.through(steps.matrix(codes[a:b]), true) == want
+
+
+# -- Token alignment -------------------------------------------------------------------
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def odd_texts():
+    rnd = random.Random(2)
+    alphabet = "abcdeé ß中文😀\n\t\u2581.,'0123  "
+    texts = [None, "", " ", "a", "<|endoftext|> and <s>", "z" * 4000, "zé" * 900, "\u2581", "a\u00a0b", "e\u0301", "ﬁ"]
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 300))) for _ in range(80)]
+    texts += ["The quick brown fox isn't here. " * 20] * 7 + ["Straße über naïve Ägäis " * 50, "中文" * 700]
+    rows = list(enumerate(texts))
+    return rows + [rows[4], (None, texts[4]), (None, None), (5, "another text")]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_tokens_are_aligned(spark, block):
+    rows = odd_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumns({c: F.lit(c) for c in ("pairs", "n_best", "times")}).repartition(3)
+    assert got(alignment.cross_aligned(df, block=block), *ALIGNED) == expected(brute.aligned(rows))
+    assert alignment.cross_aligned(df.limit(0)).count() == 0
+
+
+def test_alignment_of_the_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    assert got(QUERIES["op13_diagonal_alignment"](spark, FOLDER), *ALIGNED) == expected(brute.aligned(docs))
+
+
+def test_groups_of_any_two_cuts():
+    rnd = random.Random(9)
+    for _ in range(300):
+        n = rnd.randint(1, 300)
+        shared = {e for e in range(1, n) if rnd.random() < rnd.choice([0.0, 0.5, 0.98])} | {n}
+        a, b = (sorted(shared | {e for e in range(1, n) if rnd.random() < rnd.choice([0, 0.1])}) for _ in range(2))
+        both = sorted(set(a) & set(b))
+        until_a, until_b = alignment.diagonal_groups(a, b)
+        assert until_a.tolist() == [a.index(e) + 1 for e in both]
+        assert until_b.tolist() == [b.index(e) + 1 for e in both]
+
+
+def test_wide_groups_are_counted_by_distinct_ids(spark, monkeypatch):
+    texts = [t for _, t in odd_texts()]
+    own = alignment.aligner(*[alignment._read(p) for p in alignment.default_paths()])
+    want = own.aligned(texts)
+    monkeypatch.setattr(alignment, "WIDE", 1)
+    assert own.aligned(texts) == want

@@ -31,7 +31,7 @@ def rows(df, *columns):
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(driver.queries()) and "pipeline" in driver.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
