@@ -25,9 +25,11 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import expand, pieces
+from ledgerweave.llm.arrays import block_hashes, expand, flat, pieces
+from ledgerweave.llm.pretokens import split
 from ledgerweave.session import cut_lineage
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 #: Pairs looked up in one pass, 17 bytes each.
 BLOCK = 2_000_000
+#: Bytes of text aligned at once; the more, the fewer pieces are encoded twice.
+PIECE = 3 << 20
 #: Links of a group beyond which they are counted by distinct ids, not one by one.
 WIDE = 4096
 
@@ -53,32 +58,39 @@ def diagonal_groups(a: list[int], b: list[int]) -> Groups:
 
     Both lists ascend and have the same last end; the tokens have bytes, so no end repeats.
     """
-    lengths, ends_a, ends_b = [], [], []
-    i = j = 0
-    while i < len(a):
-        if a[i] == b[j]:
-            start = i
-            i, j, step = i + 1, j + 1, 2
-            while (ahead := a[i : i + step]) and ahead == b[j : j + step]:
-                i, j, step = i + len(ahead), j + len(ahead), 2 * step
-            while step > 1:
-                step //= 2
-                ahead = a[i : i + step]
-                if ahead and ahead == b[j : j + step]:
-                    i, j = i + len(ahead), j + len(ahead)
-            lengths.append(i - start)
-        else:
-            while (x := a[i]) != (y := b[j]):
-                if x < y:
-                    i += 1
-                else:
-                    j += 1
-            i, j = i + 1, j + 1
-            lengths.append(1)
-        ends_a.append(i)
-        ends_b.append(j)
-    n, last_a, last_b = (np.array(x, np.int64) for x in (lengths, ends_a, ends_b))
-    return expand(last_a - n + 1, n), expand(last_b - n + 1, n)
+    from_a, until_a, until_b = [], [], []  # of the irregular groups
+    i, j, n = 0, 0, len(a)
+    while i < n:
+        step = 4
+        while (ahead := a[i : i + step]) == b[j : j + step] and ahead:
+            i, j, step = i + len(ahead), j + len(ahead), 2 * step
+        while step > 1:  # the first difference is less than a step away
+            step >>= 1
+            if (ahead := a[i : i + step]) == b[j : j + step]:
+                i, j = i + len(ahead), j + len(ahead)
+        if i == n:
+            break
+        from_a.append(i)
+        x, y = a[i], b[j]
+        while x != y:
+            if x < y:
+                i += 1
+                x = a[i]
+            else:
+                j += 1
+                y = b[j]
+        i, j = i + 1, j + 1
+        until_a.append(i)
+        until_b.append(j)
+    # A stretch between two irregular groups has as many groups as tokens.
+    from_a.append(n)
+    begin_a, begin_b = np.array([0, *until_a], np.int64), np.array([0, *until_b], np.int64)
+    plain = np.array(from_a, np.int64) - begin_a
+    lengths = plain + (np.arange(len(plain)) < len(until_a))
+    groups_a, groups_b = expand(begin_a + 1, lengths), expand(begin_b + 1, lengths)
+    last = (np.cumsum(lengths) - 1)[: len(until_a)]
+    groups_a[last], groups_b[last] = until_a, until_b
+    return groups_a, groups_b
 
 
 # -- Tokenizers ------------------------------------------------------------------
@@ -97,16 +109,55 @@ def _byte_of() -> dict[str, int]:
 class Side:
     """One tokenizer: ids of texts, and the bytes of every id."""
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, straight from the library."""
         raise NotImplementedError
 
+    def ids(self, texts: list[str], buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has.
+
+        ``buf`` and ``offsets`` hold the bytes of a space and the text, for all texts.
+        """
+        return _flat(self.whole(texts))
+
     def _finish(self, bytes_of: list[bytes]) -> None:
-        self.bytes_of = bytes_of
         self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.names = [str(i) for i in range(len(bytes_of))]
 
+    def same(self, ids: np.ndarray, counts: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts the bytes of their ids give back."""
+        spelled = self.bytes[expand(self.at[ids], self.sizes[ids])]
+        if len(spelled) == len(buf) and (spelled == buf).all():
+            edges = np.r_[0, np.cumsum(self.sizes[ids])][np.r_[0, np.cumsum(counts)]]
+            if (edges == offsets).all():
+                return np.ones(len(counts), bool)
+        tokens = np.r_[0, np.cumsum(counts)]
+        edges = np.r_[0, np.cumsum(self.sizes[ids])][tokens].tolist()
+        ends = offsets.tolist()
+        return np.array(
+            [
+                edges[i + 1] - edges[i] == ends[i + 1] - ends[i]
+                and bool((spelled[edges[i] : edges[i + 1]] == buf[ends[i] : ends[i + 1]]).all())
+                for i in range(len(counts))
+            ],
+            bool,
+        )
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+#: Pieces a worker remembers, with their ids.
+KEPT = 400_000
+
 
 class ByteLevel(Side):
+    """A byte-level tokenizer; each distinct piece of its pattern is encoded once."""
+
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -115,6 +166,16 @@ class ByteLevel(Side):
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True  # their strings in a text are plain text
+        rules = json.loads(model)
+        before = rules.get("pre_tokenizer") or {}
+        self.by_piece = (
+            before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space")
+            and before.get("use_regex", True)
+            and not rules.get("normalizer")
+            and all(t["special"] for t in rules.get("added_tokens") or [])
+        )
+        self.known: dict[bytes, list[int]] = {}
         byte_of = _byte_of()
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         table = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -122,10 +183,45 @@ class ByteLevel(Side):
             table[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else b""
         self._finish(table)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        texts = [" " + t for t in texts]
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return self._encoded([" " + t for t in texts])
+
+    def ids(self, texts: list[str], buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_piece:
+            return _flat(self.whole(texts))
+        starts, ends, owner = split(buf, offsets)
+        keys = block_hashes(buf, starts, ends)
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        found, lengths = _flat(self._of_pieces([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]))
+        begin = np.cumsum(lengths) - lengths
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, owner, lengths[which])
+        ids = found[expand(begin[which], lengths[which])]
+        # Pieces with one hash would show as other bytes: such a text goes to the library whole.
+        wrong = np.flatnonzero(~self.same(ids, counts, buf, offsets))
+        if len(wrong):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, own in zip(wrong.tolist(), self.whole([texts[i] for i in wrong])):
+                parts[i] = np.array(own, np.int64)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
+
+    def _of_pieces(self, pieces_: list[bytes]) -> list[list[int]]:
+        found = [self.known.get(p) for p in pieces_]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+            for i, ids in zip(new, self._encoded([pieces_[i].decode() for i in new])):
+                found[i] = ids
+                if len(pieces_[i]) < 64 and len(self.known) < KEPT:
+                    self.known[pieces_[i]] = ids
+        return found
+
 
 class Pieces(Side):
     def __init__(self, model: bytes):
@@ -141,7 +237,7 @@ class Pieces(Side):
                 table.append(piece.replace("▁", " ").encode())
         self._finish(table)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def whole(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
 
@@ -156,34 +252,29 @@ class Aligner:
         self.text_a = np.array([n + "," for n in self.a.names] + [n + "|" for n in self.a.names], object)
         self.text_b = np.array([n + "," for n in self.b.names] + [n + ";" for n in self.b.names], object)
 
-    def encoded(self, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Which texts have tokens, and their ids on both sides."""
-        full = [i for i, t in enumerate(texts) if t]
-        kept, ids_a, ids_b = [], [], []
-        given = [texts[i] for i in full]
-        for i, text, x, y in zip(full, given, self.a.ids(given), self.b.ids(given)):
-            data = b" " + text.encode()
-            if b"".join(map(self.a.bytes_of.__getitem__, x)) == data == b"".join(map(self.b.bytes_of.__getitem__, y)):
-                kept.append(i)
-                ids_a.append(x)
-                ids_b.append(y)
-        return kept, ids_a, ids_b
-
     def aligned(self, texts: list[str | None]) -> dict[str, list]:
         """Columns of ``ALIGNED`` but the first, one entry a text."""
         n = len(texts)
         out = {c: [0] * n for c in ("n_a", "n_b", "n_groups", "n_links")}
         out |= {"groups_sha256": [""] * n, "pairs": [b""] * n, "times": [b""] * n}
-        kept, lists_a, lists_b = self.encoded(texts)
-        if not kept:
+        full = [i for i, t in enumerate(texts) if t]
+        if not full:
+            return out
+        given = [texts[i] for i in full]
+        buf, offsets = flat(pa.array([" " + t for t in given], pa.large_string()))
+        sides = [(side, *side.ids(given, buf, offsets)) for side in (self.a, self.b)]
+        good = np.logical_and(*[side.same(ids, counts, buf, offsets) for side, ids, counts in sides])
+        if not good.any():
             return out
-        ids_a, ids_b = (np.concatenate([np.array(x, np.int64) for x in lists]) for lists in (lists_a, lists_b))
+        kept = [i for i, g in zip(full, good) if g]
+        (ids_a, counts_a), (ids_b, counts_b) = [
+            (ids[np.repeat(good, counts)], counts[good]) for _, ids, counts in sides
+        ]
         ends_a, ends_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
-        # A token without bytes would end where the one before it does; none such is ever used.
+        # A token without bytes would end where the one before it does; neither side uses one.
         until_a, until_b = diagonal_groups(ends_a.tolist(), ends_b.tolist())
         size_a, size_b = np.diff(until_a, prepend=0), np.diff(until_b, prepend=0)
-        text_end = np.cumsum([len(x) for x in lists_a])
-        owner = np.searchsorted(text_end, until_a, "left")  # of each group
+        owner = np.searchsorted(np.cumsum(counts_a), until_a, "left")  # of each group
         links = size_a * size_b
         keys, times = self._links(ids_a, ids_b, until_a - size_a, until_b - size_b, size_a, size_b, owner)
         digests = self._digests(ids_a, ids_b, until_a, until_b, size_a, size_b, owner, len(kept))
@@ -193,7 +284,7 @@ class Aligner:
         n_links = np.add.reduceat(links, np.searchsorted(owner, np.arange(len(kept))))
         for k, i in enumerate(kept):
             own, often = pairs[edges[k] : edges[k + 1]], times[edges[k] : edges[k + 1]]
-            out["n_a"][i], out["n_b"][i] = len(lists_a[k]), len(lists_b[k])
+            out["n_a"][i], out["n_b"][i] = int(counts_a[k]), int(counts_b[k])
             out["n_groups"][i], out["n_links"][i] = int(n_groups[k]), int(n_links[k])
             out["groups_sha256"][i] = digests[k]
             out["pairs"][i] = own.astype(self.pair).tobytes()
@@ -277,7 +368,7 @@ def aligned(documents: DataFrame, model_a: bytes, model_b: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(model_a, model_b)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 columns = own.aligned(part.column("text").to_pylist())
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
                 arrays = [pa.array(v, k) for v, k in zip(columns.values(), kinds)]

@@ -60,14 +60,14 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(table: pa.RecordBatch | pa.Table, text: str) -> Iterator:
-    """Runs of rows with about ``PIECE`` bytes of text each; every row is in one of them."""
+def pieces(table: pa.RecordBatch | pa.Table, text: str, size: int = 0) -> Iterator:
+    """Runs of rows with about ``size`` (or ``PIECE``) bytes of text; every row is in one of them."""
     if not table.num_rows:
         return
     _, offsets = flat(table.column(text))
     start = 0
     while start < table.num_rows:
-        end = int(np.searchsorted(offsets, offsets[start] + PIECE, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + (size or PIECE), "right")) - 1
         end = min(max(end, start + 1), table.num_rows)
         yield table.slice(start, end - start)
         start = end
