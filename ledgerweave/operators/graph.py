@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +174,48 @@ class Graph:
             self.tables[table].select(*columns).write.parquet(f"{folder}/{table}")
 
 
+    def publish_snapshot(self, folder: str, version: str) -> None:
+        """A snapshot below ``folder`` that becomes the current one when all of it is written.
+
+        The tables go to ``<folder>/<version>``; the last thing written is a row of the
+        manifest that names the version, with the rows of each table as read back. Until then,
+        and after a write that fails, readers of the current version go on with the one before;
+        the same version can then be written again, unless it has become current.
+        """
+        spark = next(iter(self.tables[t] for t in _used_columns(self.spec))).sparkSession
+        known = versions(spark, folder).agg(F.max("number").alias("last"), F.collect_set("version").alias("names")).first()
+        if version in known.names:
+            raise ValueError(f"{version} is published; a refresh takes a new version")
+        sizes = []
+        for table, columns in _used_columns(self.spec).items():
+            path = f"{folder}/{version}/{table}"
+            self.tables[table].select(*columns).write.mode("overwrite").parquet(path)
+            sizes.append((table, spark.read.parquet(path).count()))
+        row = [((known.last or 0) + 1, version, sizes)]
+        spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+
+
+MANIFEST = "number long, version string, tables array<struct<table:string,n_rows:long>>"
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """``MANIFEST`` rows of the published snapshots; none before the first."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def current_snapshot(spark: SparkSession, spec: GraphSpec, folder: str, verified: Iterable[str] = ()) -> Graph:
+    """The graph of the version that was published last."""
+    last = versions(spark, folder).agg(F.max_by("version", "number").alias("version")).first().version
+    if last is None:
+        raise ValueError(f"{folder} has no published snapshot")
+    return snapshot(spark, spec, f"{folder}/{last}", verified)
+
+
 def _used_columns(spec: GraphSpec) -> dict[str, list[str]]:
     used: dict[str, dict[str, None]] = {}
     for node in spec.nodes.values():
@@ -283,3 +326,92 @@ def link_edges(
                 label_of[source.table], label_of[target.table], table, *columns, rest
             )
     return edges
+
+
+def target_edge(
+    contracts: Mapping[str, TableContract], labels: Mapping[str, str], table: str, column: str
+) -> EdgeSpec:
+    """A declared reference read the other way: from the row it names to the row that holds it."""
+    label_of = {own: label for label, own in labels.items()}
+    contract = contracts[table]
+    reference = next(r for r in contract.foreign_keys if r.column == column)
+    return EdgeSpec(label_of[reference.table], label_of[table], table, (column,), contract.primary_key)
+
+
+def declared_references(
+    contracts: Mapping[str, TableContract], labels: Mapping[str, str]
+) -> dict[tuple[str, str], str]:
+    """(table, column) -> the labelled table it refers to, for tables that make edges.
+
+    These are the labelled tables, and link tables: those with references to two or more.
+    """
+    labelled = set(labels.values())
+    found = {}
+    for table, contract in contracts.items():
+        ends = [r for r in contract.foreign_keys if r.table in labelled]
+        if table in labelled or len(ends) > 1:
+            found |= {(table, r.column): r.table for r in ends}
+    return found
+
+
+def covered_references(
+    declared: Mapping[tuple[str, str], str], labels: Mapping[str, str], edges: Mapping[str, EdgeSpec]
+) -> set[tuple[str, str]]:
+    """The declared references at an end of an edge that has the label they refer to, whether the
+    edge lies in its source's row, its target's, or a link table."""
+    found = set()
+    for edge in edges.values():
+        for label, key in ((edge.source, edge.source_key), (edge.target, edge.target_key)):
+            end = edge.table, key[0]
+            if len(key) == 1 and end in declared and declared[end] == labels.get(label):
+                found.add(end)
+    return found
+
+
+def derived_graph(
+    contracts: Mapping[str, TableContract],
+    labels: Mapping[str, str],
+    named: Mapping[str, EdgeSpec],
+    names: Mapping[tuple[str, str], str] | None = None,
+) -> GraphSpec:
+    """All nodes of ``labels``, the ``named`` edges, and an edge for every reference they do not cover.
+
+    What is not covered is the declared references less those at an end of a named edge, in
+    whichever row that edge lies.
+    """
+    declared = declared_references(contracts, labels)
+    open_ = set(declared) - covered_references(declared, labels, named)
+    found = dict(named)
+    for made in (reference_edges(contracts, labels, names or {}), link_edges(contracts, labels, named)):
+        for name, edge in made.items():
+            if open_ & covered_references(declared, labels, {name: edge}):
+                if name in found:
+                    raise ValueError(f"two edges are called {name}; name one of them")
+                found[name] = edge
+    return GraphSpec(node_specs(contracts, labels), found)
+
+
+def coverage(
+    contracts: Mapping[str, TableContract],
+    labels: Mapping[str, str],
+    named: Mapping[str, EdgeSpec],
+    tables: Mapping[str, DataFrame],
+) -> DataFrame:
+    """(table, column, refers_to, covered, n_set) of every declared reference, with the rows that set it."""
+    declared, found = declared_references(contracts, labels), []
+    covered = covered_references(declared, labels, named)
+    for table in dict.fromkeys(t for t, _ in declared):
+        columns = {c: target for (t, c), target in declared.items() if t == table}
+        counts = tables[table].agg(*[F.count(c).alias(c) for c in columns])  # one pass a table
+        report = [
+            F.struct(
+                F.lit(table).alias("table"),
+                F.lit(c).alias("column"),
+                F.lit(target).alias("refers_to"),
+                F.lit((table, c) in covered).alias("covered"),
+                F.col(c).alias("n_set"),
+            )
+            for c, target in columns.items()
+        ]
+        found.append(counts.select(F.inline(F.array(*report))))
+    return reduce(DataFrame.unionByName, found)

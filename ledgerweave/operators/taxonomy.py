@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.schema import XSD_TO_VALUE_TYPE, looked_up
 from ledgerweave.session import cut_lineage
 
 
@@ -78,21 +79,25 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def descendants_of(edges: DataFrame, root: str) -> DataFrame:
-    """(node, depth) below ``root``, walked down level by level from it."""
+    """(node, depth) below ``root``, walked down level by level from it.
+
+    Each level is looked up among all that was met before, so the rounds number with the levels.
+    A child has one parent; a node that is met twice, as on a cycle, stops the walk at once.
+    """
     links = cut_lineage(_links(edges).distinct())
-    level = links.where(F.col("parent") == root).select(F.col("child").alias("node"))
-    found, depth, size = [], 0, links.count()
+    start = links.where(F.col("parent") == root).select(F.col("parent").alias("node")).distinct()
+    levels = [start.withColumn("depth", F.lit(0))]
     while True:
-        level = cut_lineage(level)
+        frontier = levels[-1].select(F.col("node").alias("parent"))
+        met = links.join(frontier, "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("times"))
+        seen = reduce(DataFrame.unionByName, levels).select("node", F.lit(True).alias("before"))
+        level = cut_lineage(met.join(seen, "node", "left"))
         if level.isEmpty():
-            break
-        depth += 1
-        if depth > size:  # no path is longer than the number of links
-            raise ValueError(f"a node below {root} is its own ancestor")
-        found.append(level.withColumn("depth", F.lit(depth)))
-        level = links.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"))
-    none = links.select(F.col("child").alias("node"), F.lit(0).alias("depth")).limit(0)
-    return reduce(DataFrame.unionByName, found, none)
+            return reduce(DataFrame.unionByName, levels).where(F.col("depth") > 0)
+        twice = level.where(F.col("before") | (F.col("times") > 1)).select("node").first()
+        if twice is not None:
+            raise ValueError(f"{twice.node} is met twice below {root}: it is its own ancestor or has two parents")
+        levels.append(level.select("node", F.lit(len(levels)).alias("depth")))
 
 
 def effective_attributes(edges: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -215,6 +220,7 @@ ANNOTATION_NAMES = (
     "Dynamic",
     "Static",
 )
+REFERENCE_COMMENT = "EBA"
 UNSUPPORTED_PREDICATES = (
     OWL + "Restriction",
     OWL + "intersectionOf",
@@ -245,17 +251,34 @@ def local_name(iri: Column) -> Column:
 
 
 def subject_rows(
-    triples: DataFrame, predicates: Mapping[str, str], required: Sequence[str] = ()
+    triples: DataFrame,
+    predicates: Mapping[str, str],
+    required: Sequence[str] = (),
+    lists: Mapping[str, str] | None = None,
+    rather_not: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per subject of (s, p, o), one column per predicate.
 
-    Of several objects the least is taken. Subjects without a ``required`` column
-    are left out. The predicates are given, so the data is not scanned for them.
+    Of several objects the least is taken; where ``rather_not`` gives a column a prefix, the
+    least that does not begin with it, or else the least. ``lists`` are columns that keep all
+    objects, sorted, each once, and none as an empty list. Subjects without a ``required``
+    column are left out. The predicates are given, so the data is not scanned for them.
     """
+    lists, rather_not = lists or {}, rather_not or {}
+
+    def least(column: str, predicate: str) -> Column:
+        ours = F.col("p") == predicate
+        found = F.min(F.when(ours, F.col("o")))
+        if column in rather_not:
+            wanted = ours & ~F.startswith("o", F.lit(rather_not[column]))
+            found = F.coalesce(F.min(F.when(wanted, F.col("o"))), found)
+        return found.alias(column)
+
+    every = {c: F.sort_array(F.collect_set(F.when(F.col("p") == p, F.col("o")))) for c, p in lists.items()}
     rows = (
-        triples.where(F.col("p").isin(*predicates.values()))
+        triples.where(F.col("p").isin(*predicates.values(), *lists.values()))
         .groupBy(F.col("s").alias("subject"))
-        .agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in predicates.items()])
+        .agg(*[least(c, p) for c, p in predicates.items()], *[v.alias(c) for c, v in every.items()])
     )
     return rows.dropna(subset=list(required)) if required else rows
 
@@ -265,8 +288,8 @@ def _typed_subjects(triples: DataFrame, kind: str) -> DataFrame:
     return triples.where(is_kind).select(F.col("s").alias("subject")).distinct()
 
 
-def _described(triples: DataFrame, kind: str, predicates: Mapping[str, str]) -> DataFrame:
-    rows = _typed_subjects(triples, kind).join(subject_rows(triples, predicates), "subject", "left")
+def _described(triples: DataFrame, kind: str, predicates: Mapping[str, str], **more) -> DataFrame:
+    rows = _typed_subjects(triples, kind).join(subject_rows(triples, predicates, **more), "subject", "left")
     return rows.withColumn("name", local_name(F.col("subject"))).where(F.col("name") != "")
 
 
@@ -282,32 +305,52 @@ def classes(triples: DataFrame) -> DataFrame:
 
 
 def object_properties(triples: DataFrame) -> DataFrame:
-    """(name, domain, range, inverse, is_functional)."""
+    """(name, domain, range, inverse, is_functional, disjoint_with); the last is a sorted list of names."""
     rows = _described(
         triples,
         "ObjectProperty",
         {"domain": RDFS + "domain", "range": RDFS + "range", "inverse": OWL + "inverseOf"},
+        lists={"disjoint": OWL + "propertyDisjointWith"},
     )
     functional = _typed_subjects(triples, "FunctionalProperty").withColumn("f", F.lit(True))
+    disjoint = F.coalesce("disjoint", F.array().cast("array<string>"))
     return rows.join(functional, "subject", "left").select(
         "name",
         local_name(F.col("domain")).alias("domain"),
         local_name(F.col("range")).alias("range"),
         local_name(F.col("inverse")).alias("inverse"),
         F.coalesce("f", F.lit(False)).alias("is_functional"),
+        F.array_sort(F.array_distinct(F.transform(disjoint, local_name))).alias("disjoint_with"),
     )
 
 
+def disjoint_pairs(properties: DataFrame) -> DataFrame:
+    """(one, other) of properties declared disjoint, from either side, each pair once."""
+    pairs = properties.select("name", F.explode("disjoint_with").alias("with"))
+    return pairs.select(F.least("name", "with").alias("one"), F.greatest("name", "with").alias("other")).distinct()
+
+
 def datatype_properties(triples: DataFrame) -> DataFrame:
-    """(name, domain, xsd); annotations and properties without a domain are no data."""
+    """(name, domain, xsd, value_type, comment); annotations and properties without a domain are no data.
+
+    A comment that says something is preferred to one that only refers to a document.
+    """
     rows = _described(
-        triples, "DatatypeProperty", {"domain": RDFS + "domain", "range": RDFS + "range"}
+        triples,
+        "DatatypeProperty",
+        {"domain": RDFS + "domain", "range": RDFS + "range", "comment": RDFS + "comment"},
+        rather_not={"comment": REFERENCE_COMMENT},
     )
     xsd = F.when(
         F.col("range").startswith(XSD), F.concat(F.lit("xsd:"), F.substring_index("range", "#", -1))
     ).otherwise(F.lit("xsd:string"))
-    return rows.where(F.col("domain").isNotNull() & ~F.col("name").isin(*ANNOTATION_NAMES)).select(
-        "name", local_name(F.col("domain")).alias("domain"), xsd.alias("xsd")
+    rows = rows.where(F.col("domain").isNotNull() & ~F.col("name").isin(*ANNOTATION_NAMES))
+    return rows.select(
+        "name",
+        local_name(F.col("domain")).alias("domain"),
+        xsd.alias("xsd"),
+        looked_up(XSD_TO_VALUE_TYPE, xsd, "String").alias("value_type"),
+        F.coalesce("comment", F.lit("")).alias("comment"),
     )
 
 

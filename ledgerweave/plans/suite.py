@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT = """
@@ -13,6 +14,7 @@ REPORT = """
     row_count BIGINT,
     columns ARRAY<STRING>,
     preview ARRAY<STRING>,
+    digest DECIMAL(38,0),
     error STRING
 """
 
@@ -23,26 +25,37 @@ def run_suite(
     """One row per query; a query that fails is reported and the others go on.
 
     Rows are counted where they are; only up to ``preview`` of them come back, the least
-    by their JSON text. One job per query gives both.
+    by their JSON text. ``digest`` is a sum over all rows of the first 60 bits of their text's
+    MD5, which no order of rows or tasks changes: equal results have equal digests, and a row
+    that differs, is missing or comes twice shows. One job per query gives all three.
     """
     report = []
     for name, build in queries.items():
         try:
             rows = build()
-            count, sample = _count_and_sample(rows, preview)
-            report.append((name, "passed", count, rows.columns, sample, None))
+            count, digest, sample = _seen(rows, preview)
+            report.append((name, "passed", count, rows.columns, sample, digest, None))
         except Exception as problem:  # noqa: BLE001 - the report is the place for it
-            report.append((name, "failed", None, [], [], str(problem).splitlines()[0]))
+            report.append((name, "failed", None, [], [], None, str(problem).splitlines()[0]))
     return spark.createDataFrame(report, REPORT)
 
 
-def _count_and_sample(rows: DataFrame, preview: int) -> tuple[int, list[str]]:
-    counted = rows.groupBy().agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("row"))
+def row_digest(text: Column) -> Column:
+    """The first 60 bits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def _seen(rows: DataFrame, preview: int) -> tuple[int, Decimal, list[str]]:
+    texts = rows.select(F.to_json(F.struct("*")).alias("row"))
+    counted = texts.agg(F.count("*").alias("n"), F.sum(row_digest(F.col("row"))).alias("digest"))
+    counted = counted.withColumn("row", F.lit(None).cast("string"))
     if preview:
-        texts = rows.select(F.lit(None).cast("long").alias("n"), F.to_json(F.struct("*")).alias("row"))
-        counted = counted.unionByName(texts.orderBy("row").limit(preview))
+        least = texts.orderBy("row").limit(preview)
+        nothing = [F.lit(None).cast("long").alias("n"), F.lit(None).cast("decimal(38,0)").alias("digest")]
+        counted = counted.unionByName(least.select(*nothing, "row"))
     found = counted.collect()
-    return next(r.n for r in found if r.n is not None), sorted(r.row for r in found if r.n is None)
+    total = next(r for r in found if r.n is not None)
+    return total.n, total.digest or Decimal(0), sorted(r.row for r in found if r.n is None)
 
 
 def suite_totals(report: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG = T.LongType()
@@ -167,6 +169,12 @@ XSD_TO_VALUE_TYPE = {
 }
 
 
+def looked_up(names: Mapping[str, str], name: Column, otherwise: str) -> Column:
+    """A column's names looked up in one of these maps."""
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, name), F.lit(otherwise))
+
+
 def _base_name(sql_type: str) -> str:
     head = sql_type.strip().lower().split("(")[0].split()
     return head[0] if head else ""
@@ -177,25 +185,11 @@ def value_type(sql_type: str) -> str:
     return SQL_TO_VALUE_TYPE.get(_base_name(sql_type), "String")
 
 
-def xsd_value_type(xsd: str) -> str:
-    return XSD_TO_VALUE_TYPE.get(xsd, "String")
-
-
-def entity_column_type(value: str) -> str:
-    """Column type an entity table gives to an abstract value type."""
-    return VALUE_TYPE_TO_SPARK.get(value, "STRING")
-
-
 def link_column_type(sql_type: str) -> str:
     """Column type a link table gives to an SQL type."""
     return SQL_TO_LINK_TABLE_SPARK.get(_base_name(sql_type), "STRING")
 
 
-def endpoint_column_type(value: str) -> str:
-    """Column type the SQL endpoint reports for an abstract value type."""
-    return VALUE_TYPE_TO_ENDPOINT_SQL.get(value, "varchar")
-
-
 def exact_type(sql_type: str) -> T.DataType:
     """The lossless Spark type this package stores for an SQL column type."""
     base = _base_name(sql_type)
@@ -214,3 +208,30 @@ def exact_type(sql_type: str) -> T.DataType:
         "BOOLEAN": FLAG,
     }
     return exact.get(link_column_type(sql_type), TEXT)
+
+
+def contracts_of(declared: Iterable[tuple[str, str, str]], keys: Mapping[str, Sequence[str]] | None = None) -> dict[str, TableContract]:
+    """Contracts out of (table, column, declared SQL type) rows, columns in the order they come.
+
+    ``keys`` gives tables their key columns. Rows are those of a catalog, one per column.
+    """
+    fields: dict[str, list[Field]] = {}
+    for table, column, sql_type in declared:
+        key = column in (keys or {}).get(table, ())
+        fields.setdefault(table, []).append(Field(column, exact_type(sql_type), key=key))
+    return {table: TableContract(table, tuple(own)) for table, own in fields.items()}
+
+
+def type_report(declared: DataFrame) -> DataFrame:
+    """``declared`` (with ``sql_type``) and the names its types go by: ``value_type``,
+    ``entity_type`` in an entity table, ``link_type`` in a link table, ``endpoint_type``."""
+    base = F.split(F.trim(F.regexp_extract(F.lower("sql_type"), r"^([^(]*)", 1)), r"\s+")[0]
+    value = looked_up(SQL_TO_VALUE_TYPE, base, "String")
+    return declared.withColumns(
+        {
+            "value_type": value,
+            "entity_type": looked_up(VALUE_TYPE_TO_SPARK, value, "STRING"),
+            "link_type": looked_up(SQL_TO_LINK_TABLE_SPARK, base, "STRING"),
+            "endpoint_type": looked_up(VALUE_TYPE_TO_ENDPOINT_SQL, value, "varchar"),
+        }
+    )

@@ -74,6 +74,14 @@ COMPARISON_SCHEMA = f"""
     scenariosPayload ARRAY<STRUCT<{SCENARIO_SCHEMA}>>,
     perQuestion ARRAY<STRUCT<{QUESTION_SCHEMA}>>
 """
+COMPARISON_COLUMNS = (
+    "runAtUtc",
+    "stage",
+    "scoringMethod",
+    "scenariosSha256",
+    "scenariosPayload",
+    "perQuestion",
+)
 
 
 def _default(value) -> Column:
@@ -113,26 +121,40 @@ def read_golden_answers(spark: SparkSession, path: str) -> DataFrame:
     return golden_answers(read_scenarios(spark, path))
 
 
-def read_comparison(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
+def parse_comparisons(payloads: DataFrame, column: str) -> DataFrame:
+    """Comparison records out of JSON texts, one record each; other columns stay beside them.
+
+    A text that is no such record has NULL in all of them. Many payloads are many rows, which
+    tasks share; what a payload holds is exploded where it is.
+    """
+    record = F.from_json(F.col(column), COMPARISON_SCHEMA).alias("record")
+    rest = [c for c in payloads.columns if c != column]
+    return payloads.select(*rest, record).select(*rest, "record.*")
+
+
+def read_comparison(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Comparison records from files of one record each, or with ``lines`` one record per line."""
+    payloads = spark.read.text(path, wholetext=not lines)
+    return parse_comparisons(payloads.where(F.trim("value") != ""), "value")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Asked questions, one JSON object per line. A comparison file is one object and
-    so the work of one task; sets of any size come this way."""
+    """Asked questions, one JSON object per line. A comparison is one row and so the work of
+    one task; sets of any size come this way."""
     return spark.read.schema(QUESTION_SCHEMA).json(path)
 
 
 def questions_of(comparison: DataFrame) -> DataFrame:
     """One row per asked question, both agents side by side."""
-    return comparison.select(F.explode("perQuestion").alias("asked")).select("asked.*")
+    own = [c for c in comparison.columns if c not in COMPARISON_COLUMNS]
+    return comparison.select(*own, F.explode("perQuestion").alias("asked")).select(*own, "asked.*")
 
 
 def scenarios_of(comparison: DataFrame) -> DataFrame:
     """The scenario payload that travels with a comparison."""
-    return with_defaults(
-        comparison.select(F.explode("scenariosPayload").alias("scenario")).select("scenario.*")
-    )
+    own = [c for c in comparison.columns if c not in COMPARISON_COLUMNS]
+    scenarios = comparison.select(*own, F.explode("scenariosPayload").alias("scenario"))
+    return with_defaults(scenarios.select(*own, "scenario.*"))
 
 
 def write_records(records: DataFrame, path: str, by: str | None = None) -> None:

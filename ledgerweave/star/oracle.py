@@ -60,6 +60,109 @@ SELECT CASE WHEN NOT bad THEN o_orderkey END AS o_orderkey,
 FROM x
 """
 
+ORACLE["ingest_folder"] = """
+SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN CAST(o_custkey AS INTEGER) END AS o_custkey,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice,
+       'say "' || o_orderstatus || '", ' || o_orderpriority AS clerk, CAST(NULL AS VARCHAR) AS broken
+FROM orders
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, r_name || ',' || r_regionkey FROM region
+"""
+ORACLE["ingest_inputs"] = """
+SELECT 'orders' AS "table", 'load' AS decision, COUNT(*) AS n_rows FROM orders
+UNION ALL SELECT 'nation', 'no rows', 0
+UNION ALL SELECT 'labels', 'empty', 0
+UNION ALL SELECT 'customer', 'foreign', COUNT(*) FROM region
+UNION ALL SELECT 'lineitem', 'missing', 0
+"""
+ORACLE["load_repeated"] = """
+SELECT o_orderstatus AS load_batch, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS n_keys,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total, CAST(0 AS BIGINT) AS n_rejects
+FROM orders GROUP BY 1
+"""
+ORACLE["declared_profile"] = """
+SELECT d.*, CASE WHEN d."column" IN ('o_orderdate', 'placed_at') THEN dated
+                 WHEN d."column" = 'is_final' THEN judged ELSE n END AS n_values
+FROM (SELECT COUNT(*) AS n, COUNT(o_orderdate) AS dated,
+             COUNT(*) FILTER (o_orderstatus IN ('F', 'O')) AS judged FROM orders), (VALUES
+  ('o_orderkey', 'BIGINT', 'BigInt', 'BIGINT', 'BIGINT', 'bigint'),
+  ('o_custkey', 'INTEGER', 'BigInt', 'BIGINT', 'INT', 'bigint'),
+  ('o_totalprice', 'NUMERIC(18, 2)', 'Double', 'DOUBLE', 'DOUBLE', 'float'),
+  ('o_orderdate', 'DATE', 'DateTime', 'TIMESTAMP', 'DATE', 'datetime2'),
+  ('placed_at', 'TIMESTAMPTZ', 'DateTime', 'TIMESTAMP', 'TIMESTAMP', 'datetime2'),
+  ('is_final', 'BOOLEAN', 'Boolean', 'BOOLEAN', 'BOOLEAN', 'bit'),
+  ('o_orderpriority', 'CHAR(15)', 'String', 'STRING', 'STRING', 'varchar')
+) d("column", sql_type, value_type, entity_type, link_type, endpoint_type)
+"""
+_PER_NATION = """
+SELECT '{step}' AS step, n_name AS nation, COUNT(*) AS n
+FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE {where} GROUP BY n_name
+"""
+ORACLE["snapshot_refresh"] = (
+    " UNION ALL ".join(
+        _PER_NATION.format(step=step, where=where)
+        for step, where in (
+            ("1 first", "c_acctbal < 0"),
+            ("2 after a failure", "c_acctbal < 0"),
+            ("3 second", "TRUE"),
+            ("4 first again", "c_acctbal < 0"),
+        )
+    )
+    + """
+UNION ALL SELECT '5 v1', 'customer', COUNT(*) FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT '5 v2', 'customer', COUNT(*) FROM customer
+UNION ALL SELECT '5 v1', 'nation', COUNT(*) FROM nation
+UNION ALL SELECT '5 v2', 'nation', COUNT(*) FROM nation
+"""
+)
+_DERIVED = {
+    "customer_places_order": ("o_custkey", "o_orderkey", "orders"),
+    "nation_references_region": ("n_nationkey", "n_regionkey", "nation"),
+    "customer_references_nation": ("c_custkey", "c_nationkey", "customer"),
+    "supplier_references_nation": ("s_suppkey", "s_nationkey", "supplier"),
+    "event_references_customer": ("event_id", "user_id", "events"),
+    "supplier_links_order": ("l_suppkey", "l_orderkey", "lineitem"),
+    "order_links_supplier": ("l_orderkey", "l_suppkey", "lineitem"),
+    "order_links_part": ("l_orderkey", "l_partkey", "lineitem"),
+}
+ORACLE["derived_edges"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS edge, COUNT(*) AS n, COUNT(DISTINCT {dst}) AS targets FROM {table} "
+    f"WHERE {src} IS NOT NULL AND {dst} IS NOT NULL"
+    for name, (src, dst, table) in _DERIVED.items()
+)
+ORACLE["reference_coverage"] = " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", '{column}' AS "column", '{target}' AS refers_to,
+        {column == 'o_custkey'} AS covered, COUNT({column}) AS n_set FROM {table}"""
+    for table, column, target in (
+        ("nation", "n_regionkey", "region"),
+        ("customer", "c_nationkey", "nation"),
+        ("supplier", "s_nationkey", "nation"),
+        ("orders", "o_custkey", "customer"),
+        ("events", "user_id", "customer"),
+        ("lineitem", "l_orderkey", "orders"),
+        ("lineitem", "l_suppkey", "supplier"),
+        ("lineitem", "l_partkey", "part"),
+    )
+)
+ORACLE["derived_rollup"] = """
+SELECT direction, r_name AS region, COUNT(*) AS n_links, COUNT(DISTINCT s_suppkey) AS n_suppliers
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
+JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+JOIN region ON r_regionkey = n_regionkey, (VALUES ('down'), ('up')) d(direction)
+GROUP BY 1, 2
+"""
+ORACLE["comparison_questions"] = """
+SELECT conv_id, conv_id || '-' || turn AS scenario_id, role AS domain, md5(text) AS question_md5,
+       CASE role WHEN 'user' THEN 'user|x' ELSE '' END AS signals,
+       CASE WHEN role <> 'user' THEN md5(text) END AS answer_md5, CAST(NULL AS VARCHAR) AS expected_answer
+FROM conversations
+"""
+ORACLE["comparison_scenarios"] = """
+SELECT conv_id, conv_id || '-' || turn AS scenario_id, md5(text) AS question_md5, 'execute' AS action_policy,
+       CAST(turn AS DOUBLE) AS gold_numeric_value, 1.0::DOUBLE AS gold_numeric_tolerance_pct
+FROM conversations WHERE role = 'user'
+"""
+
 
 def _signals(lang: str) -> str:
     whens = " ".join(f"WHEN '{name}' THEN {_list(w)}" for name, w in texts.SIGNALS.items())
@@ -335,10 +438,23 @@ SUITE_COLUMNS = {
     "literal_stage_sum": "total_principal,stage_principal",
     "edge_property_filter_topk": "order_id,role_count",
 }
+SUITE_TEXTS = {"segment", "group_name", "agent_name", "supplier_name", "part_name"}
+
+
+def _json(columns: str) -> str:
+    """A row as JSON text: a field per column."""
+    def field(c: str) -> str:
+        value = f"""'"' || {c} || '"'""" if c in SUITE_TEXTS else f"CAST({c} AS VARCHAR)"
+        return f"""'"{c}":' || {value}"""
+
+    return "'{' || " + " || ',' || ".join(field(c) for c in columns.split(",")) + " || '}'"
+
+
 ORACLE["suite_report"] = " UNION ALL ".join(
-    f"SELECT '{name}' AS query, 'passed' AS status, "
-    f"(SELECT COUNT(*) FROM ({ORACLE[name]}) q) AS row_count, '{columns}' AS columns, "
-    f"CAST(least(3, (SELECT COUNT(*) FROM ({ORACLE[name]}) q)) AS INTEGER) AS previewed"
+    f"SELECT '{name}' AS query, 'passed' AS status, COUNT(*) AS row_count, '{columns}' AS columns, "
+    f"array_to_string(list(j ORDER BY j)[1:3], chr(10)) AS preview, "
+    f"CAST(SUM(CAST(CAST('0x' || substr(md5(j), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest "
+    f"FROM (SELECT {_json(columns)} AS j FROM ({ORACLE[name]}) q)"
     for name, columns in SUITE_COLUMNS.items()
 )
 
@@ -847,9 +963,38 @@ JOIN home d ON d.node = 'c' || CAST(o_custkey AS VARCHAR)
 JOIN home g ON g.node = 'n' || CAST(s_nationkey AS VARCHAR)
 """
 ORACLE["triples_pivot"] = """
+WITH remark AS (
+  SELECT o_custkey,
+         string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS disjoint_with,
+         min(CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END) AS said,
+         min('EBA ' || o_orderpriority) FILTER (o_orderstatus = 'F') AS referred
+  FROM orders GROUP BY 1)
 SELECT c_custkey AS subject, c_name AS name, c_mktsegment AS segment,
-       CAST(c_nationkey AS VARCHAR) AS nation
-FROM customer WHERE c_mktsegment <> 'MACHINERY'
+       CAST(c_nationkey AS VARCHAR) AS nation, coalesce(said, referred) AS comment,
+       coalesce(disjoint_with, '') AS disjoint_with
+FROM customer LEFT JOIN remark ON o_custkey = c_custkey
+WHERE c_mktsegment <> 'MACHINERY'
+"""
+ORACLE["datatype_properties"] = """
+SELECT 'p' || p_partkey AS name, translate(p_type, ' ', '_') AS domain,
+       CASE p_partkey % 3 WHEN 0 THEN 'xsd:decimal' WHEN 1 THEN 'xsd:date' ELSE 'xsd:token' END AS xsd,
+       CASE p_partkey % 3 WHEN 0 THEN 'Double' WHEN 1 THEN 'DateTime' ELSE 'String' END AS value_type,
+       CASE p_partkey % 2 WHEN 0 THEN p_name ELSE 'EBA ' || p_name END AS comment
+FROM part
+"""
+APART = """
+apart AS (
+  SELECT DISTINCT 's' || l_suppkey AS name, 's' || l_partkey AS other
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1)
+"""
+ORACLE["object_properties"] = f"""
+WITH {APART}
+SELECT 's' || s_suppkey AS name, FALSE AS is_functional,
+       coalesce((SELECT string_agg(other, '|' ORDER BY other) FROM apart WHERE name = 's' || s_suppkey), '') AS disjoint_with
+FROM supplier
+"""
+ORACLE["disjoint_pairs"] = f"""
+WITH {APART} SELECT DISTINCT least(name, other) AS one, greatest(name, other) AS other FROM apart
 """
 ORACLE["unsupported_uses"] = """
 SELECT 'http://www.w3.org/2002/07/owl#unionOf' AS construct, COUNT(*) AS uses

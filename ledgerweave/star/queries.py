@@ -3,26 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import text as t
 from ledgerweave.operators import metrics, quality, taxonomy
-from ledgerweave.operators.graph import distinct_pairs, inverse, parallel_edges
+from ledgerweave.operators.graph import (
+    Graph,
+    GraphSpec,
+    coverage,
+    current_snapshot,
+    distinct_pairs,
+    inverse,
+    parallel_edges,
+    snapshot,
+    versions,
+)
 from ledgerweave.operators.pairs import shared_pairs
 from ledgerweave.operators.patterns import To, expand, match, top
 from ledgerweave.plans import scorecard as cards
 from ledgerweave.plans import scoring, shapes
 from ledgerweave.plans.evaluation import agent_summary, question_rows
 from ledgerweave.plans.suite import run_suite
-from ledgerweave.sources.records import golden_answers, parse_scenarios
-from ledgerweave.sources.text_tables import conform, loadable, parse_lines, rejected
+from ledgerweave.schema import contracts_of, type_report
+from ledgerweave.session import new_folder
+from ledgerweave.sources.batches import BATCH, batch_counts, read_batches
+from ledgerweave.sources.records import golden_answers, parse_comparisons, parse_scenarios, questions_of, scenarios_of
+from ledgerweave.sources.text_tables import (
+    conform,
+    list_inputs,
+    load_folder,
+    loadable,
+    parse_lines,
+    read_text_table,
+    rejected,
+)
 from ledgerweave.star import texts
 from ledgerweave.star.tables import (
     CONTRACTS,
+    DECLARED,
+    LABELS,
+    NAMED,
     ORDER_FILE,
+    REFERENCES,
+    SPEC,
     Tables,
+    contract_graph,
     money,
     star_graph,
     wide_money,
@@ -122,6 +150,94 @@ def ingest_csv(tables: Tables) -> DataFrame:
     )
 
 
+def _text_orders(tables: Tables) -> DataFrame:
+    return tables["orders"].select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.col("o_custkey").cast("string").alias("o_custkey"),
+        money("o_totalprice").cast("string").alias("o_totalprice"),
+        F.concat(F.lit('say "'), F.col("o_orderstatus"), F.lit('", '), F.col("o_orderpriority")).alias("clerk"),
+        (F.col("o_orderkey") % 2).alias("odd"),
+        F.col("o_orderstatus").alias("status"),
+    )
+
+
+def _write_text(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+@query
+def ingest_folder(tables: Tables) -> DataFrame:
+    """A folder of files with their own headers: columns in another order, one column less, a
+    file of something else."""
+    path = f"{new_folder(tables.spark, 'text')}/order_file.csv"
+    orders = _text_orders(tables)
+    _write_text(orders.where("odd = 0").select("o_orderkey", "o_custkey", "o_totalprice", "clerk"), path)
+    _write_text(orders.where("odd = 1").select("clerk", "status", "o_totalprice", "o_orderkey"), path)
+    _write_text(tables["region"].select("r_name", "r_regionkey"), path)
+    raw = read_text_table(tables.spark, path, declared=ORDER_FILE.columns)
+    return conform(raw, ORDER_FILE).select(
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+        "clerk",
+        F.get("rejects", F.lit(0))["raw"].alias("broken"),
+    )
+
+
+@query
+def ingest_inputs(tables: Tables) -> DataFrame:
+    """What a load would do with a folder: a table of two layouts, a header alone, files without
+    a byte, a file of something else, and no file."""
+    folder = new_folder(tables.spark, "inputs")
+    orders, line = _text_orders(tables), F.lit("n_nationkey,n_name").alias("value")
+    _write_text(orders.where("odd = 0").select("o_orderkey", "o_custkey"), f"{folder}/orders.csv")
+    _write_text(orders.where("odd = 1").select("o_custkey", "clerk", "o_orderkey"), f"{folder}/orders.csv")
+    tables["region"].limit(1).select(line).write.text(f"{folder}/nation.csv")
+    tables["region"].limit(0).select(line).write.text(f"{folder}/labels.csv")
+    _write_text(tables["region"].select("r_name", "r_regionkey").coalesce(1), f"{folder}/customer.csv")
+    chosen = {name: CONTRACTS[name] for name in ("orders", "nation", "labels", "customer", "lineitem")}
+    found = list_inputs(tables.spark, folder, chosen)
+    return found.groupBy("table", "decision").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query
+def load_repeated(tables: Tables) -> DataFrame:
+    """Text loads in batches, each of them twice, one of them first with other rows."""
+    spark, folder = tables.spark, new_folder(tables.spark, "loads")
+    orders = _text_orders(tables)
+    files = {status: f"{folder}/{status}.csv" for status in ("F", "O", "P")}
+    for status, path in files.items():
+        rows = orders.where(F.col("status") == status)
+        # Every priced row of one batch is a reject in the first attempt.
+        _write_text(rows.drop("odd", "status"), path)
+        _write_text(rows.select("o_orderkey", F.lit("n/a").alias("o_custkey")), f"{folder}/first-{status}.csv")
+    target, rejects = f"{folder}/orders", f"{folder}/rejects"
+    load_folder(spark, f"{folder}/first-O.csv", ORDER_FILE, target, "O", rejects)
+    for _ in range(2):
+        for status, path in files.items():
+            load_folder(spark, path, ORDER_FILE, target, status, rejects)
+    kept = read_batches(spark, target).groupBy(BATCH).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("o_orderkey").alias("n_keys"),
+        F.sum("o_totalprice").cast("decimal(38,2)").alias("total"),
+    )
+    left = batch_counts(read_batches(spark, rejects)).withColumnRenamed("n", "n_rejects")
+    return kept.join(left, BATCH, "left").fillna(0, ["n_rejects"])
+
+
+@query
+def declared_profile(tables: Tables) -> DataFrame:
+    """Orders typed by a contract made of declared columns; per column, its type's names and
+    how many rows have a value."""
+    declared = tables.spark.createDataFrame(list(DECLARED), "table string, column string, sql_type string")
+    rows = [tuple(r) for r in declared.collect()]
+    contract = contracts_of(rows, {"orders": ["o_orderkey"]})["orders"]
+    typed_rows = loadable(conform(_order_file(tables), contract))
+    counts = typed_rows.agg(*[F.count(c).alias(c) for c in contract.columns])
+    counts = counts.unpivot([], contract.columns, "column", "n_values")
+    return type_report(declared).join(counts, "column").drop("table")
+
+
 @query
 def scenario_scan(tables: Tables) -> DataFrame:
     lang = F.col("lang")
@@ -303,6 +419,69 @@ def latest_timeseries_value(tables: Tables) -> DataFrame:
     )
 
 
+def _per_nation(graph: Graph, step: str) -> DataFrame:
+    rows = expand(graph, match(graph, "Customer", "c"), "c", "n", To("customer_in_nation", ["name"]))
+    return rows.groupBy(F.lit(step).alias("step"), F.col("n_name").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query
+def snapshot_refresh(tables: Tables) -> DataFrame:
+    """Two refreshes and one between them that fails, each followed by a look at the current version."""
+    spark, folder = tables.spark, new_folder(tables.spark, "snapshots")
+    spec = GraphSpec(
+        {label: SPEC.nodes[label] for label in ("Customer", "Nation")},
+        {"customer_in_nation": SPEC.edges["customer_in_nation"]},
+    )
+    nation, customer = tables["nation"], tables["customer"]
+    debtors = customer.where(F.col("c_acctbal") < 0)
+    broken = customer.withColumn("c_name", F.concat("c_name", F.raise_error(F.lit("stopped on purpose"))))
+    Graph(spec, {"nation": nation, "customer": debtors}).publish_snapshot(folder, "v1")
+    found = [_per_nation(current_snapshot(spark, spec, folder), "1 first")]
+    try:
+        Graph(spec, {"nation": nation, "customer": broken}).publish_snapshot(folder, "v2")
+    except Exception as problem:  # noqa: BLE001 - Spark's errors have no common class
+        if "stopped on purpose" not in str(problem):
+            raise
+    found.append(_per_nation(current_snapshot(spark, spec, folder), "2 after a failure"))
+    Graph(spec, {"nation": nation, "customer": customer}).publish_snapshot(folder, "v2")
+    found.append(_per_nation(current_snapshot(spark, spec, folder), "3 second"))
+    found.append(_per_nation(snapshot(spark, spec, f"{folder}/v1"), "4 first again"))
+    rows = versions(spark, folder).select("version", F.explode("tables").alias("t"))
+    rows = rows.select(F.concat(F.lit("5 "), "version"), F.col("t.table"), F.col("t.n_rows"))
+    return reduce(DataFrame.union, [*found, rows])
+
+
+@query
+def derived_edges(tables: Tables) -> DataFrame:
+    """The edges of a graph that follows from contracts, all but one."""
+    return contract_graph(tables).edge_summary()
+
+
+@query
+def reference_coverage(tables: Tables) -> DataFrame:
+    return coverage(REFERENCES, LABELS, NAMED, tables)
+
+
+@query
+def derived_rollup(tables: Tables) -> DataFrame:
+    """Regions and the suppliers of their customers' orders, along derived edges in both directions."""
+    graph = contract_graph(tables)
+    down = match(graph, "Region", "r", ["r_name"])
+    down = expand(graph, down, "r", "n", To("nation_references_region"), reverse=True)
+    down = expand(graph, down, "n", "c", To("customer_references_nation"), reverse=True)
+    down = expand(graph, down, "c", "o", To("customer_places_order"))
+    down = expand(graph, down, "o", "s", To("order_links_supplier"))
+    up = match(graph, "Supplier", "s")
+    up = expand(graph, up, "s", "o", To("supplier_links_order"))
+    up = expand(graph, up, "o", "c", To("customer_places_order"), reverse=True)
+    up = expand(graph, up, "c", "n", To("customer_references_nation"))
+    up = expand(graph, up, "n", "r", To("nation_references_region", ["r_name"]))
+    both = [rows.select(F.lit(d).alias("direction"), "r_r_name", "s") for d, rows in (("down", down), ("up", up))]
+    return both[0].unionByName(both[1]).groupBy("direction", F.col("r_r_name").alias("region")).agg(
+        F.count("*").alias("n_links"), F.countDistinct("s").alias("n_suppliers")
+    )
+
+
 @query
 def graph_node_count(tables: Tables) -> DataFrame:
     return shapes.node_total(star_graph(tables), "total_nodes")
@@ -439,7 +618,8 @@ def suite_report(tables: Tables) -> DataFrame:
         "status",
         "row_count",
         F.concat_ws(",", "columns").alias("columns"),
-        F.size("preview").alias("previewed"),
+        F.array_join("preview", "\n").alias("preview"),
+        F.col("digest").cast("string").alias("digest"),
     )
 
 
@@ -774,6 +954,58 @@ def hint_flags(tables: Tables) -> DataFrame:
     )
 
 
+def _payloads(tables: Tables) -> DataFrame:
+    """A comparison record per conversation, as JSON text."""
+    user = F.col("role") == "user"
+    name = F.concat_ws("-", "conv_id", "turn")
+    asked = F.struct(
+        name.alias("scenario_id"),
+        F.col("role").alias("domain"),
+        F.col("text").alias("question"),
+        F.when(user, F.array("role", F.lit("x"))).alias("ontology_signals"),
+        F.when(~user, F.col("text")).alias("actual_answer_naked"),
+        F.col("turn").alias("not_in_the_schema"),
+    )
+    scenario = F.struct(
+        name.alias("scenario_id"),
+        F.col("text").alias("user_question"),
+        F.when(user, F.lit("execute")).alias("action_policy"),
+        F.col("turn").cast("double").alias("gold_numeric_value"),
+    )
+    records = tables["conversations"].groupBy("conv_id").agg(
+        F.collect_list(asked).alias("perQuestion"), F.collect_list(F.when(user, scenario)).alias("scenariosPayload")
+    )
+    payload = F.to_json(F.struct(F.lit("done").alias("stage"), "perQuestion", "scenariosPayload"))
+    return records.select("conv_id", payload.alias("payload"))
+
+
+@query
+def comparison_questions(tables: Tables) -> DataFrame:
+    found = questions_of(parse_comparisons(_payloads(tables), "payload"))
+    return found.select(
+        "conv_id",
+        "scenario_id",
+        "domain",
+        F.md5("question").alias("question_md5"),
+        F.concat_ws("|", "ontology_signals").alias("signals"),
+        F.md5("actual_answer_naked").alias("answer_md5"),
+        "expected_answer",
+    )
+
+
+@query
+def comparison_scenarios(tables: Tables) -> DataFrame:
+    found = scenarios_of(parse_comparisons(_payloads(tables), "payload"))
+    return found.select(
+        "conv_id",
+        "scenario_id",
+        F.md5("user_question").alias("question_md5"),
+        "action_policy",
+        "gold_numeric_value",
+        "gold_numeric_tolerance_pct",
+    )
+
+
 @query
 def comparison_answers(tables: Tables) -> DataFrame:
     """Both answers of a scenario in one row, then one row per answer again."""
@@ -979,10 +1211,86 @@ def _triples(tables: Tables) -> DataFrame:
     return rows.where(F.col("o").isNotNull()).withColumnRenamed("c_custkey", "s")
 
 
+def _remarks(tables: Tables) -> DataFrame:
+    """Orders as further triples about their customers: comments, and what they are disjoint with."""
+    customer, priority = F.col("o_custkey"), F.col("o_orderpriority")
+    rows = tables["orders"].select(
+        customer.alias("s"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("disjoint").alias("p"), priority.alias("o")),
+                F.struct(
+                    F.lit("comment").alias("p"),
+                    F.concat(F.when(F.col("o_orderstatus") == "F", "EBA ").otherwise(""), priority).alias("o"),
+                ),
+            )
+        ).alias("x"),
+    )
+    return rows.select("s", "x.p", "x.o")
+
+
 @query
 def triples_pivot(tables: Tables) -> DataFrame:
-    columns = {"name": "name", "segment": "segment", "nation": "nation"}
-    return taxonomy.subject_rows(_triples(tables), columns, required=["segment"])
+    columns = {"name": "name", "segment": "segment", "nation": "nation", "comment": "comment"}
+    found = taxonomy.subject_rows(
+        _triples(tables).select("s", "p", "o").unionByName(_remarks(tables)),
+        columns,
+        required=["segment"],
+        lists={"disjoint_with": "disjoint"},
+        rather_not={"comment": taxonomy.REFERENCE_COMMENT},
+    )
+    return found.withColumn("disjoint_with", F.array_join("disjoint_with", "|"))
+
+
+def _property_triples(tables: Tables) -> DataFrame:
+    """Parts as datatype properties, suppliers as object properties disjoint with one another."""
+    iri, base = F.concat, F.lit("http://example.org/risk#")
+    part = iri(base, F.lit("p"), F.col("p_partkey").cast("string"))
+    line = tables["lineitem"].where(F.col("l_linenumber") == 1)
+    kind = F.when(F.col("p_partkey") % 3 == 0, "decimal").when(F.col("p_partkey") % 3 == 1, "date").otherwise("token")
+
+    def rows(table: DataFrame, s, *pairs) -> DataFrame:
+        found = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])).alias("x")
+        return table.select(s.alias("s"), found).select("s", "x.p", "x.o")
+
+    parts = rows(
+        tables["part"],
+        part,
+        (taxonomy.RDF_TYPE, F.lit(taxonomy.OWL + "DatatypeProperty")),
+        (taxonomy.RDFS + "domain", iri(base, F.translate("p_type", " ", "_"))),
+        (taxonomy.RDFS + "range", iri(F.lit(taxonomy.XSD), kind)),
+        (taxonomy.RDFS + "comment", iri(F.lit("EBA "), F.col("p_name"))),
+    )
+    remarks = rows(
+        tables["part"].where(F.col("p_partkey") % 2 == 0), part, (taxonomy.RDFS + "comment", F.col("p_name"))
+    )
+    supplier = iri(base, F.lit("s"), F.col("s_suppkey").cast("string"))
+    suppliers = rows(tables["supplier"], supplier, (taxonomy.RDF_TYPE, F.lit(taxonomy.OWL + "ObjectProperty")))
+    apart = rows(
+        line,
+        iri(base, F.lit("s"), F.col("l_suppkey").cast("string")),
+        (
+            taxonomy.OWL + "propertyDisjointWith",
+            iri(base, F.lit("s"), F.col("l_partkey").cast("string")),
+        ),
+    )
+    return reduce(DataFrame.unionByName, [parts, remarks, suppliers, apart])
+
+
+@query
+def datatype_properties(tables: Tables) -> DataFrame:
+    return taxonomy.datatype_properties(_property_triples(tables))
+
+
+@query
+def object_properties(tables: Tables) -> DataFrame:
+    found = taxonomy.object_properties(_property_triples(tables))
+    return found.select("name", "is_functional", F.array_join("disjoint_with", "|").alias("disjoint_with"))
+
+
+@query
+def disjoint_pairs(tables: Tables) -> DataFrame:
+    return taxonomy.disjoint_pairs(taxonomy.object_properties(_property_triples(tables)))
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec, SeriesSpec
+from ledgerweave.operators.graph import EdgeSpec, Graph, GraphSpec, NodeSpec, SeriesSpec, derived_graph, target_edge
 from ledgerweave.schema import DAY, FLAG, INSTANT, INT, LONG, MONEY, TEXT, Field, TableContract
 
 
@@ -174,6 +174,89 @@ CONTRACTS = {
     )
 }
 
+# The keys and references alone, from which a graph follows.
+REFERENCES = {
+    c.name: c
+    for c in (
+        TableContract("region", (Field("r_regionkey", INT, key=True), Field("r_name", TEXT))),
+        TableContract(
+            "nation",
+            (
+                Field("n_nationkey", INT, key=True),
+                Field("n_name", TEXT),
+                Field("n_regionkey", INT, references=("region", "r_regionkey")),
+            ),
+        ),
+        TableContract(
+            "customer",
+            (
+                Field("c_custkey", LONG, key=True),
+                Field("c_nationkey", INT, references=("nation", "n_nationkey")),
+            ),
+        ),
+        TableContract(
+            "supplier",
+            (
+                Field("s_suppkey", LONG, key=True),
+                Field("s_name", TEXT, unique=True),
+                Field("s_nationkey", INT, references=("nation", "n_nationkey")),
+            ),
+        ),
+        TableContract("part", (Field("p_partkey", LONG, key=True),)),
+        TableContract(
+            "orders",
+            (
+                Field("o_orderkey", LONG, key=True),
+                Field("o_custkey", LONG, references=("customer", "c_custkey")),
+            ),
+        ),
+        TableContract(
+            "lineitem",
+            (
+                Field("l_orderkey", LONG, key=True, references=("orders", "o_orderkey")),
+                Field("l_linenumber", INT, key=True),
+                Field("l_suppkey", LONG, references=("supplier", "s_suppkey")),
+                Field("l_partkey", LONG, references=("part", "p_partkey")),
+                Field("l_returnflag", TEXT),
+            ),
+        ),
+        TableContract(
+            "events",
+            (
+                Field("event_id", LONG, key=True),
+                Field("user_id", LONG, references=("customer", "c_custkey")),
+            ),
+        ),
+    )
+}
+LABELS = {
+    "Region": "region",
+    "Nation": "nation",
+    "Customer": "customer",
+    "Supplier": "supplier",
+    "Part": "part",
+    "Order": "orders",
+    "Event": "events",
+}
+# One edge is named, and lies in its target's row; the others follow from the contracts.
+NAMED = {"customer_places_order": target_edge(REFERENCES, LABELS, "orders", "o_custkey")}
+
+
+def contract_graph(tables: Mapping[str, DataFrame]) -> Graph:
+    return Graph(derived_graph(REFERENCES, LABELS, NAMED), tables)
+
+
+# The orders as a catalog of declared columns would name their types.
+DECLARED = (
+    ("orders", "o_orderkey", "BIGINT"),
+    ("orders", "o_custkey", "INTEGER"),
+    ("orders", "o_totalprice", "NUMERIC(18, 2)"),
+    ("orders", "o_orderdate", "DATE"),
+    ("orders", "placed_at", "TIMESTAMPTZ"),
+    ("orders", "is_final", "BOOLEAN"),
+    ("orders", "o_orderpriority", "CHAR(15)"),
+)
+
 # The orders as a text file would hold them, for the ingest.
 ORDER_FILE = TableContract(
     "order_file",

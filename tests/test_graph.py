@@ -7,6 +7,11 @@ from ledgerweave.operators.graph import (
     Graph,
     GraphSpec,
     SeriesSpec,
+    coverage,
+    covered_references,
+    current_snapshot,
+    declared_references,
+    derived_graph,
     distinct_pairs,
     inverse,
     link_edges,
@@ -14,12 +19,14 @@ from ledgerweave.operators.graph import (
     reference_edges,
     snake,
     snapshot,
+    target_edge,
+    versions,
 )
 from ledgerweave.operators.metrics import latest_values
 from ledgerweave.operators.patterns import To, expand, match, top
 from ledgerweave.portfolio.competency import COMPETENCY
 from ledgerweave.portfolio.contracts import PORTFOLIO
-from ledgerweave.portfolio.graph import LABELS, SPEC
+from ledgerweave.portfolio.graph import EDGE_NAMES, LABELS, LINKS, SPEC
 
 
 def test_labels_and_edges():
@@ -170,3 +177,52 @@ def test_snapshot_keeps_what_was(spark, graph, tmp_path):
     assert sound.verified == frozenset(SPEC.edges)
     with pytest.raises(Exception, match="already exists"):
         graph.write_snapshot(str(tmp_path / "v1"))
+
+
+def test_a_refresh_shows_when_it_is_whole(spark, tables, tmp_path):
+    folder = str(tmp_path / "versions")
+    spec = GraphSpec({"Loan": SPEC.nodes["Loan"]}, {})
+    loans = tables["loan"]
+    with pytest.raises(ValueError, match="no published"):
+        current_snapshot(spark, spec, folder)
+    Graph(spec, {"loan": loans.limit(1)}).publish_snapshot(folder, "a")
+    assert current_snapshot(spark, spec, folder).nodes("Loan").count() == 1
+    broken = loans.withColumn("loan_type", F.concat("loan_type", F.raise_error(F.lit("stop"))))
+    with pytest.raises(Exception, match="stop"):
+        Graph(spec, {"loan": broken}).publish_snapshot(folder, "b")
+    assert current_snapshot(spark, spec, folder).nodes("Loan").count() == 1
+    Graph(spec, {"loan": loans}).publish_snapshot(folder, "b")  # the version that failed, again
+    assert current_snapshot(spark, spec, folder).nodes("Loan").count() == loans.count()
+    assert snapshot(spark, spec, f"{folder}/a").nodes("Loan").count() == 1
+    found = [(r.number, r.version, r.tables[0].n_rows) for r in versions(spark, folder).orderBy("number").collect()]
+    assert found == [(1, "a", 1), (2, "b", loans.count())]
+    with pytest.raises(ValueError, match="is published"):
+        Graph(spec, {"loan": loans}).publish_snapshot(folder, "b")
+
+
+def test_edges_follow_from_what_named_edges_leave_open(tables):
+    names = EDGE_NAMES | {("collateral", "concerns_loan_id"): "collateral_references_loan"}
+    none = derived_graph(PORTFOLIO, LABELS, {}, names)
+    declared = declared_references(PORTFOLIO, LABELS)
+    assert covered_references(declared, LABELS, none.edges) == set(declared)
+    assert derived_graph(PORTFOLIO, LABELS, LINKS, EDGE_NAMES).edges == SPEC.edges
+    assert derived_graph(PORTFOLIO, LABELS, SPEC.edges, EDGE_NAMES).edges == SPEC.edges
+    # One that lies in its target's row covers its reference as well.
+    back = target_edge(PORTFOLIO, LABELS, "collateral", "concerns_loan_id")
+    assert (back.source, back.target, back.source_key) == ("Loan", "Collateral", ("concerns_loan_id",))
+    named = {"loan_has_collateral": back}
+    spec = derived_graph(PORTFOLIO, LABELS, named, names)
+    assert set(none.edges) - set(spec.edges) == {"collateral_references_loan"}
+    graph = Graph(spec, tables)
+    loans = match(graph, "Loan", "l", where=F.col("loan_id") == 3)
+    assert rows(expand(graph, loans, "l", "c", To("loan_has_collateral"))) == [(3, 3), (3, 5)]
+    found = coverage(PORTFOLIO, LABELS, named, tables).collect()
+    report = {(r.table, r.column): (r.covered, r.n_set) for r in found}
+    assert set(report) == set(declared) and report["collateral", "concerns_loan_id"] == (True, 4)
+    assert sum(covered for covered, _ in report.values()) == 1
+
+
+def test_edges_of_one_name_are_refused():
+    edge = SPEC.edges["cp_is_part_of_group"]
+    with pytest.raises(ValueError, match="two edges"):
+        derived_graph(PORTFOLIO, LABELS, {"collateral_concerns_loan": edge}, EDGE_NAMES)

@@ -7,6 +7,7 @@ from conftest import rows
 from ledgerweave.portfolio.competency import COMPETENCY
 from ledgerweave.portfolio.contracts import PORTFOLIO
 from ledgerweave.portfolio.load import catalog_graph, load_portfolio
+from ledgerweave.sources import batches
 from ledgerweave.sources import text_tables as src
 
 FORBEARANCE = PORTFOLIO["forbearance_event"]
@@ -201,3 +202,116 @@ def test_load_a_portfolio_and_query_it(spark, tmp_path):
         ("B", D("2.25")),
     ]
     assert COMPETENCY["cq01"](graph).first()[0] == 7
+
+
+# -- Folders, inputs, batches -------------------------------------------------------
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_files_of_a_folder_go_by_their_own_headers(spark, tmp_path, multi_line):
+    folder = tmp_path / "r.csv"
+    folder.mkdir()
+    write(folder / "a.csv", '\n\nreceiver_id,full_name,country_code\n1,"A, a",ES\n')
+    write(folder / "b [x].csv", "country_code,extra,full_name,receiver_id\r\nNL,zz,B,2\r\n")
+    write(folder / "c c.csv", "full_name,receiver_id\nC,3\nfull_name,4\n")
+    write(folder / "d.csv", "one,two\n5,foreign\n")
+    write(folder / "e.csv", "")
+    write(folder / "f.csv", "receiver_id,full_name,country_code\n")
+    contract = PORTFOLIO["receiver"]
+    raw = src.read_text_table(spark, str(folder), multi_line, contract.columns)
+    conformed = src.conform(raw, contract)
+    clean = src.loadable(conformed).select("receiver_id", "full_name", "country_code")
+    assert rows(clean) == [(1, "A, a", "ES"), (2, "B", "NL"), (3, "C", None), (4, "full_name", None)]
+    assert rows(src.rejected(conformed, contract)) == [(None, None, "5,foreign")]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_only_the_first_line_is_the_header(spark, tmp_path, multi_line):
+    path = write(tmp_path / "h.csv", ("\n\n" if multi_line else "\n \n") + "country_code,full_name\nES,a\ncountry_code,full_name\n")
+    found = src.read_text_table(spark, path, multi_line).select("country_code", "full_name")
+    assert rows(found) == [("ES", "a"), ("country_code", "full_name")]
+
+
+def test_the_last_of_equal_names_counts(spark, tmp_path):
+    path = write(tmp_path / "h.csv", "﻿full_name,receiver_id,full_name,\nx,1,y,z\n")
+    found = src.read_table(spark, path, PORTFOLIO["receiver"])
+    assert rows(found.select("receiver_id", "full_name")) == [(1, "y")]
+
+
+def test_lines_may_hold_anything(spark, tmp_path):
+    path = write(tmp_path / "h.csv", "full_name,receiver_id\n￾￿a,1\n#b,2\n\\\"c,3\n")
+    found = src.read_text_table(spark, path).select("full_name", "receiver_id", src.BROKEN)
+    assert rows(found) == [("#b", "2", None), (None, None, '\\"c,3'), (None, None, "\ufffe\uffffa,1")]
+
+
+def test_a_large_file_is_split_and_keeps_its_one_header(spark, tmp_path):
+    folder = tmp_path / "r.csv"
+    folder.mkdir()
+    body = "".join(f"{i},name {i}\n" for i in range(20000))
+    write(folder / "a.csv", "receiver_id,full_name\n" + body)
+    write(folder / "b.csv", "full_name,receiver_id\nlast,20000\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = src.read_table(spark, str(folder), PORTFOLIO["receiver"])
+        assert found.rdd.getNumPartitions() > 5
+        assert found.select("receiver_id").distinct().count() == found.count() == 20001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_inputs_are_decided_on_before_they_are_read(spark, tmp_path):
+    chosen = {n: PORTFOLIO[n] for n in ("receiver", "collateral", "loan", "borrower", "rating_agency")}
+    write(tmp_path / "receiver.csv", '"receiver_id",full_name\n1,a\n2,b\n')
+    write(tmp_path / "collateral.csv", "")
+    write(tmp_path / "loan.csv", "some,thing\n1,2\n")
+    write(tmp_path / "borrower.csv", "\nborrower_id\n\n")
+    found = src.list_inputs(spark, str(tmp_path), chosen).select("table", "file", "n_rows", "decision")
+    assert rows(found) == [
+        ("borrower", "borrower.csv", 0, "no rows"),
+        ("collateral", "collateral.csv", 0, "empty"),
+        ("loan", "loan.csv", 1, "foreign"),
+        ("rating_agency", None, 0, "missing"),
+        ("receiver", "receiver.csv", 2, "load"),
+    ]
+    for name, decision in rows(found.select("table", "decision")):
+        loaded = src.load_folder(spark, str(tmp_path / f"{name}.csv"), chosen[name], str(tmp_path / "out" / name), "b1")
+        assert loaded == (decision == "load")
+
+
+def test_a_load_can_be_repeated(spark, tmp_path):
+    agency = PORTFOLIO["rating_agency"]
+    header = "rating_agency_id,legal_name,country_code\n"
+    one = write(tmp_path / "1.csv", header + "1,A,NL\n2,B,GB\n")
+    two = write(tmp_path / "2.csv", header + "3,C,NL\n")
+    target, rejects = str(tmp_path / "agency"), str(tmp_path / "rejects")
+    for path, batch in ((one, "007"), (two, "b"), (one, "007"), (two, "b")):
+        assert src.load_folder(spark, path, agency, target, batch, rejects)
+        assert src.load_table(spark, path, agency, "batched_agencies", rejects + "2", batch=batch)
+    for table in (batches.read_batches(spark, target), spark.table("batched_agencies")):
+        assert rows(batches.batch_counts(table)) == [("007", 2), ("b", 1)]
+    batches.insert_batch(src.empty_table(spark, agency), "batched_agencies", "b")
+    assert rows(batches.batch_counts(spark.table("batched_agencies"))) == [("007", 2)]
+    # A corrected load takes the place of the first one, rejects included.
+    bad = write(tmp_path / "3.csv", header + "x,A,NL\n5,E,ES\n")
+    assert src.load_folder(spark, bad, agency, target, "007", rejects)
+    found = batches.read_batches(spark, target)
+    assert rows(found.select("rating_agency_id", "load_batch")) == [(3, "b"), (5, "007")]
+    assert rows(batches.read_batches(spark, rejects).select("raw", "load_batch")) == [("x", "007")]
+    assert src.load_folder(spark, one, agency, target, "007", rejects)
+    assert batches.read_batches(spark, rejects).count() == 0
+    with pytest.raises(ValueError):
+        batches.write_batch(found, target, "a/b")
+
+
+def test_a_write_that_fails_leaves_the_batch_as_it_was(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    target = str(tmp_path / "t")
+    batches.write_batch(spark.range(10), target, "b")
+    broken = spark.range(100).repartition(4).withColumn(
+        "id", F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long")
+    )
+    with pytest.raises(Exception, match="stop"):
+        batches.write_batch(broken, target, "b")
+    assert batches.read_batches(spark, target).count() == 10

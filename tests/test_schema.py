@@ -55,11 +55,20 @@ def test_types(sql, value, link, exact):
     assert schema.exact_type(sql) == exact
 
 
-def test_other_type_names():
-    assert schema.xsd_value_type("xsd:decimal") == "Double"
-    assert schema.xsd_value_type("xsd:nonNegativeInteger") == "BigInt"
-    assert schema.xsd_value_type("xsd:date") == "DateTime"
-    assert schema.xsd_value_type("somewhere:else") == "String"
-    assert schema.entity_column_type("Object") == "STRING"
-    assert schema.entity_column_type("DateTime") == "TIMESTAMP"
-    assert schema.endpoint_column_type("Boolean") == "bit"
+def test_type_names_of_columns(spark):
+    names = ["BIGINT", "numeric(18, 2)", " TimestampTZ ", "BOOLEAN", "SMALLINT", "date", "double precision", "jsonb", ""]
+    found = schema.type_report(spark.createDataFrame([(n,) for n in names], "sql_type string"))
+    for row in found.collect():
+        assert row.value_type == schema.value_type(row.sql_type)
+        assert row.link_type == schema.link_column_type(row.sql_type)
+    by = {r.sql_type: (r.value_type, r.entity_type, r.endpoint_type) for r in found.collect()}
+    assert by["BOOLEAN"] == ("Boolean", "BOOLEAN", "bit")
+    assert by["date"] == ("DateTime", "TIMESTAMP", "datetime2")
+    assert by["jsonb"] == ("String", "STRING", "varchar")
+
+
+def test_contracts_of_declared_rows():
+    rows = [("a", "id", "BIGINT"), ("b", "x", "TEXT"), ("a", "amount", "NUMERIC(12,3)"), ("a", "at", "DATE")]
+    found = schema.contracts_of(rows, {"a": ["id"]})
+    assert found["a"].columns == ["id", "amount", "at"] and found["a"].primary_key == ("id",)
+    assert found["a"].field("amount").type == T.DecimalType(12, 3) and found["b"].primary_key == ()

@@ -373,5 +373,25 @@ def test_suite(spark):
     found = {r.query: r for r in report.collect()}
     assert found["good"].row_count == 20 and found["good"].columns == ["id"]
     assert len(found["good"].preview) == 10
+    again = {"other order": lambda: spark.range(20).orderBy(F.desc("id")).repartition(5)}
+    again |= {"one less": lambda: spark.range(19), "one twice": lambda: spark.range(19).union(spark.range(1))}
+    digests = {r.query: r.digest for r in run_suite(spark, again, preview=0).collect()}
+    assert digests["other order"] == found["good"].digest
+    assert len({found["good"].digest, digests["one less"], digests["one twice"]}) == 3
     assert found["late"].status == found["early"].status == "failed"
     assert rows(suite_totals(report)) == [(1, 2, 3)]
+
+
+def test_many_comparisons(spark, tmp_path):
+    one = '{"stage": "a", "perQuestion": [{"scenario_id": "Q1"}, {"scenario_id": "Q2"}], "scenariosPayload": []}'
+    two = '{"stage": "b", "perQuestion": [], "scenariosPayload": [{"scenario_id": "Q3", "domain": "d"}]}'
+    payloads = spark.createDataFrame([(1, one), (2, two), (3, "no record"), (4, None)], "n int, payload string")
+    found = records.parse_comparisons(payloads, "payload")
+    assert rows(found.select("n", "stage")) == [(1, "a"), (2, "b"), (3, None), (4, None)]
+    assert rows(records.questions_of(found).select("n", "scenario_id")) == [(1, "Q1"), (1, "Q2")]
+    assert rows(records.scenarios_of(found).select("n", "scenario_id", "action_policy")) == [(2, "Q3", "recommend_only")]
+    for name, text in (("1.json", one.replace(", ", ",\n")), ("2.json", two + "\n\n")):
+        (tmp_path / name).write_text(text)
+    assert rows(records.read_comparison(spark, str(tmp_path)).select("stage")) == [("a",), ("b",)]
+    (tmp_path / "lines").write_text(one + "\n" + two + "\n")
+    assert records.questions_of(records.read_comparison(spark, str(tmp_path / "lines"), lines=True)).count() == 2

@@ -84,6 +84,29 @@ def test_children_and_descendants(spark):
     ]
 
 
+@pytest.mark.parametrize("root, rounds", [("top", 14), ("c0", 13), ("plain", 2)])
+def test_a_cycle_stops_the_walk_in_the_round_it_closes(spark, monkeypatch, root, rounds):
+    links = [(f"c{(i + 1) % 12}", f"c{i}") for i in range(12)] + [("c0", "top")]
+    links += [(f"leaf{i}", "plain") for i in range(27)]
+    calls = []
+    cut = tx.cut_lineage
+    monkeypatch.setattr(tx, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    tree = edges(spark, *links)
+    if root == "plain":
+        assert tx.descendants_of(tree, root).count() == 27
+    else:
+        with pytest.raises(ValueError, match="c[01] is met twice"):
+            tx.descendants_of(tree, root)
+    assert len(calls) - 1 <= rounds
+
+
+def test_two_parents_stop_the_walk(spark):
+    tree = edges(spark, ("a", "r"), ("b", "r"), ("c", "a"), ("c", "b"))
+    with pytest.raises(ValueError, match="c is met twice"):
+        tx.descendants_of(tree, "r")
+    assert tx.descendants_of(tree, "c").count() == tx.descendants_of(tree, "nobody").count() == 0
+
+
 def test_nearest_attribute_wins(spark):
     attributes = spark.createDataFrame(
         [
@@ -165,6 +188,14 @@ def triples(spark):
         (BASE + "owns", tx.RDFS + "range", BASE + "Party"),
         (BASE + "owns", tx.OWL + "inverseOf", BASE + "ownedBy"),
         (BASE + "age", *a("DatatypeProperty")),
+        (BASE + "owns", tx.OWL + "propertyDisjointWith", BASE + "rents"),
+        (BASE + "owns", tx.OWL + "propertyDisjointWith", BASE + "leases"),
+        (BASE + "owns", tx.OWL + "propertyDisjointWith", BASE + "leases"),
+        (BASE + "age", tx.RDFS + "comment", "EBA 1.2"),
+        (BASE + "age", tx.RDFS + "comment", "in years"),
+        (BASE + "age", tx.RDFS + "comment", "with decimals"),
+        (BASE + "mood", tx.RDFS + "comment", "EBA 12.4"),
+        (BASE + "mood", tx.RDFS + "comment", "EBA 12.3"),
         (BASE + "age", tx.RDFS + "domain", BASE + "Person"),
         (BASE + "age", tx.RDFS + "range", tx.XSD + "integer"),
         (BASE + "mood", *a("DatatypeProperty")),
@@ -189,12 +220,16 @@ def test_classes_from_triples(triples):
     ]
 
 
-def test_properties_from_triples(triples):
-    assert rows(tx.object_properties(triples)) == [("owns", "Person", "Party", "ownedBy", True)]
+def test_properties_from_triples(spark, triples):
+    found = tx.object_properties(triples)
+    assert rows(found) == [("owns", "Person", "Party", "ownedBy", True, ["leases", "rents"])]
     assert rows(tx.datatype_properties(triples)) == [
-        ("age", "Person", "xsd:integer"),
-        ("mood", "Person", "xsd:string"),
+        ("age", "Person", "xsd:integer", "BigInt", "in years"),
+        ("mood", "Person", "xsd:string", "String", "EBA 12.3"),
     ]
+    back = spark.createDataFrame([("leases", ["owns"]), ("rents", [])], "name string, disjoint_with array<string>")
+    both = found.select("name", "disjoint_with").union(back)
+    assert rows(tx.disjoint_pairs(both)) == [("leases", "owns"), ("owns", "rents")]
 
 
 def test_unsupported(triples):
