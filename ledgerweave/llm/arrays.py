@@ -102,7 +102,10 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
 
 
 def segment_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the segments; they depend on nothing but a segment's bytes."""
+    """64-bit hashes of short segments; they depend on nothing but a segment's bytes.
+
+    For routing only: long texts can be made whose polynomials are equal, whatever the base.
+    """
     inverse = _tables(len(sums))[1]
     value = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -116,8 +119,12 @@ def block_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """64-bit hashes of the segments, eight bytes at a time with a mix after each.
 
     Nothing here is linear in the bytes, so texts made to collide under a polynomial do not.
-    Different seeds give independent hashes; two of them make 128 bits.
+    Different seeds give independent hashes; two of them make 128 bits. Wider units than bytes
+    are hashed by their bytes.
     """
+    if buf.dtype.itemsize > 1:
+        width = buf.dtype.itemsize
+        buf, starts, ends = np.ascontiguousarray(buf).view(np.uint8), starts * width, ends * width
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = buf
     eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))

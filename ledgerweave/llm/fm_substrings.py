@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerweave.llm.arrays import flat, prefix_sums, segment_hashes, words_of
+from ledgerweave.llm.arrays import block_hashes, flat, words_of
 from ledgerweave.llm.repeats import marked, repeated
 
 WINDOW = 13
@@ -132,7 +132,7 @@ def least_documents(units: np.ndarray, cuts: np.ndarray, docs: np.ndarray, windo
 
 def word_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, owner = words_of(buf, offsets)
-    return segment_hashes(prefix_sums(buf), starts, ends), np.searchsorted(owner, np.arange(len(offsets)))
+    return block_hashes(buf, starts, ends), np.searchsorted(owner, np.arange(len(offsets)))
 
 
 def _finish(window: int, gram: int, with_text: bool):

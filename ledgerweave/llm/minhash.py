@@ -42,8 +42,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import flat, mix, pieces, prefix_sums, segment_hashes, words_of
-from ledgerweave.llm.repeats import _bytes, _read, blocks_of, one_of_each, row_hash, shard_of
+from ledgerweave.llm.arrays import block_hashes, flat, mix, pieces, words_of
+from ledgerweave.llm.repeats import _bytes, _read, blocks_of, one_of_each, packed, row_hash, shard_of
 from ledgerweave.session import cut_lineage
 
 K = 128
@@ -63,7 +63,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(offsets) - 1
     low = _LOWER[buf]
     starts, ends, owner = words_of(low, offsets)
-    words = segment_hashes(prefix_sums(low), starts, ends)
+    words = block_hashes(low, starts, ends)
     alone = np.bincount(owner, minlength=n)[owner] == 1
     both = owner[1:] == owner[:-1]
     pairs = mix(words[:-1] * np.uint64(3) + mix(words[1:] + np.uint64(7)))[both]
@@ -387,7 +387,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows that op9 calls kept, with all their columns: several of a component if they share its doc_id."""
     stay = near_duplicates(documents).filter("kept").select(F.col("row").alias("_stay")).distinct()
-    return documents.join(stay, row_hash() == F.col("_stay"), "left_semi")
+    rows = packed(documents).join(stay, row_hash("_doc") == F.col("_stay"), "left_semi")
+    return rows.select("_doc.*")
 
 
 def one_of_each_component(documents: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ executor's rows come out the same again, and the mean of the copies is the rate.
 hash as order key and are dealt and sorted by it: a global shuffle.
 
 The one aggregate is by source, on partial sums; a source with a third of all rows is a few
-rows then. The rates are joined as a plain table, which Spark broadcasts if it measures it
-small and whose hot keys AQE splits if not.
+rows then. The rates are one row per source, with a distribution of at most 200 numbers. Up to
+``SOURCES`` of them, by count, are broadcast, so that documents move once, in the shuffle. More
+are joined by a sort-merge of both sides, whose hot keys AQE splits; documents are never the
+broadcast side.
 
 Defined results: null is a source of its own; null text has no bytes; rows with one doc_id (or
 none) get one number of copies; a source without a given weight gets no copies; an empty table
-gives no rows. The documents' columns are kept; ``copy``, ``copies`` and ``order_key`` replace
-columns of these names.
+gives no rows. The documents' columns are kept, whatever their names, but for ``copy``, ``copies``
+and ``order_key``, which replace columns of these names; ``repeated`` keeps those too.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.llm.repeats import packed
 from ledgerweave.session import cut_lineage
 
 SEED = "mix-1"
 #: Weight of a source: its bytes to this power.
 SMOOTHING = 0.7
+#: Sources whose rates are broadcast, 2 KB each at most.
+SOURCES = 10_000
 #: A rate above this is the sum of several parts, each inverted by a number of its own.
 PART = 64
 
@@ -72,25 +77,41 @@ def with_distribution(table: DataFrame) -> DataFrame:
     return part.withColumn("_cdf", F.aggregate(F.sequence(F.lit(1), last), start, more, lambda s: s["all"])).drop("_mean")
 
 
-def replicated(documents: DataFrame, table: DataFrame, by: str = "source", seed: str = SEED) -> DataFrame:
-    """A row per copy, with ``copy`` from 1, ``copies`` and ``order_key``; not shuffled yet."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    known = documents.join(with_distribution(table), F.col(by).cast("string").eqNullSafe(F.col("_source")))
+def _copies(documents: DataFrame, table: DataFrame, by: str, seed: str) -> DataFrame:
+    """``_doc``, the row packed, with ``copy`` from 1, ``copies`` and ``order_key``; not shuffled yet."""
+    rows = packed(documents)
+    key = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("null"))
+    table = cut_lineage(with_distribution(table))
+    table = F.broadcast(table) if table.count() <= SOURCES else table.hint("merge")
+    known = rows.join(table, F.col("_doc").getField(by).cast("string").eqNullSafe(F.col("_source")))
     draws = F.transform(
         F.sequence(F.lit(0), F.col("_parts") - 1),
         lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), key, j.cast("string")))),
     )
     drawn = known.withColumn("copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).filter("copies > 0")
-    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copied = drawn.select("_doc", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")).cast("binary"))
-    return copied.withColumn("order_key", F.substring(order, 1, 16)).drop("_source", "rate", "_parts", "_cdf")
+    return copied.withColumn("order_key", F.substring(order, 1, 16))
+
+
+def _shuffled(copies: DataFrame) -> DataFrame:
+    parts = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartition(parts, "order_key", "_doc.doc_id").sortWithinPartitions("order_key", "_doc.doc_id")
 
 
 def mixed(documents: DataFrame, weights: DataFrame | None = None, by: str = "source", epochs: float = 1.0, seed: str = SEED) -> DataFrame:
-    """The documents repeated to the target weights, in a random order over all partitions."""
-    copies = replicated(documents, rates(documents, weights, by, epochs), by, seed)
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(parts, "order_key", "doc_id").sortWithinPartitions("order_key", "doc_id")
+    """The documents repeated to the target weights, in a random order over all partitions.
+
+    A row per copy, with ``copy`` from 1, ``copies`` and ``order_key``.
+    """
+    copies = _shuffled(_copies(documents, rates(documents, weights, by, epochs), by, seed))
+    own = [F.col("_doc").getField(c).alias(c) for c in documents.columns if c not in ("copy", "copies", "order_key")]
+    return copies.select(*own, "copy", "copies", "order_key")
+
+
+def repeated(documents: DataFrame, weights: DataFrame | None = None, by: str = "source", epochs: float = 1.0, seed: str = SEED) -> DataFrame:
+    """As :func:`mixed`, with the documents' columns alone, as they were."""
+    return _shuffled(_copies(documents, rates(documents, weights, by, epochs), by, seed)).select("_doc.*")
 
 
 def op10_poisson_mixing(spark, sf_dir: str) -> DataFrame:

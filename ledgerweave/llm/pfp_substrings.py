@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerweave.llm.arrays import expand, flat, prefix_sums, segment_hashes
+from ledgerweave.llm.arrays import block_hashes, expand, flat, prefix_sums, segment_hashes
 from ledgerweave.llm.repeats import marked, repeated
 
 WINDOW = 50
@@ -97,7 +97,7 @@ def corpus_order(text: np.ndarray, cuts: np.ndarray, depth: int, at: np.ndarray)
     lengths = ends - starts
     last = np.append(run[1:] != run[:-1], True)
     # A run's end is part of its last phrase, which so is no prefix of another.
-    keys = segment_hashes(prefix_sums(text), starts, ends) ^ last.astype(np.uint64)
+    keys = block_hashes(text, starts, ends) ^ last.astype(np.uint64)
     _, one, phrase = np.unique(keys, return_index=True, return_inverse=True)
     # The dictionary: every distinct phrase, with an end behind it.
     size = lengths[one]

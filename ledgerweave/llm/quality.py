@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.arrays import IS_SPACE, flat, mix, pieces, prefix_sums, segment_hashes, sums_by, words_of
+from ledgerweave.llm.arrays import IS_SPACE, block_hashes, flat, mix, pieces, sums_by, words_of
 
 #: Labelled rows that the trees are grown from, at most.
 SAMPLE = 8000
@@ -78,8 +78,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": _per_text(inside & lead, offsets),
         "n_symbols": _per_text(SYMBOL[buf], offsets),
     }
-    sums = prefix_sums(buf)
-    words = segment_hashes(sums, starts, ends)
+    words = block_hashes(buf, starts, ends)
 
     # Lines with a word, and those equal to an earlier one of their text.
     cuts = np.flatnonzero(buf == 0x0A)
@@ -92,7 +91,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     filled = np.searchsorted(starts, stop) > np.searchsorted(starts, line)
     line, stop, text = line[filled], stop[filled], text[filled]
     lines = np.bincount(text, minlength=n)
-    keys = _of_text(segment_hashes(sums, line, stop), text)
+    keys = _of_text(block_hashes(buf, line, stop), text)
     firsts = np.unique(keys, return_index=True)[1]
     out["n_dup_lines"] = lines - np.bincount(text[firsts], minlength=n)
 

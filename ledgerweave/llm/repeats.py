@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import expand, flat, mix, pieces, prefix_sums, segment_hashes
+from ledgerweave.llm.arrays import block_hashes, expand, flat, mix, pieces, prefix_sums, segment_hashes
 
 #: doc_id of rows that have none: after every other.
 NO_ID = np.iinfo(np.int64).max
@@ -43,9 +43,15 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Engine = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def row_hash() -> Column:
+def packed(documents: DataFrame) -> DataFrame:
+    """Each row as one column ``_doc``, so that no name of its columns meets another."""
+    return documents.select(F.struct("*").alias("_doc"))
+
+
+def row_hash(of: str = "") -> Column:
     """A hash of a row's doc_id and text, by which passes over the same rows know them again."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    doc_id, text = (F.col(f"{of}.{c}" if of else c) for c in ("doc_id", "text"))
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
 
 
 def blocks_of(documents: DataFrame, per_partition: int = 2) -> DataFrame:
@@ -64,15 +70,16 @@ def one_of_each(documents: DataFrame, stay: DataFrame) -> DataFrame:
     Of rows alike in doc_id and text the one stays whose other columns have the least hash. Few are
     grouped for it: only rows with a ``_stay`` that ``_one`` says several have.
     """
-    whole = documents.join(stay.filter("not _one").select("_stay"), row_hash() == F.col("_stay"), "left_semi")
-    alike = documents.join(stay.filter("_one").select("_stay"), row_hash() == F.col("_stay"), "left_semi")
+    rows = packed(documents).withColumn("_row", row_hash("_doc"))
+    whole = rows.join(stay.filter("not _one").select("_stay"), F.col("_row") == F.col("_stay"), "left_semi")
+    alike = rows.join(stay.filter("_one").select("_stay"), F.col("_row") == F.col("_stay"), "left_semi")
     # Maps have neither a hash nor an order.
-    rest = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
-    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in documents.columns)), F.xxhash64(*rest))
+    rest = [F.col("_doc").getField(f.name) for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    first = F.min_by("_doc", F.xxhash64(*rest))
     # As in ``row_hash``, a null text is an empty one.
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
-    one = alike.groupBy(F.col("doc_id").alias("_id"), text).agg(first.alias("_first"))
-    return whole.unionByName(one.select("_first.*"))
+    text = F.coalesce(F.col("_doc.text").cast("string"), F.lit("")).alias("_text")
+    one = alike.groupBy(F.col("_doc.doc_id").alias("_id"), text).agg(first.alias("_doc"))
+    return whole.select("_doc.*").unionByName(one.select("_doc.*"))
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
@@ -84,14 +91,14 @@ class Runs:
 
     def __init__(self, units: np.ndarray, cuts: np.ndarray, k: int, m: int):
         self.k = k
-        self.sums = prefix_sums(units)
+        self.units = units
         n = len(units)
         stop = np.repeat(cuts[1:], np.diff(cuts))
         at = np.flatnonzero(np.arange(n) + k <= stop)  # where windows start
         grams = np.zeros(n, np.uint64)
         if n >= m:
             first = np.arange(n - m + 1)
-            grams[: n - m + 1] = segment_hashes(self.sums, first, first + m)
+            grams[: n - m + 1] = segment_hashes(prefix_sums(units), first, first + m)
         least, width, want = grams, 1, k - m + 1
         while width < want:  # least of ever wider stretches
             more = min(width, want - width)
@@ -109,7 +116,7 @@ class Runs:
         self.end = self.start + self.windows + k - 1
 
     def hashes(self) -> np.ndarray:
-        return segment_hashes(self.sums, self.start, self.end)
+        return block_hashes(self.units, self.start, self.end)
 
 
 def shard_of(anchors: np.ndarray, shards: int) -> np.ndarray:

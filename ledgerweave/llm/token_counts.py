@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import flat, pieces, prefix_sums, segment_hashes, sums_by
+from ledgerweave.llm.arrays import block_hashes, flat, pieces, sums_by
 from ledgerweave.llm.pretokens import split
 from ledgerweave.session import cut_lineage
 
@@ -81,7 +81,7 @@ class Counter:
         starts, ends, owner = split(buf, offsets)
         if not len(starts):
             return np.zeros(n, np.int64)
-        keys = segment_hashes(prefix_sums(buf), starts, ends)
+        keys = block_hashes(buf, starts, ends)
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
         texts = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         counts = sums_by(owner, self._of_pieces(texts)[which], n)

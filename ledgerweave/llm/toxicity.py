@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.arrays import expand, flat, pieces, prefix_sums, segment_hashes, words_of
+from ledgerweave.llm.arrays import block_hashes, expand, flat, pieces, words_of
 from ledgerweave.llm.pretokens import LETTER, classes
 
 #: Toxic rows that the machine learns from, at most.
@@ -183,7 +183,7 @@ class Machine:
         best = np.full(n, self.floor)
         if len(buf):
             codes, starts, ends, owner = units(buf, offsets, self.alphabet)
-            keys = segment_hashes(prefix_sums(codes), starts, ends)
+            keys = block_hashes(codes, starts, ends)
             _, first, which = np.unique(keys, return_index=True, return_inverse=True)
             np.maximum.at(best, owner, self.margins(codes, starts[first], ends[first])[which])
         return best

@@ -19,12 +19,13 @@ SCHEMA = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("source", T.StringType()),
         *(T.StructField(c, T.StringType()) for c in ("node", "block", "size", "kept", "copy", "value", "digest", "_y")),
+        *(T.StructField(c, T.StringType()) for c in ("rate", "_stay", "_one", "_id", "_cell", "_h", "_source", "_doc")),
     ]
 )
 
 
 def table(spark, docs):
-    rows = [(d, t, f"s{i % 3}" if i % 5 else None, *"abcdefgh") for i, (d, t) in enumerate(docs)]
+    rows = [(d, t, f"s{i % 3}" if i % 5 else None, *"abcdefgh", *"ijklmnop") for i, (d, t) in enumerate(docs)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -50,6 +51,10 @@ def texts():
             near[rnd.randrange(len(near))] = rnd.choice(vocabulary)
         docs.append(" ".join(near))
     docs += [" ".join(base), "\n".join(base), " ".join(base).upper(), joined(passage) * 4]
+    one, two = "a", "b"  # equal under any polynomial hash modulo 2**64
+    for _ in range(11):
+        one, two = one + two, two + one
+    docs += [f"{one}\n{two}", one, two, " ".join(one), " ".join(two)]
     docs += ["Enon " * 400, "Enon " * 300, "line of text here\n" * 30, "ab" * 200]
     ids = list(range(len(docs)))
     rnd.shuffle(ids)
