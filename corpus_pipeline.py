@@ -2,7 +2,12 @@
 
 Toxic documents go, exact copies go, one document of each group of near copies stays, sources
 are repeated to their target weights, and what is left is encoded by byte-level BPE and decoded
-again. All stages but the last return the columns of ``documents``.
+again. All stages but the last return the columns of ``documents``, whatever their names.
+
+Defined results: a null text is an empty one, which scores as no evidence, is a copy of other
+texts without a character, has no shingles and no tokens; null doc_ids and sources are values
+like any other; of rows that repeat in full, share a doc_id or have none, one of each group
+stays, as of rows apart; very long texts are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, shuffled."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
