@@ -3,14 +3,19 @@
 The kernel of two strings sums, over all triples of letters, what each string gives the triple:
 ``DECAY`` to the power of the stretch it is spread over, for each place; a unit's start counts
 as a letter. Letters need not be
-neighbours, so insults with signs or letters put in stay near the plain word. A text is scored
-by its sentences, a sentence by its most toxic unit: a word without the signs around it, or a
-run of three or more single characters with blanks between ("i d i o t"). Units longer than
-``WIDEST`` are scored in windows that overlap by half, so all of a text counts.
-
-A sentence of a clean document is clean. Of a toxic document, those sentences are toxic that
-hold a unit with letters in a row that recur in toxic documents and never in clean ones, and,
-from the second round on, those with a unit that the machine itself finds toxic. Landmarks are units of both kinds; the
+neighbours, so insults with signs or letters put in stay near the plain word. A unit is a word
+without the signs around it, or a run of three or more single characters with blanks between
+("i d i o t"). Units longer than ``WIDEST`` are scored in windows that overlap by half, so all of
+a text counts. A text is scored by its ``TOP`` most toxic units together, through a logistic
+plane: one unit that looks like an insult by chance speaks less than several.
+
+Labels are of whole documents. Units with a stem, that is letters in a row, are the toxic
+examples: a stem is held by several toxic documents, at least ``RATE`` of all that hold it are
+toxic, and chance would let hardly any stem be so; the same is asked of the distinct units that
+hold it, where two toxic documents have more than one each. So a clean document with an insult,
+or a wrong label, takes no stem away. Units with a stem that clean documents hold as often are
+learned from on neither side. From the second round on, units that recur in toxic documents
+alone and that the machine itself finds toxic come in too. Landmarks are units of both kinds; the
 Nyström map of the kernel on them is linear, the machine is trained there by Newton steps on
 the squared hinge loss, with the clean units it errs on added in each round. The result is one
 weight per triple of letters, 64**3 numbers, by which a unit is scored without a landmark in
@@ -48,6 +53,8 @@ WIDEST = 32
 LETTERS = 64  # codes: 0 no letter, 1 to 61 the commonest, 62 a unit's start, 63 the rest
 START = 62
 CUT = 0.3
+#: Units of a text that its score is made of.
+TOP = 3
 
 _TRIPLES = {
     n: np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3) for n in range(3, WIDEST + 2)
@@ -153,11 +160,11 @@ def _norms(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
 class Machine:
     """Weights of triples, a bias, and the line from a margin to a probability."""
 
-    def __init__(self, alphabet: Alphabet, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
+    def __init__(self, alphabet: Alphabet, weights: np.ndarray, bias: float):
         self.alphabet, self.bias = alphabet, bias
         letters = np.arange(LETTERS) > 0  # triples with a sign have no weight
         self.weights = weights * np.multiply.outer(np.multiply.outer(letters, letters), letters).ravel()
-        self.slope, self.shift = slope, shift
+        self.slope, self.shift = np.eye(TOP)[0], 0.0
         self.floor = -1.0  # the margin of no evidence
 
     def margins(self, codes, starts, ends) -> np.ndarray:
@@ -178,19 +185,25 @@ class Machine:
         return out
 
     def text_margins(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The highest margin of each text's sentences."""
+        """The ``TOP`` highest margins of each text's units, in a row of their own."""
         n = len(offsets) - 1
-        best = np.full(n, self.floor)
+        best = np.full((n, TOP), self.floor)
         if len(buf):
             codes, starts, ends, owner = units(buf, offsets, self.alphabet)
             keys = block_hashes(codes, starts, ends)
             _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            np.maximum.at(best, owner, self.margins(codes, starts[first], ends[first])[which])
+            margin = self.margins(codes, starts[first], ends[first])
+            some = np.flatnonzero(margin[which] > self.floor)
+            pairs = np.stack([owner[some], which[some]])  # a unit counts as often as it stands there
+            pairs = pairs[:, np.lexsort((-margin[pairs[1]], pairs[0]))]
+            place = np.arange(pairs.shape[1]) - np.searchsorted(pairs[0], pairs[0])
+            top = place < TOP
+            best[pairs[0, top], place[top]] = margin[pairs[1, top]]
         return best
 
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        margin = self.text_margins(buf, offsets)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
+        margin = self.text_margins(buf, offsets) @ self.slope + self.shift
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
 class Constant:
@@ -227,10 +240,64 @@ def _without_copies(lists: list[np.ndarray], n: int) -> list[bool]:
     return out
 
 
+#: A stretch of letters marks units if at least this share of the documents that hold it is toxic,
+#: and if fewer than ``CHANCE`` stretches would be so by chance.
+RATE = 0.7
+CHANCE = 0.5
+
+
 def _grams(word: str) -> set[str]:
-    """All stretches of four letters, the start being one, and the word as a whole."""
+    """All stretches of four to six letters, the start being one, and the word as a whole."""
     marked = f"^{word}"
-    return {f"{marked}$", *(marked[i : i + 4] for i in range(len(marked) - 3))}
+    return {f"{marked}$", *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
+
+
+def _tail(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
+    """Chance of ``k`` or more of ``n`` at a rate of ``share``."""
+    if not len(n):
+        return np.zeros(0)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n.max() + 1)))])
+    total = np.zeros(len(n))
+    for more in range(int((n - k).max()) + 1):
+        at = k + more
+        inside = at <= n
+        j, m = at[inside], n[inside]
+        total[inside] += np.exp(log[m] - log[j] - log[m - j] + j * np.log(share) + (m - j) * np.log(1 - share))
+    return total
+
+
+def _marked(
+    names: list[str], lists: list[np.ndarray], toxic: np.ndarray, alone: np.ndarray, seen: np.ndarray
+) -> tuple[set[str], set[str]]:
+    """Units that make a sentence toxic, and units in doubt.
+
+    Both hold a stem: letters in a row that toxic documents hold and clean ones hardly do, by the
+    documents, or by their distinct units where several toxic documents each have more than one.
+    A stem that a clean document has by chance, or by a wrong label, stays one; a unit that clean
+    documents hold as well is in doubt and learned from on neither side.
+    """
+    numbers: dict[str, int] = {}
+    of_unit = [np.array([numbers.setdefault(g, len(numbers)) for g in _grams(w)], np.int64) for w in names]
+    held, spread, several = (np.zeros((2, len(numbers)), np.int64) for _ in range(3))
+    for own, label, first in zip(lists, toxic, alone):
+        if len(own) and (first or not label):
+            grams, times = np.unique(np.concatenate([of_unit[i] for i in own.tolist()]), return_counts=True)
+            held[int(label), grams] += 1
+            spread[int(label), grams] += times
+            several[int(label), grams] += times > 1
+    tested = max(1, int((held[1] > 0).sum()))
+    volume = [sum(len(own) for own, y, first in zip(lists, toxic, alone) if y == kind and (first or not y)) for kind in (0, 1)]
+    stems = np.zeros(len(numbers), bool)
+    for counts, share, least in (
+        (held, (alone & (toxic == 1)).sum() / max(1, (alone | (toxic == 0)).sum()), held[1] >= 3),
+        (spread, volume[1] / max(1, sum(volume)), several[1] >= 2),
+    ):
+        every = counts.sum(0)
+        often = np.flatnonzero(least & (counts[1] >= RATE * every))
+        stems[often[_tail(every[often], counts[1][often], float(share)) * tested < CHANCE]] = True
+    holding = [i for i in range(len(names)) if stems[of_unit[i]].any()]
+    marked = {names[i] for i in holding if seen[1][i] and seen[1][i] >= RATE * (seen[0][i] + seen[1][i])}
+    return marked, {names[i] for i in holding} - marked
 
 
 def _coded(texts: list[str], alphabet: Alphabet):
@@ -297,28 +364,14 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     for own, label, first in zip(lists, toxic, alone):
         if first or not label:  # copies of one toxic document bear no witness to its words
             seen[int(label), own] += 1
-    # Letters in a row that recur in toxic documents, in no clean one, and more often than
-    # chance would let any of them, mark the units they are in, and so sentences, as toxic.
-    only = {int(i) for i in np.flatnonzero((seen[1] > 0) & (seen[0] == 0))}
-    if not only:
-        return Constant(float(toxic.mean()))
-    support: Counter = Counter()
-    for own, label, first in zip(lists, toxic, alone):
-        if first and label:
-            support.update({g for i in own.tolist() if i in only for g in _grams(names[i])})
-    for i in np.flatnonzero(seen[0]).tolist():
-        for g in _grams(names[i]):
-            support.pop(g, None)
-    witnesses = int((np.array(alone) & (toxic == 1)).sum())
-    share = witnesses / (witnesses + int((toxic == 0).sum()))
-    often = max(3.0, np.log(0.01 / max(1, len(support))) / np.log(share))
-    stems = {g for g, n in support.items() if n >= often}
-    marked = {names[i] for i in only if not stems.isdisjoint(_grams(names[i]))}
+    marked, doubt = _marked(names, lists, toxic, np.array(alone), seen)
     if not marked:
-        marked = {names[i] for i in sorted(only, key=lambda i: (-seen[1][i], names[i]))[:20]}
-    clean = [names[i] for i in sorted(np.flatnonzero(seen[0]).tolist(), key=lambda i: (-seen[0][i], names[i]))]
+        return Constant(float(toxic.mean()))
+    clean = sorted(np.flatnonzero(seen[0]).tolist(), key=lambda i: (-seen[0][i], names[i]))
+    clean = [names[i] for i in clean if names[i] not in marked and names[i] not in doubt]
     bad = sorted(marked, key=lambda w: (-seen[1][numbers[w]], w))
-    rest = sorted(names[i] for i in only if seen[1][i] >= 2 and names[i] not in marked)
+    rest = np.flatnonzero((seen[1] >= 2) & (seen[0] == 0)).tolist()
+    rest = sorted(names[i] for i in rest if names[i] not in marked)
     step = max(1, len(clean) // UNITS)
     negative = dict.fromkeys(clean[: UNITS // 3] + clean[::step][:UNITS])
     machine = None
@@ -365,20 +418,28 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     return machine
 
 
-def _line(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic line through margins, with targets held off 0 and 1 so that it stays finite."""
+def _line(margins: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic plane through rows of margins, with targets held off 0 and 1 so that it stays
+    finite. No margin may speak against toxicity: one that would is left out."""
     high, low = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (high + 1) / (high + 2), 1 / (low + 2))
-    x = np.c_[margin, np.ones(len(margin))]
-    w = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        grad = x.T @ (p - target) + 1e-3 * w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    used = np.arange(margins.shape[1])
+    while True:
+        x = np.c_[margins[:, used], np.ones(len(margins))]
+        w = np.r_[1.0, np.zeros(len(used))]
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+            grad = x.T @ (p - target) + 1e-3 * w
+            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w)), grad)
+            w -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all() or len(used) == 1:
             break
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+        used = np.delete(used, np.argmin(w[:-1]))
+    slope = np.zeros(margins.shape[1])
+    slope[used] = w[:-1]
+    return (slope, float(w[-1])) if w[0] > 0 else (np.eye(margins.shape[1])[0], 0.0)
 
 
 def held_out() -> Column:

@@ -81,6 +81,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(right) >= 0.95 * len(right) > 50
 
 
+@pytest.mark.parametrize("name, least", [("sf0.01", 0.9), ("sf0.1", 0.85)])
+def test_toxicity_recall_and_precision(spark, name, least):
+    """Held-out toxic rows found, and rows found that are toxic; labels are wrong here and there."""
+    folder = f"/root/testdata/{name}"
+    found = QUERIES["op6_subsequence_toxicity"](spark, folder).filter("held_out").select("doc_id", "predicted")
+    rows_ = found.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    right = sum(r.predicted == r.toxic == 1 for r in rows_)
+    assert right >= least * sum(r.toxic == 1 for r in rows_) > 10
+    assert right >= 0.9 * sum(r.predicted for r in rows_)
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 
