@@ -247,9 +247,9 @@ CHANCE = 0.5
 
 
 def _grams(word: str) -> set[str]:
-    """All stretches of four to six letters, the start being one, and the word as a whole."""
+    """All stretches of four letters, the start being one, and of the first six, and the word as a whole."""
     marked = f"^{word}"
-    return {f"{marked}$", *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
+    return {f"{marked}$", marked[:6], *(marked[i : i + 4] for i in range(len(marked) - 3))}
 
 
 def _tail(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
@@ -267,7 +267,12 @@ def _tail(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
 
 
 def _marked(
-    names: list[str], lists: list[np.ndarray], toxic: np.ndarray, alone: np.ndarray, seen: np.ndarray
+    names: list[str],
+    lists: list[np.ndarray],
+    toxic: np.ndarray,
+    alone: np.ndarray,
+    seen: np.ndarray,
+    weight: float,
 ) -> tuple[set[str], set[str]]:
     """Units that make a sentence toxic, and units in doubt.
 
@@ -285,6 +290,7 @@ def _marked(
             held[int(label), grams] += 1
             spread[int(label), grams] += times
             several[int(label), grams] += times > 1
+    held[:, 0] = spread[:, 0] = 0
     tested = max(1, int((held[1] > 0).sum()))
     volume = [sum(len(own) for own, y, first in zip(lists, toxic, alone) if y == kind and (first or not y)) for kind in (0, 1)]
     stems = np.zeros(len(numbers), bool)
@@ -293,10 +299,10 @@ def _marked(
         (spread, volume[1] / max(1, sum(volume)), several[1] >= 2),
     ):
         every = counts.sum(0)
-        often = np.flatnonzero(least & (counts[1] >= RATE * every))
+        often = np.flatnonzero(least & (counts[1] >= RATE * (counts[1] + weight * counts[0])))
         stems[often[_tail(every[often], counts[1][often], float(share)) * tested < CHANCE]] = True
     holding = [i for i in range(len(names)) if stems[of_unit[i]].any()]
-    marked = {names[i] for i in holding if seen[1][i] and seen[1][i] >= RATE * (seen[0][i] + seen[1][i])}
+    marked = {names[i] for i in holding if seen[1][i] and seen[1][i] >= RATE * (weight * seen[0][i] + seen[1][i])}
     return marked, {names[i] for i in holding} - marked
 
 
@@ -351,8 +357,8 @@ def _with_signs(text: str, k: int) -> str:
     return (text[:cut] + "*" + text[cut:])[:WIDEST]
 
 
-def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
-    """A machine from documents labelled as a whole."""
+def learn(texts: list[str], toxic: np.ndarray, weight: float = 1.0) -> Machine | Constant:
+    """A machine from documents labelled as a whole; a clean one stands for ``weight`` toxic ones' share."""
     if not len(texts) or toxic.min() == toxic.max():
         return Constant(float(toxic.mean()) if len(texts) else 0.0)
     alphabet = Alphabet.of(texts)
@@ -364,7 +370,7 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
     for own, label, first in zip(lists, toxic, alone):
         if first or not label:  # copies of one toxic document bear no witness to its words
             seen[int(label), own] += 1
-    marked, doubt = _marked(names, lists, toxic, np.array(alone), seen)
+    marked, doubt = _marked(names, lists, toxic, np.array(alone), seen, weight)
     if not marked:
         return Constant(float(toxic.mean()))
     clean = sorted(np.flatnonzero(seen[0]).tolist(), key=lambda i: (-seen[0][i], names[i]))
@@ -414,23 +420,23 @@ def learn(texts: list[str], toxic: np.ndarray) -> Machine | Constant:
         cuts = np.concatenate([[0], np.cumsum([len(d) for d in data])])
         margins.append(machine.text_margins(np.frombuffer(b"".join(data), np.uint8), cuts))
     margins = np.concatenate(margins)
-    machine.slope, machine.shift = _line(margins, toxic.astype(bool))
+    machine.slope, machine.shift = _line(margins, toxic.astype(bool), weight)
     return machine
 
 
-def _line(margins: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+def _line(margins: np.ndarray, toxic: np.ndarray, weight: float) -> tuple[np.ndarray, float]:
     """Logistic plane through rows of margins, with targets held off 0 and 1 so that it stays
     finite. No margin may speak against toxicity: one that would is left out."""
     high, low = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (high + 1) / (high + 2), 1 / (low + 2))
-    used = np.arange(margins.shape[1])
+    used, cost = np.arange(margins.shape[1]), np.where(toxic, 1.0, weight)
     while True:
         x = np.c_[margins[:, used], np.ones(len(margins))]
         w = np.r_[1.0, np.zeros(len(used))]
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-            grad = x.T @ (p - target) + 1e-3 * w
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w)), grad)
+            grad = x.T @ (cost * (p - target)) + 1e-3 * w
+            step = np.linalg.solve(x.T @ (x * (cost * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w)), grad)
             w -= np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-8:
                 break
@@ -451,17 +457,21 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
     """Learn from at most ``sample`` labelled rows of each kind that are not held out."""
     known = labels.filter(~held_out()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     known = known.dropna().dropDuplicates(["_id"])
-    chosen = []
+    chosen, share = [], {}
     for kind in (0, 1):
         order = known.filter(F.col("_y") == kind).orderBy(F.xxhash64("_id"), "_id")
-        chosen += order.limit(sample if kind else CLEAN * sample).collect()
+        drawn = order.limit(sample if kind else CLEAN * sample).collect()
+        share[kind] = len(drawn) / max(1, known.filter(F.col("_y") == kind).count())
+        chosen += drawn
     if not chosen:
         return Constant(0.0)
+    # Toxic rows are sampled more densely; their rates are those among all labelled rows.
+    weight = share[1] / share[0] if share[0] and share[1] else 1.0
     # At most (1 + CLEAN) * ``sample`` rows.
     table = F.broadcast(documents.sparkSession.createDataFrame(chosen, known.schema))
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_t"))
     rows = texts.join(table, "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
-    return learn([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows], np.int64))
+    return learn([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows], np.int64), weight)
 
 
 def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool = True, name: str = "score") -> DataFrame:
