@@ -9,9 +9,11 @@
    that bound is exact. Of larger ones the number has mean 102 and deviation 4.5 at most, and
    the overlap is no more than it where one set holds the other; ``OVERLAP`` lies 6 below.
    Values no other sketch has list nobody, which leaves out most nodes here.
-3. In each inverted list all nodes are paired with the least one: a star, not all pairs. Pairs
-   pass if the sketch of their union estimates ``PASS`` or more, which is ``OVERLAP`` of ``K``,
-   and link if the full sets confirm 0.8. Links make components. One pair of larger sets is lost
+3. In each inverted list all nodes are paired with the least one, if their sizes allow 0.8: a
+   star, not all pairs. Pairs go on if ``BITS`` words of bits per sketch leave room for enough
+   shared values (a bit that one sketch alone has is a value of its own), pass if the sketch of
+   their union estimates ``PASS`` or more, which is ``OVERLAP`` of ``K``, and link if the full
+   sets confirm 0.8. Links make components. One pair of larger sets is lost
    with a chance below 1e-8 (binomial of 128 at 0.8, below 75), by step 2 and 3 together.
 4. Lists that still hold several components pair the nodes of different ones, if they have at
    most ``SMALL`` members. For the members of larger ones the exact way is a prefix filter on
@@ -22,9 +24,12 @@
 5. All links together make the components.
 
 Copies are one node, a group of near copies is a star per value, and joins have plain shuffles
-on both sides, which AQE splits at hot keys. Full sets are kept for listed nodes only. Texts
-move once, into blocks; counts per value come from blocks, so a value in every text is as many
-rows as there are blocks.
+on both sides, which AQE splits at hot keys. Full sets are kept nowhere: those of pairs that
+passed are made from their texts again and travel once per pair, and a hub's once per part of its
+star, to be met by its partners one after another. The rows that ask for texts are broadcast up
+to ``ASKED`` of them by count; more are joined by a shuffle. Otherwise texts move once, into
+blocks; counts per value come from blocks, so a value in every text is as many rows as there are
+blocks.
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and are linked
 with nothing; a text of one word has that word as its set; rows with equal sets are linked,
@@ -39,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import block_hashes, flat, mix, pieces, words_of
@@ -51,6 +56,12 @@ K = 128
 OVERLAP = 75
 PASS = OVERLAP / K
 SMALL = 64
+#: Words of 64 bits that bound what two sketches share.
+BITS = 8
+#: Shingles of a star's nodes that one part of it has, about.
+STAR = 1 << 20
+#: Rows of four numbers that are broadcast to the texts at most.
+ASKED = 500_000
 #: Parts of the hash range (a power of two) by which the exact way bounds an overlap.
 PARTS = 32
 
@@ -167,11 +178,20 @@ def least_overlap(size: np.ndarray) -> np.ndarray:
     return np.minimum(-(-4 * size // 5), np.maximum(OVERLAP, K - size // 4))
 
 
-LISTED = "node long, n int, listed array<long>, sketch binary, shingles binary"
+_BIT_COLUMNS = [f"bits{i}" for i in range(BITS)]
+LISTED = ", ".join(["node long", "row long", "n int", "listed array<long>", "sketch binary", *(f"{c} long" for c in _BIT_COLUMNS)])
+
+
+def sketch_bits(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """``BITS`` words per sketch, with the bit set that each of its values falls on."""
+    place = (values & np.uint64(64 * BITS - 1)).astype(np.int64)
+    words = np.zeros((rows, BITS), np.uint64)
+    np.bitwise_or.at(words, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return words
 
 
 def _list(table: pa.Table, right: pa.Table) -> pa.Table:
-    """Nodes of a block that other nodes' lists may hold, with their rare values and their sets."""
+    """Nodes of a block that other nodes' lists may hold, with their rare values and their sketches."""
     own = right.filter(pa.compute.is_valid(right.column("row")))
     rows = own.column("row").to_numpy()
     order = np.argsort(rows, kind="stable")
@@ -181,6 +201,7 @@ def _list(table: pa.Table, right: pa.Table) -> pa.Table:
     by = np.argsort(known, kind="stable")
     known, totals = known[by], totals[by]
     out: list[list] = [[], [], [], [], []]
+    bits = [np.zeros((0, BITS), np.uint64)]
     place = 0
     for part in pieces(_chosen(table, rows[order])[0], "text") if len(rows) and len(known) else ():
         values, cuts = shingle_sets(*flat(part.column("text")))
@@ -195,16 +216,20 @@ def _list(table: pa.Table, right: pa.Table) -> pa.Table:
         inside = np.arange(len(sketch)) - edge[owner] < first
         listed = rare[inside & (count[rare] > 1)]
         ends = np.searchsorted(owner[listed], np.arange(part.num_rows + 1))
-        for i in np.flatnonzero(np.diff(ends)).tolist():
+        chosen = np.flatnonzero(np.diff(ends))
+        bits.append(sketch_bits(sketch, owner, part.num_rows)[chosen])
+        for i in chosen.tolist():
             out[0].append(int(nodes[place + i]))
-            out[1].append(int(size[i]))
-            out[2].append(sketch[listed[ends[i] : ends[i + 1]]].view(np.int64).tolist())
-            out[3].append(sketch[edge[i] : edge[i + 1]].tobytes())
-            out[4].append(values[cuts[i] : cuts[i + 1]].tobytes())
+            out[1].append(int(rows[order[place + i]]))
+            out[2].append(int(size[i]))
+            out[3].append(sketch[listed[ends[i] : ends[i + 1]]].view(np.int64).tolist())
+            out[4].append(sketch[edge[i] : edge[i + 1]].tobytes())
         place += part.num_rows
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    names = ("node", "n", "listed", "sketch", "shingles")
-    return pa.table({c: pa.array(v, k) for c, v, k in zip(names, out, kinds)})
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    names = ("node", "row", "n", "listed", "sketch")
+    found = {c: pa.array(v, k) for c, v, k in zip(names, out, kinds)}
+    words = np.concatenate(bits).view(np.int64)
+    return pa.table(found | {c: pa.array(words[:, i].copy()) for i, c in enumerate(_BIT_COLUMNS)})
 
 
 def listed_nodes(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,26 +259,74 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` with the ``text`` of their ``row``."""
+    asked = cut_lineage(asked)
+    if asked.count() <= ASKED:
+        asked = F.broadcast(asked)
+    return blocks_of(documents).select("row", "text").join(asked, "row")
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, part, b`` with the set of the text; what a batch asks for twice goes on once."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("a", "part", "b")], 1)
+        once = np.sort(np.unique(keys, axis=0, return_index=True)[1]) if len(keys) else np.zeros(0, np.int64)
+        for part in pieces(batch.take(pa.array(once)), "text"):
+            values, cuts = shingle_sets(*flat(part.column("text")))
+            columns = [*(part.column(c) for c in ("a", "part", "b")), pa.array(_bytes(values, cuts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "part", "b", "shingles"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with 0.8; in each part of a star the hub's own row comes first."""
+    hub = np.zeros(0, np.uint64)
     for batch in batches:
         keep = []
-        for one, two in zip(batch.column("shingles_a"), batch.column("shingles_b")):
-            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= 80 * (len(a) + len(b) - both))
+        for a, b, shingles in zip(batch.column("a").to_numpy(), batch.column("b").to_numpy(), batch.column("shingles")):
+            own = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if a == b:
+                hub = own.copy()
+                keep.append(False)
+                continue
+            both = len(np.intersect1d(hub, own, assume_unique=True))
+            keep.append(100 * both >= 80 * (len(hub) + len(own) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def links(pairs: DataFrame, listed: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) that estimate and full sets confirm."""
+def _room() -> Column:
+    """Whether the bits of two sketches leave room for an estimate that passes."""
+    def shared(one: str, two: str) -> Column:
+        alone = [F.bit_count(F.col(f"{c}_{one}").bitwiseAND(F.bitwise_not(f"{c}_{two}"))) for c in _BIT_COLUMNS]
+        return F.least(F.col(f"n_{one}"), F.lit(K)) - sum(alone[1:], alone[0])
+
+    most = F.least(shared("a", "b"), shared("b", "a"))
+    exact = K * most >= OVERLAP * (F.col("n_a") + F.col("n_b") - most)
+    return F.when(F.greatest("n_a", "n_b") <= K, exact).otherwise(most >= OVERLAP)
+
+
+def links(pairs: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) that bits, estimate and full sets confirm."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return listed.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    drawn = pairs.join(side("a", "sketch", "n"), "a").join(side("b", "sketch", "n"), "b")
+    near = pairs.join(side("a", "n", *_BIT_COLUMNS), "a").join(side("b", "n", *_BIT_COLUMNS), "b").filter(_room())
+    near = cut_lineage(near.select("a", "b", "n_a", "n_b"))
+    drawn = near.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
     passed = cut_lineage(drawn.mapInArrow(_estimated, "a long, b long"))
-    full = passed.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    return cut_lineage(full.mapInArrow(_confirmed, "a long, b long"))
+    # Parts of a star hold about as much each, and the hub goes to all of them.
+    known = passed.join(side("b", "n", "row"), "b")
+    stars_ = known.groupBy("a").agg(F.ceil(F.sum("n_b") / STAR).cast("int").alias("parts"))
+    partners = known.join(stars_, "a").select(
+        F.col("row_b").alias("row"), "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), "b"
+    )
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    hubs = stars_.join(side("a", "row"), "a").select(F.col("row_a").alias("row"), "a", parts, F.col("a").alias("b"))
+    asked = _texts(documents, partners.union(hubs)).select("a", "part", "b", "text")
+    full = asked.mapInArrow(_sets_of, "a long, part int, b long, shingles binary").repartition("a", "part")
+    full = full.sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+    return cut_lineage(full.mapInArrow(_confirmed, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,13 +349,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def stars(entries: DataFrame) -> DataFrame:
-    """Step 3: every node of a list with the list's least."""
-    hubs = entries.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    pairs = entries.join(hubs, "value").filter("node <> a")
+    """Step 3: every node of a list with the list's least, if their sizes allow a link."""
+    hubs = entries.groupBy("value").agg(
+        F.min("node").alias("a"), F.min_by("n", "node").alias("n_a"), F.count("*").alias("members")
+    )
+    pairs = entries.join(hubs.filter("members > 1"), "value").filter("node <> a")
+    pairs = pairs.filter(5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
-def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
     """Step 4: pairs of nodes of different components that a star did not compare."""
     known = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lists = known.groupBy("value").agg(
@@ -290,7 +366,7 @@ def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame
     )
     open_ = cut_lineage(known.join(lists.filter("least <> most").select("value", "members"), "value"))
     small = _cross(open_.filter(F.col("members") <= SMALL), 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"), "n")
-    return small.union(_exact(open_.filter(F.col("members") > SMALL), listed)).distinct()
+    return small.union(_exact(open_.filter(F.col("members") > SMALL), listed, documents)).distinct()
 
 
 def _cross(entries: DataFrame, room, *columns: str) -> DataFrame:
@@ -303,19 +379,21 @@ def _cross(entries: DataFrame, room, *columns: str) -> DataFrame:
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def _exact(crowded: DataFrame, listed: DataFrame) -> DataFrame:
+def _exact(crowded: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
     """Pairs among the nodes of crowded lists, by a prefix filter on their full sets."""
     members = crowded.select("node", "label").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")], np.int64)
-            values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")] or [np.zeros(0, np.int64)])
-            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            columns = [*(batch.column(c).take(at) for c in ("node", "label", "n")), pa.array(values)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "value"])
+            for part in pieces(batch, "text"):
+                values, cuts = shingle_sets(*flat(part.column("text")))
+                at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(cuts)))
+                columns = [*(part.column(c).take(at) for c in ("node", "label", "n")), pa.array(values.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "value"])
 
-    full = members.join(listed.select("node", "n", "shingles"), "node").select("node", "label", "n", "shingles")
+    asked = members.join(listed.select("node", "row", "n"), "node").select("row", "node", "label", "n")
+    # Rows alike in doc_id and text would count their values twice.
+    full = _texts(documents, asked).dropDuplicates(["node"]).select("node", "label", "n", "text")
     values = cut_lineage(full.mapInArrow(spread, "node long, label long, n int, value long"))
     counts = values.groupBy("value").agg(F.count("*").alias("count")).filter("count > 1")
     shared = values.join(counts, "value")
@@ -362,8 +440,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = cut_lineage(filled.groupBy("node").agg(first.alias("one")))
     listed = cut_lineage(listed_nodes(documents, nodes.select("one.block", "one.row", "node")))
     entries = listed.select("node", "n", F.explode("listed").alias("value"))
-    found = links(stars(entries), listed)
-    found = found.union(links(_rest(entries, listed, components(found)), listed))
+    found = links(stars(entries), listed, documents)
+    found = found.union(links(_rest(entries, listed, components(found), documents), listed, documents))
     labels = components(found)
     named = nodes.join(labels, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.struct("one.no", "one.doc_id", "one.row").alias("one")
