@@ -15,7 +15,10 @@
    their union estimates ``PASS`` or more, which is ``OVERLAP`` of ``K``, and link if the full
    sets confirm 0.8. Links make components. One pair of larger sets is lost
    with a chance below 1e-8 (binomial of 128 at 0.8, below 75), by step 2 and 3 together.
-4. Lists that still hold several components pair the nodes of different ones, if they have at
+4. In lists that still hold several components all nodes are paired with up to ``HUBS`` others,
+   the least by as many hashes, as in step 3: this joins most of a large group whose nodes are
+   too far from its least one.
+   Lists that hold several components even then pair the nodes of different ones, if they have at
    most ``SMALL`` members. For the members of larger ones the exact way is a prefix filter on
    full sets: listed under the rarest fifth of their shingles, and paired only where sizes and
    positions, and the numbers of shared values in each part of the hash range, leave room for
@@ -56,6 +59,8 @@ K = 128
 OVERLAP = 75
 PASS = OVERLAP / K
 SMALL = 64
+#: Nodes of a list that all of its nodes are compared with before any two are.
+HUBS = 8
 #: Words of 64 bits that bound what two sketches share.
 BITS = 8
 #: Shingles of a star's nodes that one part of it has, about.
@@ -358,9 +363,28 @@ def stars(entries: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def more_stars(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Step 4: nodes of lists with several components, with some of their list that other components hold."""
+    known = cut_lineage(_labelled(entries, labels))
+    picks = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)]
+    lists = known.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), *(
+        pick.alias(f"hub{i}") for i, pick in enumerate(picks)
+    ))
+    hubs = F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS))))
+    lists = lists.filter("least <> most").select("value", hubs.alias("hubs"))
+    drawn = known.join(lists, "value").select("node", "label", "n", F.explode("hubs").alias("a")).distinct()
+    hub = known.select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")).distinct()
+    pairs = drawn.join(hub, "a").filter("label <> label_a and 5 * least(n, n_a) >= 4 * greatest(n, n_a)")
+    return pairs.select("a", F.col("node").alias("b"))
+
+
 def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
-    """Step 4: pairs of nodes of different components that a star did not compare."""
-    known = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Step 4: pairs of nodes of components that the stars left apart."""
+    known = _labelled(entries, labels)
     lists = known.groupBy("value").agg(
         F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most")
     )
@@ -441,6 +465,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     listed = cut_lineage(listed_nodes(documents, nodes.select("one.block", "one.row", "node")))
     entries = listed.select("node", "n", F.explode("listed").alias("value"))
     found = links(stars(entries), listed, documents)
+    found = found.union(links(more_stars(entries, components(found)), listed, documents))
     found = found.union(links(_rest(entries, listed, components(found), documents), listed, documents))
     labels = components(found)
     named = nodes.join(labels, "node", "left").select(

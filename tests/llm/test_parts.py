@@ -233,3 +233,18 @@ def test_splitters_meet_their_goals(spark):
     whole = sum(r[2] for r in rows)
     for i, cut in enumerate(cuts, 1):
         assert abs(sum(r[2] for r in rows if r[:2] < cut) - whole * i // 8) <= 60
+
+
+def test_bits_of_sketches_bound_what_they_share():
+    rng = np.random.default_rng(5)
+    pool = np.sort(rng.choice(np.iinfo(np.int64).max, 400, replace=False).astype(np.uint64))
+    pool = np.sort(minhash.mix(pool))
+    for size, both in ((128, 0), (128, 75), (128, 128), (40, 35), (1, 1)):
+        one, two = pool[:size], pool[size - both : 2 * size - both]
+        owner = np.repeat([0, 1], size)
+        a, b = minhash.sketch_bits(np.concatenate([one, two]), owner, 2)
+        assert a.shape == (minhash.BITS,)
+        alone = max(int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum()))
+        assert size - alone >= both
+        if size == 128 and not both:  # texts that share nothing have no room
+            assert size - alone < minhash.OVERLAP
