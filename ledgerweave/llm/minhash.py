@@ -24,7 +24,7 @@
    positions, and the numbers of shared values in each part of the hash range, leave room for
    the overlap that 0.8 takes. Nodes that no partner's size leaves
    room for are taken out of a list before it is joined. No list is capped.
-5. All links together make the components.
+5. Links make the components; those of later steps only join components of earlier ones.
 
 Copies are one node, a group of near copies is a star per value, and joins have plain shuffles
 on both sides, which AQE splits at hot keys. Full sets are kept nowhere: those of pairs that
@@ -317,7 +317,7 @@ def links(pairs: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFram
         return listed.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     near = pairs.join(side("a", "n", *_BIT_COLUMNS), "a").join(side("b", "n", *_BIT_COLUMNS), "b").filter(_room())
-    near = cut_lineage(near.select("a", "b", "n_a", "n_b"))
+    near = near.select("a", "b", "n_a", "n_b")
     drawn = near.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
     passed = cut_lineage(drawn.mapInArrow(_estimated, "a long, b long"))
     # Parts of a star hold about as much each, and the hub goes to all of them.
@@ -334,6 +334,24 @@ def links(pairs: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFram
     return cut_lineage(full.mapInArrow(_confirmed, "a long, b long").distinct())
 
 
+def joined(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """``components`` of the edges and of those that ``known`` labels, by the edges between its components."""
+
+    def ends(name: str) -> DataFrame:
+        return known.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
+
+    named = edges.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    between = cut_lineage(named.filter("a <> b").distinct())
+    if between.isEmpty():
+        return known
+    # A label is the least node of its component, so the least label is the least node of what they make.
+    labels = components(between)
+    after = labels.select(F.col("node").alias("label"), F.col("label").alias("after"))
+    moved = known.join(after, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
+    return cut_lineage(moved.union(labels.join(known, "node", "left_anti")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the least node that each linked node reaches."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
@@ -382,7 +400,7 @@ def more_stars(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b"))
 
 
-def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+def _rest(entries: DataFrame, labels: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
     """Step 4: pairs of nodes of components that the stars left apart."""
     known = _labelled(entries, labels)
     lists = known.groupBy("value").agg(
@@ -390,7 +408,10 @@ def _rest(entries: DataFrame, listed: DataFrame, labels: DataFrame, documents: D
     )
     open_ = cut_lineage(known.join(lists.filter("least <> most").select("value", "members"), "value"))
     small = _cross(open_.filter(F.col("members") <= SMALL), 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"), "n")
-    return small.union(_exact(open_.filter(F.col("members") > SMALL), listed, documents)).distinct()
+    crowded = open_.filter(F.col("members") > SMALL)
+    if crowded.isEmpty():
+        return small.distinct()
+    return small.union(_exact(crowded, listed, documents)).distinct()
 
 
 def _cross(entries: DataFrame, room, *columns: str) -> DataFrame:
@@ -464,10 +485,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = cut_lineage(filled.groupBy("node").agg(first.alias("one")))
     listed = cut_lineage(listed_nodes(documents, nodes.select("one.block", "one.row", "node")))
     entries = listed.select("node", "n", F.explode("listed").alias("value"))
-    found = links(stars(entries), listed, documents)
-    found = found.union(links(more_stars(entries, components(found)), listed, documents))
-    found = found.union(links(_rest(entries, listed, components(found), documents), listed, documents))
-    labels = components(found)
+    labels = components(links(stars(entries), listed, documents))
+    for pairs_of in (more_stars, lambda *known: _rest(*known, listed, documents)):
+        pairs = cut_lineage(pairs_of(entries, labels))
+        if not pairs.isEmpty():
+            labels = joined(links(pairs, listed, documents), labels)
     named = nodes.join(labels, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.struct("one.no", "one.doc_id", "one.row").alias("one")
     )
