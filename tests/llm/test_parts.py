@@ -248,3 +248,60 @@ def test_bits_of_sketches_bound_what_they_share():
         assert size - alone >= both
         if size == 128 and not both:  # texts that share nothing have no room
             assert size - alone < minhash.OVERLAP
+
+
+def test_pieces_forgotten_are_encoded_again(monkeypatch):
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    ranks = bpe.read_ranks(bpe.default_path())
+    own = bpe.Codec(ranks)
+    theirs = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=own.ids, special_tokens={})
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcxyzé中") for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    for _ in range(30):
+        text = " ".join([*rng.choices(words, k=25), *words[:5]])
+        data = text.encode()
+        tokens, cuts = own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert tokens.tolist() == theirs.encode_ordinary(text)
+        assert own.decode(tokens, cuts) == [data]
+        assert len(own.known) <= 40 and len(own.older) <= 40
+
+
+def test_components_of_later_links(spark):
+    rng = random.Random(4)
+
+    def least(edges):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            one, two = sorted((root(a), root(b)))
+            up[two] = one
+        return {x: root(x) for x in up}
+
+    def labels(df):
+        rows = [tuple(r) for r in df.select("node", "label").collect()]
+        assert len(rows) == len(dict(rows))
+        return dict(rows)
+
+    def table(edges):
+        return spark.createDataFrame(edges, "a long, b long")
+
+    first = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(25)]
+    second = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(20)]
+    first, second = ([(a, b) for a, b in edges if a != b] for edges in (first, second))
+    known = minhash.components(table(first))
+    assert labels(known) == least(first)
+    assert labels(minhash.joined(table(second), known)) == least(first + second)
+    # Links inside components, and none at all, change nothing.
+    inside = [(x, y) for x, y in least(first).items() if x != y]
+    assert labels(minhash.joined(table(inside), known)) == least(first)
+    assert labels(minhash.joined(table([]), known)) == least(first)
+    # From no component at all.
+    assert labels(minhash.joined(table(second), minhash.components(table([])))) == least(second)
