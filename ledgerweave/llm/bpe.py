@@ -7,8 +7,8 @@ table, takes each piece's leftmost pair of minimum rank, contracts it, and goes
 pieces that had a pair until none has. A text's ids are those of its pieces in order. Decoding joins ids to the
 vocabulary and aggregates the bytes of a text in the order of positions.
 
-Only distinct pieces of a run are encoded, and up to ``KEPT`` of them are remembered; the rows
-in DuckDB are bounded by the run. There is no shuffle. The vocabulary's bytes travel with the
+Only distinct pieces of a run are encoded, and about ``KEPT`` of them are remembered, those
+asked for lately; the rows in DuckDB are bounded by the run. There is no shuffle. The vocabulary's bytes travel with the
 job (under 1 MB), so executors need no file of the driver's.
 
 Defined results: null text is an empty one, which has no tokens; a text of any length is
@@ -34,8 +34,8 @@ from ledgerweave.llm.arrays import block_hashes, expand, flat, pieces
 from ledgerweave.llm.pretokens import split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces a worker remembers.
-KEPT = 120_000
+#: Pieces a worker remembers, some 100 MB of them.
+KEPT = 400_000
 #: Merges that one recursive query makes of a piece at most; longer pieces take several queries.
 STEPS = 48
 
@@ -74,6 +74,7 @@ class Codec:
             base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)
         }
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         merges = []
         for token, rank in self.ids.items():
@@ -96,6 +97,8 @@ class Codec:
         new = []
         for i, text in enumerate(texts):
             found = self.known.get(text)
+            if found is None and (found := self.older.get(text)) is not None:
+                self.known[text] = found
             if found is not None:
                 out[i] = np.frombuffer(found, np.uint32)
                 continue
@@ -108,11 +111,12 @@ class Codec:
             buf = np.frombuffer(b"".join(texts[i] for i in new), np.uint8)
             lengths = np.array([len(texts[i]) for i in new], np.int64)
             done = self._contract(np.repeat(np.arange(len(new)), lengths), self.single[buf])
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
+            if len(self.known) + len(new) > KEPT // 2:
+                # What was not asked for since the last such change is forgotten.
+                self.known, self.older = {}, self.known
             for i, ids in zip(new, done):
                 out[i] = ids
-                if len(texts[i]) < 64 and len(self.known) < KEPT:
+                if len(texts[i]) < 64 and len(self.known) < KEPT // 2:
                     self.known[texts[i]] = ids.tobytes()
         return out
 
