@@ -37,11 +37,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
+    high = x >> np.uint64(33)
+    x ^= high
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=high)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=high)
     return x
 
 
@@ -97,7 +98,10 @@ def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Sums of a polynomial in the bytes, modulo 2**64, from which ``segment_hashes`` reads."""
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _tables(len(buf))[0], out=sums[1:])
+    terms = buf.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _tables(len(buf))[0]
+    np.cumsum(terms, out=sums[1:])
     return sums
 
 
@@ -111,6 +115,15 @@ def segment_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(buf: np.ndarray, m: int) -> np.ndarray:
+    """``segment_hashes`` of every stretch of ``m`` units, in order, without looking one of them up."""
+    sums = prefix_sums(buf)
+    value = sums[m:] - sums[:-m]
+    value *= _tables(len(sums))[1][: len(value)]
+    value += np.uint64(m * 0xD6E8FEB86659FD93 % (1 << 64))
+    return mix(value)
+
+
 #: Longer segments are hashed one by one by the standard library.
 LONG = 256
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerweave.llm.arrays import block_hashes, expand, flat, prefix_sums, segment_hashes
+from ledgerweave.llm.arrays import block_hashes, expand, flat, gram_hashes
 from ledgerweave.llm.repeats import marked, repeated
 
 WINDOW = 50
@@ -33,19 +33,20 @@ TRIGGER = 8
 PHRASE = 24
 
 
-def _ranked(key: np.ndarray) -> np.ndarray:
-    """Ranks from 1; equal keys share one."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, in it the first place of each one's equals, and whether it has others."""
     order = np.argsort(key)
     ordered = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]])
-    return rank
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    size = np.diff(np.append(start, len(key)))
+    return order, np.repeat(start, size), np.repeat(size > 1, size)
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of all suffixes by their first ``depth`` symbols; equal ones share a rank.
 
-    A negative symbol ends a string: what stands behind it is not compared.
+    A negative symbol ends a string: what stands behind it is not compared. A rank is the first
+    place of its equals, so each round sorts only the suffixes that are still tied.
     """
     n = len(text)
     if not n:
@@ -60,14 +61,24 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         for k in range(8):
             packed <<= np.uint64(8)
             packed[: n - k] |= np.where(reach[: n - k] > k, symbols[k:], 0).astype(np.uint64)
-        rank = _ranked(packed)
-    else:
-        rank = _ranked(symbols)
-    while width < depth:
-        key = rank * (n + 2)
-        longer = np.flatnonzero(reach[: n - width] > width) if width < n else np.zeros(0, np.int64)
-        key[longer] += rank[longer + width]
-        rank = _ranked(key)
+        symbols = packed
+    order, place, tied = _ranked(symbols)
+    rank = np.empty(n, np.int64)
+    rank[order] = place + 1
+    order = order[tied]
+    while width < depth and len(order):
+        if text[-1] < 0:  # equals that reach their end within the width stay equal
+            order = order[reach[order] > width]
+        old = rank[order]
+        further = order + width
+        longer = np.flatnonzero((reach[order] > width) & (further < n))
+        key = old * (n + 2)
+        key[longer] += rank[further[longer]]
+        by, place, tied = _ranked(key)
+        order, old = order[by], old[by]
+        first = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
+        rank[order] = old + place - np.repeat(first, np.diff(np.append(first, len(old))))
+        order = order[tied]
         width *= 2
     return rank
 
@@ -77,9 +88,7 @@ def parse(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n = len(text)
     triggers = np.zeros(0, np.int64)
     if n >= TRIGGER:
-        first = np.arange(n - TRIGGER + 1)
-        rolled = segment_hashes(prefix_sums(text), first, first + TRIGGER)
-        triggers = first[rolled % np.uint64(PHRASE) == 0]
+        triggers = np.flatnonzero(gram_hashes(text, TRIGGER) % np.uint64(PHRASE) == 0)
         run = np.searchsorted(cuts, triggers, "right") - 1
         # Within a run, and neither its first bytes nor its last.
         triggers = triggers[(triggers + TRIGGER < cuts[run + 1]) & (triggers > cuts[run])]
@@ -112,7 +121,9 @@ def corpus_order(text: np.ndarray, cuts: np.ndarray, depth: int, at: np.ndarray)
     whole[place] = in_dictionary[begin[phrase]]
     in_parse = suffix_ranks(whole, depth)
     # A position belongs to the last phrase that starts at or before it.
-    own = np.searchsorted(starts, at, "right") - 1
+    begins = np.zeros(len(text), np.int64)
+    begins[starts] = 1
+    own = np.cumsum(begins)[at] - 1
     inner = in_dictionary[begin[phrase[own]] + at - starts[own]]
     return at[np.argsort(inner * (len(whole) + 2) + in_parse[place[own] + 1])]
 
@@ -134,7 +145,9 @@ def least_documents(units: np.ndarray, cuts: np.ndarray, docs: np.ndarray, windo
     owner = np.repeat(docs, lengths - window + 1)
     order = corpus_order(units, cuts, window, at)
     fresh = np.r_[True, ~equal_windows(units, order[:-1], order[1:], window)]
-    place = np.searchsorted(at, order)
+    spot = np.empty(len(units), np.int64)
+    spot[at] = np.arange(len(at))
+    place = spot[order]
     least = np.minimum.reduceat(owner[place], np.flatnonzero(fresh))
     out = np.empty(len(at), np.int64)
     out[place] = least[np.cumsum(fresh) - 1]

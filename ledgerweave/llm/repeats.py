@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import block_hashes, expand, flat, mix, pieces, prefix_sums, segment_hashes
+from ledgerweave.llm.arrays import block_hashes, expand, flat, gram_hashes, mix, pieces
 
 #: doc_id of rows that have none: after every other.
 NO_ID = np.iinfo(np.int64).max
@@ -95,19 +95,19 @@ class Runs:
         n = len(units)
         stop = np.repeat(cuts[1:], np.diff(cuts))
         at = np.flatnonzero(np.arange(n) + k <= stop)  # where windows start
-        grams = np.zeros(n, np.uint64)
-        if n >= m:
-            first = np.arange(n - m + 1)
-            grams[: n - m + 1] = segment_hashes(prefix_sums(units), first, first + m)
-        least, width, want = grams, 1, k - m + 1
-        while width < want:  # least of ever wider stretches
-            more = min(width, want - width)
-            wider = least.copy()
-            np.minimum(least[: n - more], least[more:], out=wider[: max(0, n - more)])
-            least, width = wider, width + more
+        least, width, want = np.zeros(0, np.uint64), 1, k - m + 1
+        if len(at):
+            least = gram_hashes(units, m)
+            spare = np.empty_like(least)
+            while width < want:  # least of ever wider stretches
+                more = min(width, want - width)
+                wider = spare[: len(least) - more]
+                np.minimum(least[:-more], least[more:], out=wider)
+                least, spare, width = wider, least, width + more
         anchors = least[at]
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1) | (stop[at[1:]] != stop[at[:-1]])
+        stop = stop[at]
+        fresh[1:] = (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1) | (stop[1:] != stop[:-1])
         begin = np.flatnonzero(fresh)
         self.anchor = anchors[begin]
         self.start = at[begin]
@@ -115,8 +115,8 @@ class Runs:
         self.text = np.searchsorted(cuts, self.start, "right") - 1
         self.end = self.start + self.windows + k - 1
 
-    def hashes(self) -> np.ndarray:
-        return block_hashes(self.units, self.start, self.end)
+    def hashes(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return block_hashes(self.units, self.start[which], self.end[which])
 
 
 def shard_of(anchors: np.ndarray, shards: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def _send(units: Units, k: int, m: int, shards: int):
         for place, found, _, runs in _walk(table, units, k, m):
             at = np.minimum(np.searchsorted(wanted, runs.anchor), len(wanted) - 1)
             hit = np.flatnonzero(wanted[at] == runs.anchor)
-            hashes = runs.hashes()[hit]
+            hashes = runs.hashes(hit)
             _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             doc = ids[place[runs.text[hit]]]
             least = np.full(len(first), NO_ID)

@@ -9,7 +9,7 @@ import pytest
 import regex
 
 from ledgerweave.llm import bpe, fm_substrings, minhash, pfp_substrings, pretokens, quality, sharding, toxicity
-from ledgerweave.llm.arrays import flat, pieces, prefix_sums, segment_hashes, words_of
+from ledgerweave.llm.arrays import flat, gram_hashes, pieces, prefix_sums, segment_hashes, words_of
 from ledgerweave.llm.exact_dedup import FuseFilter
 
 
@@ -305,3 +305,31 @@ def test_components_of_later_links(spark):
     assert labels(minhash.joined(table([]), known)) == least(first)
     # From no component at all.
     assert labels(minhash.joined(table(second), minhash.components(table([])))) == least(second)
+
+
+def test_rounds_of_suffix_ranks_sort_tied_suffixes_alone(monkeypatch):
+    draw = np.random.default_rng(5)
+    sorted_at_once = []
+    ranked = pfp_substrings._ranked
+    monkeypatch.setattr(pfp_substrings, "_ranked", lambda key: sorted_at_once.append(len(key)) or ranked(key))
+    for high in (2, 3, 300):
+        text = draw.integers(0, high, 400)
+        text[draw.integers(0, 400, 9)] = -1
+        text[-1] = -1
+        sorted_at_once.clear()
+        ranks = pfp_substrings.suffix_ranks(text, 50)
+        keys = []
+        for i in range(400):
+            own = text[i : i + 64].tolist()
+            keys.append(own[: own.index(-1) + 1] if -1 in own else own)
+        places = {tuple(k): i for i, k in enumerate(sorted(keys), 1)}
+        first = {k: i - sum(tuple(x) == k for x in keys) + 1 for k, i in places.items()}
+        assert ranks.tolist() == [first[tuple(k)] for k in keys]
+        assert sorted_at_once[0] == 400 and sum(sorted_at_once[1:]) < 400
+
+
+def test_hashes_of_all_grams():
+    buf = np.random.default_rng(6).integers(0, 256, 300).astype(np.uint8)
+    for m in (1, 8, 20, 300):
+        first = np.arange(len(buf) - m + 1)
+        assert gram_hashes(buf, m).tolist() == segment_hashes(prefix_sums(buf), first, first + m).tolist()
