@@ -11,9 +11,10 @@
    Values no other sketch has list nobody, which leaves out most nodes here.
 3. In each inverted list all nodes are paired with the least one, if their sizes allow 0.8: a
    star, not all pairs. Pairs go on if ``BITS`` words of bits per sketch leave room for enough
-   shared values (a bit that one sketch alone has is a value of its own), pass if the sketch of
-   their union estimates ``PASS`` or more, which is ``OVERLAP`` of ``K``, and link if the full
-   sets confirm 0.8. Links make components. One pair of larger sets is lost
+   shared values (a bit that one sketch alone has is a value of its own). Where their full sets
+   meet, which begin with the sketches, they pass if the sketch of their union estimates
+   ``PASS`` or more, which is ``OVERLAP`` of ``K``, and link if the sets confirm 0.8. Links
+   make components. One pair of larger sets is lost
    with a chance below 1e-8 (binomial of 128 at 0.8, below 75), by step 2 and 3 together.
 4. In lists that still hold several components all nodes are paired with up to ``HUBS`` others,
    the least by as many hashes, as in step 3: this joins most of a large group whose nodes are
@@ -24,11 +25,12 @@
    positions, and the numbers of shared values in each part of the hash range, leave room for
    the overlap that 0.8 takes. Nodes that no partner's size leaves
    room for are taken out of a list before it is joined. No list is capped.
-5. Links make the components; those of later steps only join components of earlier ones.
+5. Links make the components; those of later steps only join components of earlier ones. Each
+   task first makes the components of up to ``EDGES`` edges; if one task held all, they are final.
 
 Copies are one node, a group of near copies is a star per value, and joins have plain shuffles
-on both sides, which AQE splits at hot keys. Full sets are kept nowhere: those of pairs that
-passed are made from their texts again and travel once per pair, and a hub's once per part of its
+on both sides, which AQE splits at hot keys. Sketches and full sets are kept nowhere: those of
+pairs that bits leave are made from their texts again and travel once per pair, a hub's once per part of its
 star, to be met by its partners one after another. The rows that ask for texts are broadcast up
 to ``ASKED`` of them by count; more are joined by a shuffle. Otherwise texts move once, into
 blocks; counts per value come from blocks, so a value in every text is as many rows as there are
@@ -52,7 +54,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import block_hashes, flat, mix, pieces, words_of
 from ledgerweave.llm.repeats import _bytes, _read, blocks_of, one_of_each, packed, row_hash, shard_of
-from ledgerweave.session import cut_lineage
+from ledgerweave.session import stored
 
 K = 128
 #: Shared values among the K least of a linked pair's union, at least: mean 102.4, deviation 4.5.
@@ -69,6 +71,10 @@ STAR = 1 << 20
 ASKED = 500_000
 #: Parts of the hash range (a power of two) by which the exact way bounds an overlap.
 PARTS = 32
+#: Edges whose components one task makes at most; more are made by rounds of joins.
+EDGES = 1_000_000
+#: Share of the entries that a round of the exact way has to leave out for another one.
+WORTH = 0.1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -184,7 +190,7 @@ def least_overlap(size: np.ndarray) -> np.ndarray:
 
 
 _BIT_COLUMNS = [f"bits{i}" for i in range(BITS)]
-LISTED = ", ".join(["node long", "row long", "n int", "listed array<long>", "sketch binary", *(f"{c} long" for c in _BIT_COLUMNS)])
+LISTED = ", ".join(["node long", "row long", "n int", "listed array<long>", *(f"{c} long" for c in _BIT_COLUMNS)])
 
 
 def sketch_bits(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -196,7 +202,7 @@ def sketch_bits(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _list(table: pa.Table, right: pa.Table) -> pa.Table:
-    """Nodes of a block that other nodes' lists may hold, with their rare values and their sketches."""
+    """Nodes of a block that other nodes' lists may hold, with their rare values and the bits of their sketches."""
     own = right.filter(pa.compute.is_valid(right.column("row")))
     rows = own.column("row").to_numpy()
     order = np.argsort(rows, kind="stable")
@@ -205,7 +211,7 @@ def _list(table: pa.Table, right: pa.Table) -> pa.Table:
     totals, _ = _read(right.column("counts"), np.int64)
     by = np.argsort(known, kind="stable")
     known, totals = known[by], totals[by]
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], []]
     bits = [np.zeros((0, BITS), np.uint64)]
     place = 0
     for part in pieces(_chosen(table, rows[order])[0], "text") if len(rows) and len(known) else ():
@@ -228,10 +234,9 @@ def _list(table: pa.Table, right: pa.Table) -> pa.Table:
             out[1].append(int(rows[order[place + i]]))
             out[2].append(int(size[i]))
             out[3].append(sketch[listed[ends[i] : ends[i + 1]]].view(np.int64).tolist())
-            out[4].append(sketch[edge[i] : edge[i + 1]].tobytes())
         place += part.num_rows
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-    names = ("node", "row", "n", "listed", "sketch")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    names = ("node", "row", "n", "listed")
     found = {c: pa.array(v, k) for c, v, k in zip(names, out, kinds)}
     words = np.concatenate(bits).view(np.int64)
     return pa.table(found | {c: pa.array(words[:, i].copy()) for i, c in enumerate(_BIT_COLUMNS)})
@@ -257,17 +262,9 @@ def estimate(one: bytes, two: bytes, n: int, m: int) -> float:
     return float((times == 2).sum() / len(times))
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
-        keep = [estimate(*x) >= PASS for x in zip(*columns)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _texts(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of ``asked`` with the ``text`` of their ``row``."""
-    asked = cut_lineage(asked)
-    if asked.count() <= ASKED:
+def _texts(documents: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """Rows of ``asked``, of which there are ``most`` at most, with the ``text`` of their ``row``."""
+    if most <= ASKED:
         asked = F.broadcast(asked)
     return blocks_of(documents).select("row", "text").join(asked, "row")
 
@@ -284,7 +281,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with 0.8; in each part of a star the hub's own row comes first."""
+    """Pairs with 0.8 whose sketches pass; in each part of a star the hub's own row comes first."""
     hub = np.zeros(0, np.uint64)
     for batch in batches:
         keep = []
@@ -294,6 +291,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hub = own.copy()
                 keep.append(False)
                 continue
+            # A set is in rising order, so its sketch comes first in it.
+            if estimate(hub[:K].tobytes(), own[:K].tobytes(), len(hub), len(own)) < PASS:
+                keep.append(False)
+                continue
             both = len(np.intersect1d(hub, own, assume_unique=True))
             keep.append(100 * both >= 80 * (len(hub) + len(own) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -311,52 +312,76 @@ def _room() -> Column:
 
 
 def links(pairs: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) that bits, estimate and full sets confirm."""
+    """The pairs (``a``, ``b``) that bits, estimate and full sets confirm; some may come twice."""
 
-    def side(name: str, *columns: str) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        columns = ("n", "row", *_BIT_COLUMNS)
         return listed.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    near = pairs.join(side("a", "n", *_BIT_COLUMNS), "a").join(side("b", "n", *_BIT_COLUMNS), "b").filter(_room())
-    near = near.select("a", "b", "n_a", "n_b")
-    drawn = near.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
-    passed = cut_lineage(drawn.mapInArrow(_estimated, "a long, b long"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_room())
+    near = stored(near.select("a", "b", "n_b", "row_a", "row_b"))
     # Parts of a star hold about as much each, and the hub goes to all of them.
-    known = passed.join(side("b", "n", "row"), "b")
-    stars_ = known.groupBy("a").agg(F.ceil(F.sum("n_b") / STAR).cast("int").alias("parts"))
-    partners = known.join(stars_, "a").select(
+    stars_ = near.groupBy("a").agg(F.min("row_a").alias("row"), F.ceil(F.sum("n_b") / STAR).cast("int").alias("parts"))
+    partners = near.join(stars_.select("a", "parts"), "a").select(
         F.col("row_b").alias("row"), "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), "b"
     )
     parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    hubs = stars_.join(side("a", "row"), "a").select(F.col("row_a").alias("row"), "a", parts, F.col("a").alias("b"))
-    asked = _texts(documents, partners.union(hubs)).select("a", "part", "b", "text")
+    hubs = stars_.select("row", "a", parts, F.col("a").alias("b"))
+    # A hub's row goes to each part: one, and one more per STAR shingles of its partners.
+    pairs_, shingles = near.agg(F.count("*"), F.coalesce(F.sum("n_b"), F.lit(0))).first()
+    most = 2 * pairs_ + shingles // STAR
+    asked = _texts(documents, partners.union(hubs), most).select("a", "part", "b", "text")
     full = asked.mapInArrow(_sets_of, "a long, part int, b long, shingles binary").repartition("a", "part")
     full = full.sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-    return cut_lineage(full.mapInArrow(_confirmed, "a long, b long").distinct())
+    return stored(full.mapInArrow(_confirmed, "a long, b long"))
 
 
 def joined(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """``components`` of the edges and of those that ``known`` labels, by the edges between its components."""
+    """``components`` of the edges and of those that ``known`` labels, if many by the edges between its components."""
+    if edges.count() + known.count() <= EDGES:
+        return components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).union(edges.select("a", "b")))
 
     def ends(name: str) -> DataFrame:
         return known.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
 
     named = edges.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
     named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    between = cut_lineage(named.filter("a <> b").distinct())
+    between = stored(named.filter("a <> b").distinct())
     if between.isEmpty():
         return known
     # A label is the least node of its component, so the least label is the least node of what they make.
     labels = components(between)
     after = labels.select(F.col("node").alias("label"), F.col("label").alias("after"))
     moved = known.join(after, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
-    return cut_lineage(moved.union(labels.join(known, "node", "left_anti")))
+    return stored(moved.union(labels.join(known, "node", "left_anti")))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a partition's edges, with the least node that it reaches by them."""
+    ends = [np.stack([batch.column(c).to_numpy() for c in ("a", "b")]) for batch in batches]
+    if not sum(e.shape[1] for e in ends):
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        # Labels are roots: each joins the least that an edge of its nodes has, then nodes follow.
+        one, two = label[a], label[b]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the least node that each linked node reaches."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = cut_lineage(both.union(both.select("other", "node")).distinct())
-    labels = cut_lineage(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")))
+    tasks = -(-edges.count() // EDGES)
+    forest = edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(_forest, "node long, label long")
+    if tasks <= 1:
+        return stored(forest)
+    both = forest.select("node", F.col("label").alias("other"))
+    both = stored(both.union(both.select("other", "node")).distinct())
+    labels = stored(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node")
         near = labels.join(seen.agg(F.min("label").alias("near")), "node")
@@ -364,7 +389,7 @@ def components(edges: DataFrame) -> DataFrame:
         # A label is a node, whose own label may be less.
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = near.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
-        after = cut_lineage(after)
+        after = stored(after)
         moved = after.filter("old <> label").limit(1).count()
         labels = after.select("node", "label")
         if not moved:
@@ -381,32 +406,32 @@ def stars(entries: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    known = listed.select("node", "n", "listed").join(labels, "node", "left")
+    return known.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("listed").alias("value"))
 
 
-def more_stars(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def more_stars(listed: DataFrame, labels: DataFrame) -> DataFrame:
     """Step 4: nodes of lists with several components, with some of their list that other components hold."""
-    known = cut_lineage(_labelled(entries, labels))
-    picks = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)]
+    known = _labelled(listed, labels)
+    picks = [F.min_by(F.struct("node", "label", "n"), F.xxhash64("node", F.lit(i))) for i in range(HUBS)]
     lists = known.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), *(
         pick.alias(f"hub{i}") for i, pick in enumerate(picks)
     ))
     hubs = F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS))))
     lists = lists.filter("least <> most").select("value", hubs.alias("hubs"))
-    drawn = known.join(lists, "value").select("node", "label", "n", F.explode("hubs").alias("a")).distinct()
-    hub = known.select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")).distinct()
-    pairs = drawn.join(hub, "a").filter("label <> label_a and 5 * least(n, n_a) >= 4 * greatest(n, n_a)")
-    return pairs.select("a", F.col("node").alias("b"))
+    drawn = known.join(lists, "value").select("node", "label", "n", F.explode("hubs").alias("hub"))
+    pairs = drawn.filter("label <> hub.label and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _rest(entries: DataFrame, labels: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFrame:
+def _rest(listed: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
     """Step 4: pairs of nodes of components that the stars left apart."""
-    known = _labelled(entries, labels)
+    known = _labelled(listed, labels)
     lists = known.groupBy("value").agg(
         F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most")
     )
-    open_ = cut_lineage(known.join(lists.filter("least <> most").select("value", "members"), "value"))
+    open_ = stored(known.join(lists.filter("least <> most").select("value", "members"), "value"))
     small = _cross(open_.filter(F.col("members") <= SMALL), 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"), "n")
     crowded = open_.filter(F.col("members") > SMALL)
     if crowded.isEmpty():
@@ -436,15 +461,15 @@ def _exact(crowded: DataFrame, listed: DataFrame, documents: DataFrame) -> DataF
                 columns = [*(part.column(c).take(at) for c in ("node", "label", "n")), pa.array(values.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "value"])
 
-    asked = members.join(listed.select("node", "row", "n"), "node").select("row", "node", "label", "n")
+    asked = stored(members.join(listed.select("node", "row", "n"), "node").select("row", "node", "label", "n"))
     # Rows alike in doc_id and text would count their values twice.
-    full = _texts(documents, asked).dropDuplicates(["node"]).select("node", "label", "n", "text")
-    values = cut_lineage(full.mapInArrow(spread, "node long, label long, n int, value long"))
+    full = _texts(documents, asked, asked.count()).dropDuplicates(["node"]).select("node", "label", "n", "text")
+    values = stored(full.mapInArrow(spread, "node long, label long, n int, value long"))
     counts = values.groupBy("value").agg(F.count("*").alias("count")).filter("count > 1")
     shared = values.join(counts, "value")
     # Shared values fall into the same parts, so the parts' lesser counts bound the overlap.
     part = F.col("value").bitwiseAND(F.lit(PARTS - 1))
-    whole = cut_lineage(
+    whole = stored(
         shared.groupBy("node", "label", "n").agg(
             F.sort_array(F.collect_list(F.struct("count", "value"))).alias("all"),
             F.array(*[F.count_if(part == p).cast("int") for p in range(PARTS)]).alias("parts"),
@@ -454,9 +479,10 @@ def _exact(crowded: DataFrame, listed: DataFrame, documents: DataFrame) -> DataF
     number = F.size("all")
     first = F.slice("all", F.lit(1), F.greatest(F.lit(0), number - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
     rare = whole.select("node", "label", "n", (F.col("n") - number).alias("own"), F.posexplode(first))
-    rare = cut_lineage(
+    rare = stored(
         rare.select("node", "label", "n", F.col("col.value").alias("value"), (F.col("own") + F.col("pos")).alias("at"))
     )
+    before = rare.count()
     while True:
         # Who has no room for the overlap even with the smallest of the others leaves a list.
         lists = rare.groupBy("value").agg(
@@ -464,10 +490,11 @@ def _exact(crowded: DataFrame, listed: DataFrame, documents: DataFrame) -> DataF
         )
         held = rare.join(lists.filter("least <> most"), "value")
         partner = F.greatest("smallest", F.ceil(F.col("n") * 4 / 5))
-        able = cut_lineage(held.filter(9 * (F.col("n") - F.col("at")) >= 4 * (F.col("n") + partner)).select(*rare.columns))
-        if able.count() == rare.count():
+        able = stored(held.filter(9 * (F.col("n") - F.col("at")) >= 4 * (F.col("n") + partner)).select(*rare.columns))
+        after = able.count()
+        if after >= (1 - WORTH) * before:
             break
-        rare = able
+        rare, before = able, after
     wanted = 4 * (F.col("n_a") + F.col("n_b"))
     room = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= wanted
     both = F.aggregate(F.zip_with("parts_a", "parts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
@@ -479,23 +506,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     ``kept`` is by doc_id, so several rows of a component can have it; ``keep_row`` is the hash of one.
     """
-    rows = cut_lineage(sets(documents))
+    rows = stored(sets(documents))
     filled = rows.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "block"))
-    nodes = cut_lineage(filled.groupBy("node").agg(first.alias("one")))
-    listed = cut_lineage(listed_nodes(documents, nodes.select("one.block", "one.row", "node")))
+    nodes = stored(filled.groupBy("node").agg(first.alias("one")))
+    listed = stored(listed_nodes(documents, nodes.select("one.block", "one.row", "node")))
     entries = listed.select("node", "n", F.explode("listed").alias("value"))
     labels = components(links(stars(entries), listed, documents))
-    for pairs_of in (more_stars, lambda *known: _rest(*known, listed, documents)):
-        pairs = cut_lineage(pairs_of(entries, labels))
+    for pairs_of in (more_stars, lambda *known: _rest(*known, documents)):
+        pairs = stored(pairs_of(listed, labels))
         if not pairs.isEmpty():
             labels = joined(links(pairs, listed, documents), labels)
     named = nodes.join(labels, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.struct("one.no", "one.doc_id", "one.row").alias("one")
     )
-    least = cut_lineage(named.groupBy("label").agg(F.min("one").alias("one")))
+    least = named.groupBy("label").agg(F.min("one").alias("one"))
     named = named.select("node", "label").join(least, "label")
-    named = cut_lineage(named.select("node", F.col("one.doc_id").alias("component_id"), F.col("one.row").alias("keep_row")))
+    named = stored(named.select("node", F.col("one.doc_id").alias("component_id"), F.col("one.row").alias("keep_row")))
     # Empty sets are linked with nothing.
     alone = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "keep_row": F.col("row")})
     whole = filled.join(named, "node").unionByName(alone)
@@ -520,7 +547,7 @@ def one_of_each_component(documents: DataFrame) -> DataFrame:
     """One row of each component, and all rows without shingles, with all their columns."""
     best = near_duplicates(documents).filter("row = keep_row").groupBy(F.col("row").alias("_stay"))
     several = (F.max("n_shingles") > 0) & (F.count("*") > 1)
-    return one_of_each(documents, cut_lineage(best.agg(several.alias("_one"))))
+    return one_of_each(documents, stored(best.agg(several.alias("_one"))))
 
 
 def op9_bottom_k_minhash(spark, sf_dir: str) -> DataFrame:

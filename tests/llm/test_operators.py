@@ -267,6 +267,20 @@ def test_crowded_lists_lose_no_link(spark, seed, monkeypatch):
     assert got(df, "doc_id", "n_shingles", "component_id", "kept") == expected(brute.near(docs))
 
 
+def test_near_copies_take_few_tasks(spark):
+    """Small steps count by their tasks: these take disk and the driver's memory, whatever the rows."""
+    context = spark.sparkContext
+    context.setJobGroup("near", "near copies")
+    try:
+        assert minhash.near_duplicates(table(spark, crowd(1, 70))).count() == 70
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(name, None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("near") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 180
+
+
 SAME = [
     *[(1, "one two three")] * 3,  # rows in full
     (1, "one  two three"),  # one doc_id, more code points

@@ -307,6 +307,34 @@ def test_components_of_later_links(spark):
     assert labels(minhash.joined(table(second), minhash.components(table([])))) == least(second)
 
 
+def test_components_of_more_edges_than_a_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "EDGES", 9)
+    test_components_of_later_links(spark)
+    chain = [(x + 1, x) for x in range(20)]
+    labels = minhash.components(spark.createDataFrame(chain, "a long, b long").repartition(4))
+    assert sorted(map(tuple, labels.collect())) == [(x, 0) for x in range(21)]
+
+
+def test_components_of_a_task():
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(x, 1000) for x in range(1001, 1500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], ["a", "b"]) for part in (edges[:99], edges[99:])]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += near[y]
+    (found,) = minhash._forest(iter(batches))
+    assert dict(zip(*(found.column(c).to_pylist() for c in ("node", "label")))) == want
+    assert list(minhash._forest(iter([]))) == []
+
+
 def test_rounds_of_suffix_ranks_sort_tied_suffixes_alone(monkeypatch):
     draw = np.random.default_rng(5)
     sorted_at_once = []
