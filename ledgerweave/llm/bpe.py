@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.arrays import block_hashes, expand, flat, pieces
+from ledgerweave.llm.arrays import block_hashes, expand, flat, lean, pieces
 from ledgerweave.llm.pretokens import split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -214,7 +214,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "tokens", "n_tokens"])
 
     schema = T.StructType([*rest.schema, T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    return rest.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return rest.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def decoded(encoding: DataFrame, path: str | None = None) -> DataFrame:
@@ -230,7 +230,7 @@ def decoded(encoding: DataFrame, path: str | None = None) -> DataFrame:
                 texts = own.decode(np.frombuffer(buf.tobytes(), "<u4"), offsets // 4)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField("decoded", T.BinaryType())]))
+    return rest.mapInArrow(lean(run), T.StructType([*rest.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -255,7 +255,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     rows = documents.select("doc_id", F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_duckdb_bpe(spark, sf_dir: str) -> DataFrame:

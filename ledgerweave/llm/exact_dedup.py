@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrays import mix
 from ledgerweave.llm.repeats import one_of_each, row_hash
-from ledgerweave.session import cut_lineage
+from ledgerweave.session import stored
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -185,11 +185,11 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     second comes in. No row is left out, and the split has no effect on the result.
     """
     buckets = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = cut_lineage(fingerprints(documents))
+    rows = stored(fingerprints(documents))
     old = F.xxhash64("doc_id") >= 0
-    snapshot = cut_lineage(_groups(rows.filter(old)))
-    incoming = cut_lineage(_groups(rows.filter(~old)))
-    groups = cut_lineage(merge(snapshot, incoming, buckets))
+    snapshot = stored(_groups(rows.filter(old)))
+    incoming = stored(_groups(rows.filter(~old)))
+    groups = stored(merge(snapshot, incoming, buckets))
     return rows.join(groups.drop("bytes"), "digest").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -204,7 +204,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of ``documents`` of each group, with all its columns, also if doc_ids repeat or are null."""
     best = exact_groups(documents).filter("row = keep_row").groupBy(F.col("row").alias("_stay"))
-    return one_of_each(documents, cut_lineage(best.agg((F.count("*") > 1).alias("_one"))))
+    return one_of_each(documents, stored(best.agg((F.count("*") > 1).alias("_one"))))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrays import block_hashes, flat, mix, pieces, words_of
+from ledgerweave.llm.arrays import block_hashes, flat, lean, mix, pieces, words_of
 from ledgerweave.llm.repeats import _bytes, _read, blocks_of, one_of_each, packed, row_hash, shard_of
 from ledgerweave.session import stored
 
@@ -118,7 +118,7 @@ def sets(documents: DataFrame) -> DataFrame:
                 columns += [pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "row", "doc_id", "n", "one", "two"])
 
-    made = blocks_of(documents).mapInArrow(run, "block int, row long, doc_id long, n long, one long, two long")
+    made = blocks_of(documents).mapInArrow(lean(run), "block int, row long, doc_id long, n long, one long, two long")
     return made.select("block", "row", "doc_id", "n", F.xxhash64("n", "one", "two").alias("node"))
 
 
@@ -331,9 +331,9 @@ def links(pairs: DataFrame, listed: DataFrame, documents: DataFrame) -> DataFram
     pairs_, shingles = near.agg(F.count("*"), F.coalesce(F.sum("n_b"), F.lit(0))).first()
     most = 2 * pairs_ + shingles // STAR
     asked = _texts(documents, partners.union(hubs), most).select("a", "part", "b", "text")
-    full = asked.mapInArrow(_sets_of, "a long, part int, b long, shingles binary").repartition("a", "part")
+    full = asked.mapInArrow(lean(_sets_of), "a long, part int, b long, shingles binary").repartition("a", "part")
     full = full.sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-    return stored(full.mapInArrow(_confirmed, "a long, b long"))
+    return stored(full.mapInArrow(lean(_confirmed), "a long, b long"))
 
 
 def joined(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the least node that each linked node reaches."""
     tasks = -(-edges.count() // EDGES)
-    forest = edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(_forest, "node long, label long")
+    forest = edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(lean(_forest), "node long, label long")
     if tasks <= 1:
         return stored(forest)
     both = forest.select("node", F.col("label").alias("other"))
@@ -464,7 +464,7 @@ def _exact(crowded: DataFrame, listed: DataFrame, documents: DataFrame) -> DataF
     asked = stored(members.join(listed.select("node", "row", "n"), "node").select("row", "node", "label", "n"))
     # Rows alike in doc_id and text would count their values twice.
     full = _texts(documents, asked, asked.count()).dropDuplicates(["node"]).select("node", "label", "n", "text")
-    values = stored(full.mapInArrow(spread, "node long, label long, n int, value long"))
+    values = stored(full.mapInArrow(lean(spread), "node long, label long, n int, value long"))
     counts = values.groupBy("value").agg(F.count("*").alias("count")).filter("count > 1")
     shared = values.join(counts, "value")
     # Shared values fall into the same parts, so the parts' lesser counts bound the overlap.

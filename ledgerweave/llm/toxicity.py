@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.arrays import block_hashes, expand, flat, pieces, words_of
+from ledgerweave.llm.arrays import block_hashes, expand, flat, give_back, lean, pieces, words_of
 from ledgerweave.llm.pretokens import LETTER, classes
 
 #: Toxic rows that the machine learns from, at most.
@@ -471,7 +471,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
     table = F.broadcast(documents.sparkSession.createDataFrame(chosen, known.schema))
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_t"))
     rows = texts.join(table, "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
-    return learn([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows], np.int64), weight)
+    machine = learn([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows], np.int64), weight)
+    give_back()
+    return machine
 
 
 def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool = True, name: str = "score") -> DataFrame:
@@ -486,7 +488,7 @@ def scored(documents: DataFrame, machine: Machine | Constant, with_text: bool =
                 columns = [*(part.column(f.name) for f in back), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in back), name])
 
-    return texts.mapInArrow(run, T.StructType([*back, T.StructField(name, T.DoubleType())]))
+    return texts.mapInArrow(lean(run), T.StructType([*back, T.StructField(name, T.DoubleType())]))
 
 
 def without_toxic(documents: DataFrame, machine: Machine | Constant, cut: float = CUT) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -373,3 +374,46 @@ def test_empty_tables(spark):
         mixing.mixed(none),
     ):
         assert df.collect() == []
+
+
+def test_workers_give_back_what_a_stage_freed(spark):
+    def idle(batches):
+        """MB that the allocator of this worker holds without use; they are given back."""
+        import ctypes
+        import re
+        import time
+
+        import pyarrow as pa
+
+        def held():
+            with open("/proc/self/smaps_rollup") as file:
+                return int(re.search(r"\nAnonymous:\s+(\d+)", file.read())[1]) / 1024
+
+        for _ in batches:
+            pass
+        before = held()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        time.sleep(0.5)  # tasks beside this one get workers of their own
+        yield pa.RecordBatch.from_pydict({"mb": [before - held()]})
+
+    def most():
+        return max(r.mb for r in spark.range(0, 8, 1, 8).mapInArrow(idle, "mb double").collect())
+
+    rnd = random.Random(5)
+    lines = [(i, " ".join(f"{rnd.getrandbits(rnd.choice((8, 16, 24))):x}" for _ in range(400))) for i in range(2500)]
+    documents = table(spark, lines).coalesce(1)
+    most()
+    machine = toxicity.Machine(toxicity.Alphabet("abcdef"), np.ones(toxicity.LETTERS**3), 0.0)
+    for df in (bpe.round_trip(documents), toxicity.scored(documents, machine), minhash.sets(documents)):
+        df.write.format("noop").mode("overwrite").save()
+        assert most() < 20
+
+
+def test_exact_dedup_runs_no_stage_twice(spark, monkeypatch):
+    # An eager checkpoint runs a stage for its rows and once more for their files.
+    def refused(self, eager=True):
+        raise AssertionError("a checkpoint")
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", refused)
+    assert exact_dedup.exact_groups(table(spark, DOCS)).count() == len(DOCS)
+    assert exact_dedup.deduplicated(table(spark, DOCS)).count() == len({r[4] for r in brute.exact(DOCS)})
