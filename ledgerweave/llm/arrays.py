@@ -45,15 +45,34 @@ def give_back() -> None:
         pass  # not the GNU C library
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What this worker keeps under a name from task to task, until ``lean`` runs one that does not use it."""
+    return _caches.setdefault(name, {})
+
+
+def keep_only(name: str | None) -> None:
+    """Forget what this worker keeps under other names."""
+    others = [cache for other, cache in _caches.items() if other != name and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
+
+
+def lean(run: Callable[[Iterator], Iterator], cache: str | None = None) -> Callable[[Iterator], Iterator]:
     """``run`` for ``mapInArrow``, with the memory that it freed given back when its task ends.
 
     Spark keeps workers for the tasks that follow, so those of a later stage would stand on what the
-    arrays of an earlier one took at their most.
+    arrays of an earlier one took at their most, and on what it kept: before its first batch a task
+    forgets all that its worker keeps but the ``worker_cache`` that it names.
     """
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(cache)
         try:
             yield from run(batches)
         finally:

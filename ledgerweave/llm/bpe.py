@@ -8,7 +8,8 @@ pieces that had a pair until none has. A text's ids are those of its pieces in o
 vocabulary and aggregates the bytes of a text in the order of positions.
 
 Only distinct pieces of a run are encoded, and about ``KEPT`` of them are remembered, those
-asked for lately; the rows in DuckDB are bounded by the run. There is no shuffle. The vocabulary's bytes travel with the
+asked for lately, as arrays; the rows in DuckDB are bounded by the run. A worker forgets them, and
+its database, when a task of another operator follows. There is no shuffle. The vocabulary's bytes travel with the
 job (under 1 MB), so executors need no file of the driver's.
 
 Defined results: null text is an empty one, which has no tokens; a text of any length is
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerweave.llm.arrays import block_hashes, expand, flat, lean, pieces
+from ledgerweave.llm.arrays import block_hashes, expand, flat, lean, pieces, worker_cache
 from ledgerweave.llm.pretokens import split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces a worker remembers, some 100 MB of them.
+#: Pieces a worker remembers, some 15 MB of them.
 KEPT = 400_000
 #: Merges that one recursive query makes of a piece at most; longer pieces take several queries.
 STEPS = 48
@@ -66,6 +67,33 @@ FROM ids JOIN vocabulary v USING (token) GROUP BY text
 """
 
 
+class Pieces:
+    """Ids of pieces by 128 bits of hash, in arrays: a dictionary takes several times their memory."""
+
+    def __init__(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the pieces is, and whether it is there at all."""
+        if not len(self):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self) - 1)
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Pieces in rising order of their keys, with their ids one after another."""
+        at = np.searchsorted(self.keys, keys)
+        begin = len(self.ids) + np.cumsum(length) - length
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.begin, self.length = np.insert(self.begin, at, begin), np.insert(self.length, at, length)
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class Codec:
     """A vocabulary in DuckDB, with what this worker has encoded so far."""
 
@@ -73,8 +101,7 @@ class Codec:
         self.ids = {
             base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)
         }
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = Pieces(), Pieces()
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         merges = []
         for token, rank in self.ids.items():
@@ -87,38 +114,46 @@ class Codec:
         made = pa.table({"pair": (left << 32) + right, "merged": merged})
         self.db.register("made", made)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM made")
+        self.db.unregister("made")
         words = pa.table({"token": list(self.ids.values()), "bytes": [t.hex() for t in self.ids]})
         self.db.register("words", words)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
-
-    def encode_pieces(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
-        out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
-        new = []
-        for i, text in enumerate(texts):
-            found = self.known.get(text)
-            if found is None and (found := self.older.get(text)) is not None:
-                self.known[text] = found
-            if found is not None:
-                out[i] = np.frombuffer(found, np.uint32)
-                continue
-            whole = self.ids.get(text)
-            if whole is None:
-                new.append(i)
-            else:
-                out[i] = np.array([whole], np.uint32)
+        self.db.unregister("words")
+
+    def encode_pieces(
+        self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each piece's begin and how many they are; the pieces' ``keys`` are distinct and rise."""
+        checks = block_hashes(buf, starts, ends, 1)
+        at, known = self.known.find(keys, checks)
+        back, older = self.older.find(keys, checks)
+        older &= ~known
+        begin, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[known], length[known] = self.known.begin[at[known]], self.known.length[at[known]]
+        begin[older], length[older] = self.older.begin[back[older]], self.older.length[back[older]]
+        begin[older] += len(self.known.ids)
+        rest = np.flatnonzero(~known & ~older)
+        texts = [buf[a:b].tobytes() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())]
+        whole = [self.ids.get(text) for text in texts]
+        new = [i for i, token in enumerate(whole) if token is None]
+        ids: list[np.ndarray] = [np.array([token or 0], np.uint32) for token in whole]
         if new:
-            buf = np.frombuffer(b"".join(texts[i] for i in new), np.uint8)
-            lengths = np.array([len(texts[i]) for i in new], np.int64)
-            done = self._contract(np.repeat(np.arange(len(new)), lengths), self.single[buf])
-            if len(self.known) + len(new) > KEPT // 2:
-                # What was not asked for since the last such change is forgotten.
-                self.known, self.older = {}, self.known
-            for i, ids in zip(new, done):
-                out[i] = ids
-                if len(texts[i]) < 64 and len(self.known) < KEPT // 2:
-                    self.known[texts[i]] = ids.tobytes()
-        return out
+            letters = np.frombuffer(b"".join(texts[i] for i in new), np.uint8)
+            sizes = np.array([len(texts[i]) for i in new], np.int64)
+            for i, own in zip(new, self._contract(np.repeat(np.arange(len(new)), sizes), self.single[letters])):
+                ids[i] = own
+        length[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin[rest] = len(self.known.ids) + len(self.older.ids) + np.cumsum(length[rest]) - length[rest]
+        pool = np.concatenate([self.known.ids, self.older.ids, *ids])
+        kept = older.copy()
+        kept[rest[new]] = True
+        kept = np.flatnonzero(kept & (ends - starts < 64))[: KEPT // 2]
+        if len(self.known) + len(kept) > KEPT // 2:
+            # What was not asked for since the last such change is forgotten.
+            self.known, self.older = Pieces(), self.known
+        if len(kept):
+            self.known.add(keys[kept], checks[kept], pool[expand(begin[kept], length[kept])], length[kept])
+        return pool, begin, length
 
     def _contract(self, piece: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Ids of pieces 0, 1, ..., given as rows in order; ``pos`` counts over all of them."""
@@ -146,13 +181,10 @@ class Codec:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         keys = block_hashes(buf, starts, ends)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        ids = self.encode_pieces([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        ids, at, lengths = self.encode_pieces(buf, starts[first], ends[first], keys)
         counts = lengths[which]
-        tokens = np.concatenate(ids)[expand(at[which], counts)]
+        tokens = ids[expand(at[which], counts)]
         before = np.concatenate([[0], np.cumsum(counts)])
         return tokens, before[np.searchsorted(owner, np.arange(len(offsets)))]
 
@@ -172,16 +204,13 @@ class Codec:
         return [bytes.fromhex(found.get(i, "")) for i in range(len(lengths))]
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(ranks: bytes) -> Codec:
     """This worker's codec of a vocabulary; tasks that follow one another share it."""
-    key = hashlib.sha256(ranks).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks)
-    return _codecs[key]
+    codecs, key = worker_cache("bpe"), hashlib.sha256(ranks).digest()
+    if key not in codecs:
+        codecs.clear()
+        codecs[key] = Codec(ranks)
+    return codecs[key]
 
 
 def read_ranks(path: str) -> bytes:
@@ -214,7 +243,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "tokens", "n_tokens"])
 
     schema = T.StructType([*rest.schema, T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    return rest.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), schema)
+    return rest.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run, "bpe"), schema)
 
 
 def decoded(encoding: DataFrame, path: str | None = None) -> DataFrame:
@@ -230,7 +259,7 @@ def decoded(encoding: DataFrame, path: str | None = None) -> DataFrame:
                 texts = own.decode(np.frombuffer(buf.tobytes(), "<u4"), offsets // 4)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
-    return rest.mapInArrow(lean(run), T.StructType([*rest.schema, T.StructField("decoded", T.BinaryType())]))
+    return rest.mapInArrow(lean(run, "bpe"), T.StructType([*rest.schema, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -255,7 +284,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     rows = documents.select("doc_id", F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run, "bpe"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_duckdb_bpe(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from ledgerweave.llm import bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality, sharding
-from ledgerweave.llm import token_counts, toxicity
+from ledgerweave.llm import arrays, bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality, sharding
+from ledgerweave.llm import sharding, token_counts, toxicity
 import brute
 
 # Columns that clash with names used inside, and with outputs.
@@ -409,6 +409,29 @@ def test_workers_give_back_what_a_stage_freed(spark):
         assert most() < 20
 
 
+def test_workers_forget_the_codec_when_another_operator_follows(spark):
+    def codecs(batches):
+        import gc
+        import time
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        time.sleep(0.5)  # tasks beside this one get workers of their own
+        held = sum((type(x).__module__, type(x).__name__) == ("ledgerweave.llm.bpe", "Codec") for x in gc.get_objects())
+        yield pa.RecordBatch.from_pydict({"held": [held]})
+
+    def most(run):
+        return max(r.held for r in spark.range(0, 8, 1, 8).mapInArrow(run, "held long").collect())
+
+    bpe.round_trip(table(spark, DOCS).repartition(16)).collect()
+    assert most(codecs) == 1
+    assert most(arrays.lean(codecs, "bpe")) == 1
+    assert most(arrays.lean(codecs)) == 0
+    assert most(codecs) == 0
+
+
 def test_exact_dedup_runs_no_stage_twice(spark, monkeypatch):
     # An eager checkpoint runs a stage for its rows and once more for their files.
     def refused(self, eager=True):

@@ -1,6 +1,7 @@
 """The data structures inside the operators, against plain versions."""
 
 import random
+import sys
 
 import brute
 import numpy as np
@@ -269,6 +270,25 @@ def test_pieces_forgotten_are_encoded_again(monkeypatch):
         assert len(own.known) <= 40 and len(own.older) <= 40
 
 
+def test_remembered_pieces_are_small():
+    import gc
+    import tracemalloc
+
+    own = bpe.Codec(bpe.read_ranks(bpe.default_path()))
+    rng = random.Random(12)
+    data = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(20000)).encode()
+    gc.collect()
+    tracemalloc.start()
+    try:
+        first = own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, first))
+    finally:
+        tracemalloc.stop()
+    assert len(own.known) > 19000 and held < 100 * len(own.known)
+    assert own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == first
+
+
 def test_components_of_later_links(spark):
     rng = random.Random(4)
 
