@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by recursive queries of DuckDB, one database per worker.
 
-A task takes its texts in runs of a few megabytes and splits them into pieces by the
+A task takes its texts in runs of a quarter megabyte and splits them into pieces by the
 tokenizer's pattern. Pieces the worker has not met yet go into DuckDB as rows (piece, position,
 token, next position), at first one per byte. The recursive query joins neighbours to the merge
 table, takes each piece's leftmost pair of minimum rank, contracts it, and goes on with the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -37,6 +38,8 @@ from ledgerweave.llm.pretokens import split
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces a worker remembers, some 15 MB of them.
 KEPT = 400_000
+#: Bytes of text that a worker encodes or decodes at once, about.
+RUN = 1 << 18
 #: Merges that one recursive query makes of a piece at most; longer pieces take several queries.
 STEPS = 48
 
@@ -103,12 +106,12 @@ class Codec:
         }
         self.known, self.older = Pieces(), Pieces()
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        merges = []
+        merges = array("q")
         for token, rank in self.ids.items():
             for i in range(1, len(token)):
                 left, right = self.ids.get(token[:i]), self.ids.get(token[i:])
                 if left is not None and right is not None:
-                    merges.append((left, right, rank))
+                    merges.extend((left, right, rank))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         left, right, merged = np.array(merges, np.int64).reshape(-1, 3).T
         made = pa.table({"pair": (left << 32) + right, "merged": merged})
@@ -237,7 +240,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", RUN):
                 tokens, cuts = own.encode(*flat(part.column("text")))
                 more = [pa.array(_blobs(tokens, cuts), pa.binary()), pa.array(np.diff(cuts))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "tokens", "n_tokens"])
@@ -254,7 +257,7 @@ def decoded(encoding: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
         for batch in batches:
-            for part in pieces(batch, "tokens"):
+            for part in pieces(batch, "tokens", RUN):
                 buf, offsets = flat(part.column("tokens"))
                 texts = own.decode(np.frombuffer(buf.tobytes(), "<u4"), offsets // 4)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
@@ -272,7 +275,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", RUN):
                 tokens, cuts = own.encode(*flat(part.column("text")))
                 columns = [
                     part.column("doc_id"),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from ledgerweave.llm import arrays, bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality, sharding
+from ledgerweave.llm import arrays, bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality
 from ledgerweave.llm import sharding, token_counts, toxicity
 import brute
 
