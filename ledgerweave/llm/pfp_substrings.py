@@ -58,7 +58,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     width = 1
     if symbols.max() < 256:  # the first eight at once
         packed, width = np.zeros(n, np.uint64), 8
-        for k in range(8):
+        for k in range(min(8, n)):  # fewer symbols have no eighth
             packed <<= np.uint64(8)
             packed[: n - k] |= np.where(reach[: n - k] > k, symbols[k:], 0).astype(np.uint64)
         symbols = packed

@@ -91,6 +91,15 @@ def test_bytes_without_repeats(spark):
     assert len(row.spans) == row.n_spans and brute.sha(row.kept) == row.kept_sha256
 
 
+def test_one_short_passage_in_two_documents(spark):
+    passage = "abcdefghijklmnopqrstuvwxyz0123456789 and so on, and on"
+    rows = [(0, passage), (1, passage)]
+    df = pfp_substrings.without_repeats(table(spark, rows))
+    want = expected(brute.substrings_of_bytes(rows))
+    assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert sum(r[2] for r in want) == len(passage)
+
+
 def test_quality(spark):
     good = [(i, " ".join(f"w{i * 7 + j} ab{j % 9}cd{i}" for j in range(60))) for i in range(100, 130)]
     junk = [(i, " ".join(f"w{i * 7 + j}&&& $$$" for j in range(60))) for i in range(130, 160)]

@@ -381,3 +381,17 @@ def test_hashes_of_all_grams():
     for m in (1, 8, 20, 300):
         first = np.arange(len(buf) - m + 1)
         assert gram_hashes(buf, m).tolist() == segment_hashes(prefix_sums(buf), first, first + m).tolist()
+
+
+def test_suffix_ranks_of_few_symbols():
+    for n in range(1, 10):
+        for text in (list(range(n)), [0] * n, [3, -1] * (n // 2) + [5] * (n % 2)):
+            keys = [text[i:][: (text[i:] + [-1]).index(-1) + 1] for i in range(n)]
+            assert pfp_substrings.suffix_ranks(np.array(text), 50).tolist() == [1 + sum(k < own for k in keys) for own in keys]
+
+
+def test_an_engine_call_of_one_short_run():
+    draw = np.random.default_rng(7)
+    for n in [*range(50, 130)] * 2:
+        text = draw.integers(97, 123, n).astype(np.uint8)
+        assert pfp_substrings.least_documents(text, np.array([0, n]), np.array([5])).tolist() == [5] * (n - 49)
