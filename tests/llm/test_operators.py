@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from ledgerweave.llm import arrays, bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality
+from ledgerweave.llm import arrays, bpe, exact_dedup, fm_substrings, minhash, mixing, pfp_substrings, quality, repeats
 from ledgerweave.llm import sharding, token_counts, toxicity
 import brute
 
@@ -100,6 +100,16 @@ def test_one_short_passage_in_two_documents(spark):
     assert sum(r[2] for r in want) == len(passage)
 
 
+def test_shards_number_with_the_bytes_of_text(spark, monkeypatch):
+    size = sum(len((text or "").encode()) for _, text in DOCS)
+    assert repeats.shards_for(table(spark, DOCS)) == 3 and repeats.shards_for(table(spark, DOCS).limit(0)) == 3
+    monkeypatch.setattr(repeats, "SHARE", size // 20)
+    assert repeats.shards_for(table(spark, DOCS)) == 21
+    df = pfp_substrings.without_repeats(table(spark, DOCS))
+    want = expected(brute.substrings_of_bytes(DOCS))
+    assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_quality(spark):
     good = [(i, " ".join(f"w{i * 7 + j} ab{j % 9}cd{i}" for j in range(60))) for i in range(100, 130)]
     junk = [(i, " ".join(f"w{i * 7 + j}&&& $$$" for j in range(60))) for i in range(130, 160)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from ledgerweave.llm import bpe, fm_substrings, minhash, pfp_substrings, pretokens, quality, sharding, toxicity
+from ledgerweave.llm import bpe, fm_substrings, minhash, pfp_substrings, pretokens, quality, repeats, sharding, toxicity
 from ledgerweave.llm.arrays import flat, gram_hashes, pieces, prefix_sums, segment_hashes, words_of
 from ledgerweave.llm.exact_dedup import FuseFilter
 
@@ -395,3 +395,51 @@ def test_an_engine_call_of_one_short_run():
     for n in [*range(50, 130)] * 2:
         text = draw.integers(97, 123, n).astype(np.uint8)
         assert pfp_substrings.least_documents(text, np.array([0, n]), np.array([5])).tolist() == [5] * (n - 49)
+
+
+def grouped(tables, key):
+    """The rows of several tables by their key, as Spark hands them to a function of groups."""
+    whole = pa.concat_tables(tables)
+    keys = whole.column(key).to_numpy()
+    return {int(k): whole.filter(pa.array(keys == k)) for k in np.unique(keys)}
+
+
+@pytest.mark.parametrize("crowd, part", [(1 << 14, 1 << 20), (4, 1 << 20), (1 << 14, 400), (4, 400)])
+@pytest.mark.parametrize("module, k, m", [(fm_substrings, 13, 5), (pfp_substrings, 50, 20)])
+def test_runs_of_crowded_anchors(monkeypatch, module, k, m, crowd, part):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "PART", part)
+    rnd = random.Random(k)
+    phrase, line = "all of the rights to it are reserved by us", " ".join(f"word{i}" for i in range(30))
+    docs = []
+    for i in range(60):
+        words = [rnd.choice(["so", "on", "many", "x", "other", "texts"]) + rnd.choice("abcde") for _ in range(60)]
+        words[40:40], words[20:20], words[5:5] = [phrase], [line] * (i % 4 == 0), [phrase]
+        docs.append(" ".join(words))
+    docs += [docs[3], docs[4] + " end", "ab " * 300, "ab " * 200, "q" * 900, "q" * 700, "z " * 40, ""]
+    rows = [(rnd.randrange(1000), text) for text in docs]
+    units = module.word_units if module is fm_substrings else module.byte_units
+    sizes = []
+
+    def engine(values, cuts, ids):
+        sizes.append(len(values))
+        return module.least_documents(values, cuts, ids, k)
+
+    names = {"block": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "text": pa.string()}
+    blocks = {b: [(b, n, *rows[n]) for n in range(b, len(rows), 4)] for b in range(4)}
+    tables = {b: pa.table([pa.array(c, t) for c, t in zip(zip(*r), names.values())], list(names)) for b, r in blocks.items()}
+    asked = grouped([repeats._ask(units, k, m, 3)(t) for t in tables.values()], "shard")
+    replies = grouped([repeats._reply(t) for t in asked.values()], "block")
+    assert any(t.column("crowded").to_pylist() != [b""] * t.num_rows for t in replies.values()) == (crowd == 4)
+    sent = grouped([repeats._send(units, k, m, 3)(tables[b], t) for b, t in replies.items()], "shard")
+    dtype = np.uint64 if module is fm_substrings else np.uint8
+    found = [repeats._solve(engine, k, m, dtype)(t) for t in sent.values()]
+    back = grouped(found, "block")
+    got = {}
+    for b, t in tables.items():
+        for place, _, cuts, gone in repeats.marked(t, back.get(b, found[0].slice(0, 0)), units, k, m):
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                got[b + 4 * int(place[i])] = gone[x:y].tolist()
+    split = brute.words if module is fm_substrings else str.encode
+    assert [got[n] for n in range(len(rows))] == [lost for _, _, lost in brute.gone(rows, split, k)]
+    assert max(sizes) <= part
